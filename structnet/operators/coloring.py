@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from structnet.functions import constants as K
 from structnet.functions import rules
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from structnet.operators.staging import stage
 
 
 def ranked(rows: DataFrame, partition: str, order: str) -> DataFrame:
@@ -31,11 +16,11 @@ def ranked(rows: DataFrame, partition: str, order: str) -> DataFrame:
     A window would bring a whole partition into one task, and the combined
     network is one partition. Here a range sort spreads the rows, and counts
     per sorted slice turn positions in a slice into ranks. The sorted rows
-    are checkpointed, so that both uses see the same slices.
+    are staged, so that both uses see the same slices.
     """
     position = F.monotonically_increasing_id()
     in_slice = F.lit((1 << 33) - 1)
-    slices = cut_lineage(
+    slices = stage(
         rows.select(partition, order).sort(partition, order)
         .select(partition, order, F.shiftright(position, 33).alias("slice"),
                 position.bitwiseAND(in_slice).alias("offset")))

@@ -13,6 +13,7 @@ from structnet.operators import annotate as an
 from structnet.operators import chains as ch
 from structnet.operators import coloring, contacts, networks, similarity, spatial
 from structnet.operators.dedup import first_wins, last_wins
+from structnet.operators.staging import stage
 from structnet.sources import identifiers, sinks
 from structnet.sources import structures as st
 
@@ -64,6 +65,11 @@ def annotated(spark, sf_dir):
 
 
 def final(spark, sf_dir):
+    """Annotated chains, written once: most queries below use them several times."""
+    return stage(_final(spark, sf_dir))
+
+
+def _final(spark, sf_dir):
     return an.apply_hits(annotated(spark, sf_dir), hits(spark, sf_dir), ["file_ord", "unique_chain_id"])
 
 
@@ -71,8 +77,9 @@ def located(spark, sf_dir):
     return ch.chain_atoms(heavy(spark, sf_dir), final(spark, sf_dir), "molecule_type")
 
 
-def interactions(spark, sf_dir):
-    return contacts.chain_interactions(heavy(spark, sf_dir), final(spark, sf_dir))
+def interactions(spark, sf_dir, chains=None):
+    chains = final(spark, sf_dir) if chains is None else chains
+    return contacts.chain_interactions(heavy(spark, sf_dir), chains)
 
 
 # --- sources --------------------------------------------------------------
@@ -220,7 +227,7 @@ def search_candidates(spark, sf_dir):
 
 @query
 def annotate_final(spark, sf_dir):
-    return final(spark, sf_dir).select(*ANNOTATION)
+    return _final(spark, sf_dir).select(*ANNOTATION)
 
 
 @query
@@ -290,12 +297,19 @@ def prefix_join(spark, sf_dir):
 @query
 def atom_contacts(spark, sf_dir):
     all_chains = final(spark, sf_dir)
-    selected = contacts.interactions_by_id(fx.structures(spark, sf_dir), interactions(spark, sf_dir))
+    found = stage(interactions(spark, sf_dir, all_chains))
+    selected = contacts.interactions_by_id(fx.structures(spark, sf_dir), found)
     return contacts.atom_contacts(heavy(spark, sf_dir), all_chains, selected)
 
 
 # --- networks -------------------------------------------------------------
 
+def _chain_network(spark, sf_dir):
+    all_chains = final(spark, sf_dir)
+    edges = stage(networks.chain_edges(interactions(spark, sf_dir, all_chains)))
+    return networks.chain_nodes(all_chains, edges).select(*networks.NODE_COLUMNS), edges
+
+
 @query
 def chain_edges(spark, sf_dir):
     return networks.chain_edges(interactions(spark, sf_dir))
@@ -303,13 +317,14 @@ def chain_edges(spark, sf_dir):
 
 @query
 def chain_nodes(spark, sf_dir):
-    return networks.chain_nodes(final(spark, sf_dir), chain_edges(spark, sf_dir)).select(*networks.NODE_COLUMNS)
+    return _chain_network(spark, sf_dir)[0]
 
 
 @query
 def combined_chain_network(spark, sf_dir):
-    edges = networks.combined_chain_edges(interactions(spark, sf_dir))
-    nodes = networks.combined_chain_nodes(final(spark, sf_dir), edges).select(*networks.NODE_COLUMNS)
+    all_chains = final(spark, sf_dir)
+    edges = stage(networks.combined_chain_edges(interactions(spark, sf_dir, all_chains)))
+    nodes = networks.combined_chain_nodes(all_chains, edges).select(*networks.NODE_COLUMNS)
     empty = F.lit(None).cast("string")
     return (nodes.select("network", F.lit("node").alias("kind"), "id", "tooltip", "color_group",
                          empty.alias("target"), F.lit(None).cast("long").alias("all_atoms_count"))
@@ -325,31 +340,36 @@ def edge_endpoints(spark, sf_dir):
 
 @query
 def nonempty_networks(spark, sf_dir):
-    every = final(spark, sf_dir).select(
+    all_chains = final(spark, sf_dir)
+    edges = networks.chain_edges(interactions(spark, sf_dir, all_chains))
+    every = all_chains.select(
         F.concat(F.lit("Chain_Interaction_Network_"), "pdb_id").alias("network"), F.col("unique_chain_id").alias("id"))
-    return networks.nonempty(every, chain_edges(spark, sf_dir)).groupBy("network").agg(F.count("id").alias("n_nodes"))
+    return networks.nonempty(every, edges).groupBy("network").agg(F.count("id").alias("n_nodes"))
 
 
 @query
 def chain_to_protein(spark, sf_dir):
-    return networks.chain_to_protein(final(spark, sf_dir))
+    return networks.chain_to_protein(_final(spark, sf_dir))
 
 
 @query
 def protein_color_group(spark, sf_dir):
-    return networks.protein_summary(final(spark, sf_dir)).select("uniprot_id", "color_group")
+    return networks.protein_summary(_final(spark, sf_dir)).select("uniprot_id", "color_group")
 
 
 @query
 def structures_per_protein(spark, sf_dir):
-    return networks.structures_per_protein(final(spark, sf_dir))
+    return networks.structures_per_protein(_final(spark, sf_dir))
 
 
-def _pairs(spark, sf_dir, per_structure=True, agg="first"):
+def _loose_interactions(spark, sf_dir, all_chains):
     """A gate of one C-alpha pair, since the chains here have few atoms and hardly any pair has ten."""
+    return contacts.chain_interactions(heavy(spark, sf_dir), all_chains, min_ca_pairs=1)
+
+
+def _pairs(spark, sf_dir, per_structure=True, agg="first"):
     all_chains = final(spark, sf_dir)
-    found = contacts.chain_interactions(heavy(spark, sf_dir), all_chains, min_ca_pairs=1)
-    return networks.protein_pairs(found, all_chains, per_structure, agg)
+    return networks.protein_pairs(_loose_interactions(spark, sf_dir, all_chains), all_chains, per_structure, agg)
 
 
 @query
@@ -364,7 +384,9 @@ def protein_edges_sum(spark, sf_dir):
 
 @query
 def protein_nodes(spark, sf_dir):
-    return networks.protein_nodes(protein_edges(spark, sf_dir), final(spark, sf_dir))
+    all_chains = final(spark, sf_dir)
+    found = _loose_interactions(spark, sf_dir, all_chains)
+    return networks.protein_nodes(networks.protein_edges(networks.protein_pairs(found, all_chains)), all_chains)
 
 
 @query
@@ -381,16 +403,22 @@ def combined_protein_network_parallel(spark, sf_dir):
 
 @query
 def combined_protein_nodes(spark, sf_dir):
-    return networks.protein_nodes(combined_protein_network(spark, sf_dir), final(spark, sf_dir))
+    all_chains = final(spark, sf_dir)
+    found = _loose_interactions(spark, sf_dir, all_chains)
+    pairs = networks.protein_pairs(found, all_chains, per_structure=False)
+    return networks.protein_nodes(networks.combined_protein_edges(pairs), all_chains)
 
 
 @query
 def color_assignment(spark, sf_dir):
     """Group colors of the chain networks and of both kinds of protein network."""
-    chain = chain_nodes(spark, sf_dir).select("network", "color_group")
-    single = protein_nodes(spark, sf_dir).select("network", "color_group")
-    combined = combined_protein_nodes(spark, sf_dir).select("network", "color_group")
-    return coloring.color_assignment(chain.unionByName(single).unionByName(combined))
+    nodes, _ = _chain_network(spark, sf_dir)
+    all_chains = final(spark, sf_dir)
+    pairs = stage(networks.protein_pairs(_loose_interactions(spark, sf_dir, all_chains), all_chains))
+    single = networks.protein_nodes(networks.protein_edges(pairs), all_chains)
+    combined = networks.protein_nodes(networks.combined_protein_edges(pairs), all_chains)
+    groups = [n.select("network", "color_group") for n in (nodes, single, combined)]
+    return coloring.color_assignment(groups[0].unionByName(groups[1]).unionByName(groups[2]))
 
 
 @query
@@ -403,12 +431,14 @@ def structure_colors(spark, sf_dir):
 
 @query
 def style_name(spark, sf_dir):
-    edges = (chain_edges(spark, sf_dir).select("network")
-             .unionByName(protein_edges(spark, sf_dir).select("network"))
-             .unionByName(combined_protein_network(spark, sf_dir).select("network")))
-    return coloring.style_names(edges)
+    all_chains = final(spark, sf_dir)
+    chain = networks.chain_edges(interactions(spark, sf_dir, all_chains))
+    pairs = stage(networks.protein_pairs(_loose_interactions(spark, sf_dir, all_chains), all_chains))
+    edges = [e.select("network") for e in
+             (chain, networks.protein_edges(pairs), networks.combined_protein_edges(pairs))]
+    return coloring.style_names(edges[0].unionByName(edges[1]).unionByName(edges[2]))
 
 
 @query
 def graph_json(spark, sf_dir):
-    return sinks.graph_lines(chain_nodes(spark, sf_dir), chain_edges(spark, sf_dir))
+    return sinks.graph_lines(*_chain_network(spark, sf_dir))
