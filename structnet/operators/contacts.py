@@ -7,15 +7,17 @@ run on the few rows that it returns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structnet.functions import constants as K
 from structnet.functions import rules
-from structnet.operators.chains import chain_atoms, first_occurrence, select_atoms
-from structnet.operators.spatial import radius_pair_count, radius_pairs
+from structnet.operators.chains import chain_atoms, first_occurrence
+from structnet.operators.spatial import XYZ, merge_points, radius_pair_count, radius_pairs
+from structnet.operators.staging import stage
 
-PAIR = ["file_ord", "chain_pos_a", "chain_pos_b"]
 INTERACTION_COLUMNS = ["file_ord", "file_path", "pdb_id", "chain_pos_a", "chain_pos_b", "chain_a", "chain_b",
                        "all_atoms_count", "interaction_type"]
 
@@ -41,38 +43,26 @@ def typed_pairs(chains: DataFrame) -> DataFrame:
     return chain_pairs(chains).withColumn("interaction_type", kind).filter("interaction_type IS NOT NULL")
 
 
-def _different_names(a, b) -> Column:
-    return a("chain_id") != b("chain_id")
+def contact_points(located: DataFrame, chain: Sequence[str] = ("file_ord", "chain_pos")) -> DataFrame:
+    """Coinciding atoms of a chain as one row, with the numbers ``atoms`` and ``ca_atoms``.
+
+    ``nucleic`` marks the atoms of nucleic acid chains, if ``located`` has types.
+    """
+    types = [(F.col("molecule_type") == K.NUCLEIC).alias("nucleic")] if "molecule_type" in located.columns else []
+    marked = located.select(*chain, *types, "atom_name", *XYZ)
+    keys = [c for c in marked.columns if c != "atom_name"]
+    return merge_points(marked, keys, atoms=F.lit(True), ca_atoms=F.col("atom_name") == "CA")
 
 
-def ca_contact_counts(located: DataFrame, radius: float = K.CA_RADIUS, group=("file_ord",),
-                      member: str = "chain_pos") -> DataFrame:
+def ca_contact_counts(points: DataFrame, radius: float = K.CA_RADIUS) -> DataFrame:
     """Pairs of C-alpha atoms within ``radius`` per pair of chains without nucleic acid."""
-    ca = select_atoms(located, "ca").filter(F.col("molecule_type") != K.NUCLEIC)
-    return radius_pair_count(ca, radius, list(group), member, ["chain_id"], where=_different_names,
-                             name="ca_count")
+    ca = points.filter((F.col("ca_atoms") > 0) & ~F.col("nucleic"))
+    return radius_pair_count(ca, radius, ["file_ord"], "chain_pos", name="ca_count", weight="ca_atoms")
 
 
-def all_atom_counts(located: DataFrame, radius: float = K.ALL_ATOMS_RADIUS, group=("file_ord",),
-                    member: str = "chain_pos") -> DataFrame:
+def all_atom_counts(points: DataFrame, radius: float = K.ALL_ATOMS_RADIUS) -> DataFrame:
     """Pairs of heavy atoms within ``radius`` per pair of chains."""
-    return radius_pair_count(located, radius, list(group), member, ["chain_id", "molecule_type"],
-                             where=_different_names, name="all_atoms_count")
-
-
-def _accepted(located: DataFrame, ca_radius: float, all_atoms_radius: float, min_ca_pairs: int,
-              group: list[str], member: str) -> DataFrame:
-    """Counted pairs that pass the type rule and, without nucleic acid, the C-alpha gate."""
-    known = located.filter(F.coalesce("molecule_type", F.lit(K.UNKNOWN)) != K.UNKNOWN)
-    kind = rules.interaction_type(F.col("molecule_type_a"), F.col("molecule_type_b"))
-    nucleic = (F.col("molecule_type_a") == K.NUCLEIC) | (F.col("molecule_type_b") == K.NUCLEIC)
-    pair = [*group, f"{member}_a", f"{member}_b"]
-    gate = (ca_contact_counts(known, ca_radius, group, member)
-            .filter(F.col("ca_count") >= min_ca_pairs).select(*pair, F.lit(True).alias("close")))
-    return (all_atom_counts(known, all_atoms_radius, group, member)
-            .withColumn("interaction_type", kind)
-            .join(gate, pair, "left")
-            .filter(nucleic | F.col("close")))
+    return radius_pair_count(points, radius, ["file_ord"], "chain_pos", name="all_atoms_count", weight="atoms")
 
 
 def chain_interactions(atoms: DataFrame, chains: DataFrame, ca_radius: float = K.CA_RADIUS,
@@ -81,15 +71,29 @@ def chain_interactions(atoms: DataFrame, chains: DataFrame, ca_radius: float = K
     """Touching chains per structure with their atom contact count.
 
     A pair with a nucleic acid needs one atom contact. Any other pair needs
-    ``min_ca_pairs`` close C-alpha pairs as well.
+    ``min_ca_pairs`` close C-alpha pairs as well. ``chains`` holds one model
+    per file.
     """
-    located = chain_atoms(atoms, chains, "molecule_type").select(
-        "file_ord", "chain_pos", "chain_id", "molecule_type", "atom_name", "x", "y", "z")
-    counted = _accepted(located, ca_radius, all_atoms_radius, min_ca_pairs, ["file_ord"], "chain_pos")
-    per_file = chains.groupBy("file_ord").agg(F.min("file_path").alias("file_path"), F.min("pdb_id").alias("pdb_id"))
-    return (counted.join(per_file, "file_ord")
-            .withColumn("chain_a", rules.unique_chain_id(F.col("pdb_id"), F.col("chain_id_a")))
-            .withColumn("chain_b", rules.unique_chain_id(F.col("pdb_id"), F.col("chain_id_b")))
+    known = chains.filter(F.coalesce("molecule_type", F.lit(K.UNKNOWN)) != K.UNKNOWN)
+    # Both radii use each point on two sides of a join: read and shuffle the atoms once, not four times.
+    points = stage(contact_points(chain_atoms(atoms, known, "molecule_type")))
+
+    pair = ["file_ord", "chain_pos_a", "chain_pos_b"]
+    gate = (ca_contact_counts(points, ca_radius).filter(F.col("ca_count") >= min_ca_pairs)
+            .select(*pair, F.lit(True).alias("close")))
+    counted = all_atom_counts(points, all_atoms_radius).join(gate, pair, "left")
+
+    def ends(tag: str, *more: str) -> DataFrame:
+        named = {"chain_pos": f"chain_pos_{tag}", "chain_id": f"name_{tag}", "unique_chain_id": f"chain_{tag}",
+                 "molecule_type": f"type_{tag}"}
+        return known.select("file_ord", *more, *[F.col(c).alias(n) for c, n in named.items()])
+
+    kind = rules.interaction_type(F.col("type_a"), F.col("type_b"))
+    nucleic = (F.col("type_a") == K.NUCLEIC) | (F.col("type_b") == K.NUCLEIC)
+    return (counted.join(ends("a", "file_path", "pdb_id"), ["file_ord", "chain_pos_a"])
+            .join(ends("b"), ["file_ord", "chain_pos_b"])
+            .filter((F.col("name_a") != F.col("name_b")) & (nucleic | F.col("close")))
+            .withColumn("interaction_type", kind)
             .select(*INTERACTION_COLUMNS))
 
 
@@ -104,12 +108,12 @@ def chain_interactions_compat(atoms: DataFrame, chains: DataFrame, ca_radius: fl
     join of the touching names with the chain occurrences.
     """
     first = chains.join(first_occurrence(chains), ["unique_chain_id", "file_ord", "chain_pos"], "left_semi")
-    located = (chain_atoms(atoms, first, "unique_chain_id", "pdb_id")
-               .select("pdb_id", "unique_chain_id", "chain_id", "atom_name", "x", "y", "z"))
-    near = radius_pair_count(located, all_atoms_radius, ["pdb_id"], "unique_chain_id",
-                             where=_named_apart, name="all_atoms_count")
-    ca = radius_pair_count(select_atoms(located, "ca"), ca_radius, ["pdb_id"], "unique_chain_id",
-                           where=_named_apart, name="ca_count")
+    points = stage(contact_points(chain_atoms(atoms, first, "unique_chain_id", "pdb_id"),
+                                  ["pdb_id", "unique_chain_id"]))
+    near = radius_pair_count(points, all_atoms_radius, ["pdb_id"], "unique_chain_id",
+                             name="all_atoms_count", weight="atoms")
+    ca = radius_pair_count(points.filter("ca_atoms > 0"), ca_radius, ["pdb_id"], "unique_chain_id",
+                           name="ca_count", weight="ca_atoms")
     pair = ["pdb_id", "unique_chain_id_a", "unique_chain_id_b"]
     counted = near.join(ca, pair, "left").withColumnsRenamed(
         {"unique_chain_id_a": "name_1", "unique_chain_id_b": "name_2"})
@@ -134,10 +138,6 @@ def chain_interactions_compat(atoms: DataFrame, chains: DataFrame, ca_radius: fl
             .select(*INTERACTION_COLUMNS))
 
 
-def _named_apart(a, b) -> Column:
-    return a("unique_chain_id") != b("unique_chain_id")
-
-
 def interactions_by_id(structures: DataFrame, interactions: DataFrame) -> DataFrame:
     """The interactions each structure exports: its own."""
     own = structures.select("file_ord", F.col("pdb_id").alias("structure_id"))
@@ -184,10 +184,9 @@ def atom_contacts(atoms: DataFrame, chains: DataFrame, selected: DataFrame,
                 .select("file_ord", "chain_id", "chain_pos", F.col("first.uniprot_id").alias("uniprot_id")))
     shown = (chains.drop("uniprot_id").join(per_name, ["file_ord", "chain_id", "chain_pos"]))
     label = rules.residue_label(F.col("residue_number"), F.col("residue_name"))
-    located = (chain_atoms(atoms, shown, "uniprot_id")
-               .select("file_ord", "chain_id", label.alias("residue"), "atom_name", "uniprot_id",
-                       "atom_pos", "x", "y", "z"))
     carry = ["residue", "atom_name", "uniprot_id", *(["atom_pos"] if with_order else [])]
+    located = stage(chain_atoms(atoms, shown, "uniprot_id").withColumn("residue", label)
+                    .select("file_ord", "chain_id", *carry, *XYZ))
     near = radius_pairs(located, radius, ["file_ord"], "chain_id", carry)
 
     keyed = (part.withColumn("low", F.least("chain_id_a", "chain_id_b"))

@@ -64,14 +64,23 @@ def radius_pairs(points: DataFrame, radius: float, group: Sequence[str], member:
 
 def radius_pair_count(points: DataFrame, radius: float, group: Sequence[str], member: str,
                       carry: Sequence[str] = (), coords: Sequence[str] = XYZ,
-                      where=None, cell_factor: float = 4.0, name: str = "n_pairs") -> DataFrame:
+                      where=None, cell_factor: float = 4.0, name: str = "n_pairs",
+                      weight: str | None = None) -> DataFrame:
     """Number of close point pairs per (group, member_a, member_b); zero counts are absent.
 
     ``carry`` columns must be constant within a member. Points of a member
-    that coincide are merged into one weighted point before the join.
+    that coincide are merged into one weighted point before the join, unless
+    the input comes merged, with its multiplicity in the column ``weight``.
     """
-    weighted = (points.groupBy(*group, member, *carry, *coords)
-                .agg(F.count(F.lit(1)).alias("_weight")))
-    pairs = radius_pairs(weighted, radius, group, member, [*carry, "_weight"], coords, where, cell_factor)
+    if weight is None:
+        weight = "_weight"
+        points = merge_points(points, [*group, member, *carry, *coords], **{weight: F.lit(True)})
+    pairs = radius_pairs(points, radius, group, member, [*carry, weight], coords, where, cell_factor)
     keys = [*group, *[f"{c}_{t}" for t in "ab" for c in [member, *carry]]]
-    return pairs.groupBy(*keys).agg(F.sum(F.col("_weight_a") * F.col("_weight_b")).alias(name))
+    return pairs.groupBy(*keys).agg(F.sum(F.col(f"{weight}_a") * F.col(f"{weight}_b")).alias(name))
+
+
+def merge_points(points: DataFrame, keys: Sequence[str], **weights: Column) -> DataFrame:
+    """One row per distinct ``keys``, each weight counting the rows on which its condition holds."""
+    return (points.dropna(subset=list(keys)).groupBy(*keys)
+            .agg(*[F.count_if(condition).alias(name) for name, condition in weights.items()]))

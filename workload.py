@@ -267,13 +267,14 @@ def radius_pair_count_ungrouped(spark, sf_dir):
 
 @query
 def ca_contact_count(spark, sf_dir):
-    return contacts.ca_contact_counts(located(spark, sf_dir)).select("file_ord", "chain_pos_a", "chain_pos_b", "ca_count")
+    points = contacts.contact_points(located(spark, sf_dir))
+    return contacts.ca_contact_counts(points).select("file_ord", "chain_pos_a", "chain_pos_b", "ca_count")
 
 
 @query
 def all_atom_count(spark, sf_dir):
-    return contacts.all_atom_counts(located(spark, sf_dir)).select("file_ord", "chain_pos_a", "chain_pos_b",
-                                                                   "all_atoms_count")
+    points = contacts.contact_points(located(spark, sf_dir))
+    return contacts.all_atom_counts(points).select("file_ord", "chain_pos_a", "chain_pos_b", "all_atoms_count")
 
 
 @query
