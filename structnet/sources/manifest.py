@@ -21,6 +21,13 @@ def file_order() -> Column:
                     F.monotonically_increasing_id().alias("row"))
 
 
+def file_order_number() -> Column:
+    """``file_order`` as one number, for a file below 1 TiB: KiB of the split's start, then row in the task."""
+    at = file_order()
+    row = at["row"].bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(F.shiftright(at["block"], 10), 33) + row
+
+
 def path_key(path: Column) -> Column:
     """A path and the URI Spark reports for it map to the same text."""
     local = F.regexp_replace(path, r"^file:/*(?=/)", "")
@@ -42,7 +49,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     if "file_path" not in table.columns:
         raise ValueError("the manifest must have a 'file_path' column")
-    return table.select(file_order().alias("file_ord"), "file_path", path_key(F.col("file_path")).alias("source"))
+    return table.select(file_order_number().alias("file_ord"), "file_path", path_key(F.col("file_path")).alias("source"))
 
 
 def structure_files(manifest: DataFrame) -> DataFrame:
