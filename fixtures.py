@@ -6,10 +6,13 @@ frames are lazy projections and joins over the whole tables.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=64)  # a read lists the folder and opens a footer; once per session is enough
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

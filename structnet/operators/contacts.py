@@ -185,8 +185,9 @@ def atom_contacts(atoms: DataFrame, chains: DataFrame, selected: DataFrame,
     shown = (chains.drop("uniprot_id").join(per_name, ["file_ord", "chain_id", "chain_pos"]))
     label = rules.residue_label(F.col("residue_number"), F.col("residue_name"))
     carry = ["residue", "atom_name", "uniprot_id", *(["atom_pos"] if with_order else [])]
+    # Both sides of the join read this table; even files give its tasks even work, a large structure has several.
     located = stage(chain_atoms(atoms, shown, "uniprot_id").withColumn("residue", label)
-                    .select("file_ord", "chain_id", *carry, *XYZ))
+                    .select("file_ord", "chain_id", *carry, *XYZ).hint("rebalance", "file_ord"))
     near = radius_pairs(located, radius, ["file_ord"], "chain_id", carry)
 
     keyed = (part.withColumn("low", F.least("chain_id_a", "chain_id_b"))

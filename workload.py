@@ -39,8 +39,14 @@ def heavy(spark, sf_dir):
     return ch.heavy_atoms(fx.atoms(spark, sf_dir))
 
 
-def chains(spark, sf_dir):
-    return ch.place_chains(ch.chain_table(heavy(spark, sf_dir)), fx.structures(spark, sf_dir), F.col("first_pos"))
+def staged_atoms(spark, sf_dir):
+    """Heavy atoms as a table of even files, for queries that go over them more than once."""
+    return stage(heavy(spark, sf_dir).hint("rebalance", "source"))
+
+
+def chains(spark, sf_dir, atoms=None):
+    atoms = heavy(spark, sf_dir) if atoms is None else atoms
+    return ch.place_chains(ch.chain_table(atoms), fx.structures(spark, sf_dir), F.col("first_pos"))
 
 
 def xref(spark, sf_dir):
@@ -60,26 +66,27 @@ def hits(spark, sf_dir):
     return first_wins(rows, ["file_ord", "unique_chain_id"], ["rank", "hit_id"], ["hit_id"])
 
 
-def annotated(spark, sf_dir):
-    return an.annotate(chains(spark, sf_dir), xref(spark, sf_dir), names(spark, sf_dir), seqres(spark, sf_dir))
+def annotated(spark, sf_dir, atoms=None):
+    return an.annotate(chains(spark, sf_dir, atoms), xref(spark, sf_dir), names(spark, sf_dir), seqres(spark, sf_dir))
 
 
-def final(spark, sf_dir):
-    """Annotated chains, written once: most queries below use them several times."""
-    return stage(_final(spark, sf_dir))
+def final(spark, sf_dir, atoms=None):
+    return an.apply_hits(annotated(spark, sf_dir, atoms), hits(spark, sf_dir), ["file_ord", "unique_chain_id"])
 
 
-def _final(spark, sf_dir):
-    return an.apply_hits(annotated(spark, sf_dir), hits(spark, sf_dir), ["file_ord", "unique_chain_id"])
+def annotated_atoms(spark, sf_dir):
+    """Atoms and annotated chains, both written once."""
+    atoms = staged_atoms(spark, sf_dir)
+    return atoms, stage(final(spark, sf_dir, atoms))
 
 
 def located(spark, sf_dir):
-    return ch.chain_atoms(heavy(spark, sf_dir), final(spark, sf_dir), "molecule_type")
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    return ch.chain_atoms(atoms, all_chains, "molecule_type")
 
 
-def interactions(spark, sf_dir, chains=None):
-    chains = final(spark, sf_dir) if chains is None else chains
-    return contacts.chain_interactions(heavy(spark, sf_dir), chains)
+def interactions(spark, sf_dir):
+    return contacts.chain_interactions(*annotated_atoms(spark, sf_dir))
 
 
 # --- sources --------------------------------------------------------------
@@ -227,7 +234,7 @@ def search_candidates(spark, sf_dir):
 
 @query
 def annotate_final(spark, sf_dir):
-    return _final(spark, sf_dir).select(*ANNOTATION)
+    return final(spark, sf_dir).select(*ANNOTATION)
 
 
 @query
@@ -285,7 +292,7 @@ def chain_interactions(spark, sf_dir):
 @query
 def chain_interactions_compat(spark, sf_dir):
     """Geometry by chain name: the same rows, since names occur once here."""
-    found = contacts.chain_interactions_compat(heavy(spark, sf_dir), final(spark, sf_dir))
+    found = contacts.chain_interactions_compat(*annotated_atoms(spark, sf_dir))
     return found.select("file_path", "chain_a", "chain_b", "all_atoms_count", "interaction_type")
 
 
@@ -297,17 +304,17 @@ def prefix_join(spark, sf_dir):
 
 @query
 def atom_contacts(spark, sf_dir):
-    all_chains = final(spark, sf_dir)
-    found = stage(interactions(spark, sf_dir, all_chains))
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    found = stage(contacts.chain_interactions(atoms, all_chains))
     selected = contacts.interactions_by_id(fx.structures(spark, sf_dir), found)
-    return contacts.atom_contacts(heavy(spark, sf_dir), all_chains, selected)
+    return contacts.atom_contacts(atoms, all_chains, selected)
 
 
 # --- networks -------------------------------------------------------------
 
 def _chain_network(spark, sf_dir):
-    all_chains = final(spark, sf_dir)
-    edges = stage(networks.chain_edges(interactions(spark, sf_dir, all_chains)))
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    edges = stage(networks.chain_edges(contacts.chain_interactions(atoms, all_chains)))
     return networks.chain_nodes(all_chains, edges).select(*networks.NODE_COLUMNS), edges
 
 
@@ -323,8 +330,8 @@ def chain_nodes(spark, sf_dir):
 
 @query
 def combined_chain_network(spark, sf_dir):
-    all_chains = final(spark, sf_dir)
-    edges = stage(networks.combined_chain_edges(interactions(spark, sf_dir, all_chains)))
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    edges = stage(networks.combined_chain_edges(contacts.chain_interactions(atoms, all_chains)))
     nodes = networks.combined_chain_nodes(all_chains, edges).select(*networks.NODE_COLUMNS)
     empty = F.lit(None).cast("string")
     return (nodes.select("network", F.lit("node").alias("kind"), "id", "tooltip", "color_group",
@@ -341,8 +348,8 @@ def edge_endpoints(spark, sf_dir):
 
 @query
 def nonempty_networks(spark, sf_dir):
-    all_chains = final(spark, sf_dir)
-    edges = networks.chain_edges(interactions(spark, sf_dir, all_chains))
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    edges = networks.chain_edges(contacts.chain_interactions(atoms, all_chains))
     every = all_chains.select(
         F.concat(F.lit("Chain_Interaction_Network_"), "pdb_id").alias("network"), F.col("unique_chain_id").alias("id"))
     return networks.nonempty(every, edges).groupBy("network").agg(F.count("id").alias("n_nodes"))
@@ -350,27 +357,27 @@ def nonempty_networks(spark, sf_dir):
 
 @query
 def chain_to_protein(spark, sf_dir):
-    return networks.chain_to_protein(_final(spark, sf_dir))
+    return networks.chain_to_protein(final(spark, sf_dir))
 
 
 @query
 def protein_color_group(spark, sf_dir):
-    return networks.protein_summary(_final(spark, sf_dir)).select("uniprot_id", "color_group")
+    return networks.protein_summary(final(spark, sf_dir)).select("uniprot_id", "color_group")
 
 
 @query
 def structures_per_protein(spark, sf_dir):
-    return networks.structures_per_protein(_final(spark, sf_dir))
+    return networks.structures_per_protein(final(spark, sf_dir))
 
 
-def _loose_interactions(spark, sf_dir, all_chains):
+def _loose_interactions(atoms, all_chains):
     """A gate of one C-alpha pair, since the chains here have few atoms and hardly any pair has ten."""
-    return contacts.chain_interactions(heavy(spark, sf_dir), all_chains, min_ca_pairs=1)
+    return contacts.chain_interactions(atoms, all_chains, min_ca_pairs=1)
 
 
 def _pairs(spark, sf_dir, per_structure=True, agg="first"):
-    all_chains = final(spark, sf_dir)
-    return networks.protein_pairs(_loose_interactions(spark, sf_dir, all_chains), all_chains, per_structure, agg)
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    return networks.protein_pairs(_loose_interactions(atoms, all_chains), all_chains, per_structure, agg)
 
 
 @query
@@ -385,8 +392,8 @@ def protein_edges_sum(spark, sf_dir):
 
 @query
 def protein_nodes(spark, sf_dir):
-    all_chains = final(spark, sf_dir)
-    found = _loose_interactions(spark, sf_dir, all_chains)
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    found = _loose_interactions(atoms, all_chains)
     return networks.protein_nodes(networks.protein_edges(networks.protein_pairs(found, all_chains)), all_chains)
 
 
@@ -404,8 +411,8 @@ def combined_protein_network_parallel(spark, sf_dir):
 
 @query
 def combined_protein_nodes(spark, sf_dir):
-    all_chains = final(spark, sf_dir)
-    found = _loose_interactions(spark, sf_dir, all_chains)
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    found = _loose_interactions(atoms, all_chains)
     pairs = networks.protein_pairs(found, all_chains, per_structure=False)
     return networks.protein_nodes(networks.combined_protein_edges(pairs), all_chains)
 
@@ -413,9 +420,10 @@ def combined_protein_nodes(spark, sf_dir):
 @query
 def color_assignment(spark, sf_dir):
     """Group colors of the chain networks and of both kinds of protein network."""
-    nodes, _ = _chain_network(spark, sf_dir)
-    all_chains = final(spark, sf_dir)
-    pairs = stage(networks.protein_pairs(_loose_interactions(spark, sf_dir, all_chains), all_chains))
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    edges = networks.chain_edges(contacts.chain_interactions(atoms, all_chains))
+    nodes = networks.chain_nodes(all_chains, edges)
+    pairs = stage(networks.protein_pairs(_loose_interactions(atoms, all_chains), all_chains))
     single = networks.protein_nodes(networks.protein_edges(pairs), all_chains)
     combined = networks.protein_nodes(networks.combined_protein_edges(pairs), all_chains)
     groups = [n.select("network", "color_group") for n in (nodes, single, combined)]
@@ -432,9 +440,9 @@ def structure_colors(spark, sf_dir):
 
 @query
 def style_name(spark, sf_dir):
-    all_chains = final(spark, sf_dir)
-    chain = networks.chain_edges(interactions(spark, sf_dir, all_chains))
-    pairs = stage(networks.protein_pairs(_loose_interactions(spark, sf_dir, all_chains), all_chains))
+    atoms, all_chains = annotated_atoms(spark, sf_dir)
+    chain = networks.chain_edges(contacts.chain_interactions(atoms, all_chains))
+    pairs = stage(networks.protein_pairs(_loose_interactions(atoms, all_chains), all_chains))
     edges = [e.select("network") for e in
              (chain, networks.protein_edges(pairs), networks.combined_protein_edges(pairs))]
     return coloring.style_names(edges[0].unionByName(edges[1]).unionByName(edges[2]))
