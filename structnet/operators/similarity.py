@@ -50,9 +50,13 @@ def best_matches(queries: DataFrame, targets: DataFrame, query_id: str, target_i
 
     ``grams`` maps the text column to an array of distinct grams.
     """
-    # One id stands for all queries of equal text, so that no text travels with its grams.
-    q_texts = queries.groupBy(text).agg(F.min(query_id).alias("query"))
-    t_texts = targets.groupBy(text).agg(F.min(target_id).alias("hit_id"))
+    # One id stands for all queries of equal text, so that no text travels with its grams. Texts are
+    # told apart by a 256-bit digest, which keeps sort keys short.
+    digest = F.sha2(text, 256).alias("digest")
+    keyed = queries.select(F.col(query_id), F.col(text), digest)
+    q_texts = keyed.groupBy("digest").agg(F.min(query_id).alias("query"), F.min(text).alias(text))
+    t_texts = (targets.select(F.col(target_id), F.col(text), digest)
+               .groupBy("digest").agg(F.min(target_id).alias("hit_id"), F.min(text).alias(text)))
     q_grams = (q_texts.select("query", grams(F.col(text)).alias("grams"))
                .select("query", F.size("grams").alias("n"), F.explode("grams").alias("gram")))
     # Only target grams that some query has matter from here on.
@@ -84,5 +88,5 @@ def best_matches(queries: DataFrame, targets: DataFrame, query_id: str, target_i
             .agg(F.min_by(F.struct("hit_id", "shared", "score"),
                           F.struct(-F.col("shared"), F.col("hit_id"))).alias("b"))
             .select("query", "b.*"))
-    return (queries.select(query_id, text).join(q_texts, text).select(query_id, "query")
+    return (keyed.select(query_id, "digest").join(q_texts.select("digest", "query"), "digest")
             .join(best, "query").select(query_id, "hit_id", "shared", "score"))
