@@ -19,14 +19,19 @@ def new_run_id() -> str:
 
 def write_contacts(contacts: DataFrame, run_path: str) -> None:
     """One CSV folder per structure; a missing accession is an empty cell."""
-    (contacts.withColumn("structure", F.col("PDB_ID"))
+    (_gathered(contacts.withColumn("structure", F.col("PDB_ID")), "structure")
      .write.partitionBy("structure").option("header", True).option("emptyValue", "").csv(
         f"{run_path}/detailed_interactions"))
 
 
 def write_network(nodes: DataFrame, edges: DataFrame, run_path: str, name: str) -> None:
-    nodes.write.partitionBy("network").parquet(f"{run_path}/{name}/nodes")
-    edges.write.partitionBy("network").parquet(f"{run_path}/{name}/edges")
+    _gathered(nodes, "network").write.partitionBy("network").parquet(f"{run_path}/{name}/nodes")
+    _gathered(edges, "network").write.partitionBy("network").parquet(f"{run_path}/{name}/edges")
+
+
+def _gathered(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of a folder in few tasks, so that it gets few files; a large folder is split over several."""
+    return rows.hint("rebalance", column)
 
 
 def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

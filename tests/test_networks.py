@@ -2,7 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from structnet.operators import coloring, networks
+from structnet.operators import coloring, contacts, networks
+from structnet.operators.chains import select_atoms
 from structnet.operators.dedup import first_wins, last_wins
 from structnet.sources import sinks
 
@@ -92,6 +93,23 @@ def test_first_and_last_wins(spark):
         assert rows(last_wins(d, ["k"], ["o"], ["v"]).fillna("-"), "k", "v") == [("k", "c"), ("l", "-")]
 
 
+def test_prefix_selection(spark):
+    """An id that starts another id takes its interactions too."""
+    structures = spark.createDataFrame([(1, "MODEL1"), (2, "MODEL12"), (3, "X")], "file_ord long, pdb_id string")
+    found = spark.createDataFrame([(2, "MODEL12:A", "MODEL12:B"), (1, "MODEL1:A", "MODEL1:B")],
+                                  "file_ord long, chain_a string, chain_b string")
+    assert rows(contacts.interactions_by_prefix(structures, found), "structure_id", "chain_a") == [
+        ("MODEL1", "MODEL12:A"), ("MODEL1", "MODEL1:A"), ("MODEL12", "MODEL12:A")]
+    assert rows(contacts.interactions_by_id(structures, found), "structure_id", "chain_a") == [
+        ("MODEL1", "MODEL1:A"), ("MODEL12", "MODEL12:A")]
+
+
+def test_atom_selection(spark):
+    """A calcium ion is named like a C-alpha atom and passes as one."""
+    atoms = spark.createDataFrame([("CA", "C"), ("CA", "CA"), ("CB", "C")], "atom_name string, element string")
+    assert [select_atoms(atoms, kind).count() for kind in ("ca", "all_atoms", "other")] == [2, 3, 0]
+
+
 def test_graph_json(spark, tmp_path):
     edges = networks.combined_protein_edges(spark.createDataFrame(
         [("P1", 'P"2', 3), ("P1", 'P"2', 3), ("P2", "P3", 1)],

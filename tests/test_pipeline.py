@@ -138,6 +138,18 @@ def test_compat_models_and_toggles(spark, setup):
         ("TWO_MODELS:A", "TWO_MODELS:B", n)] * 3 + [("TWO_MODELS:B", "TWO_MODELS:A", n)]
 
 
+def test_compat_contacts_use_the_last_model(spark, setup):
+    """Contacts come from the last chain of a name; here the second model has none."""
+    folder, paths = setup
+    manifest = folder / "in" / "models.csv"
+    manifest.write_text(f"file_path\n{folder}/in/two_models.pdb\n{folder}/in/1abc.pdb\n")
+    inputs = {**paths, "manifest": str(manifest)}
+    strict = run(spark, Options(output="", compat=True, search=False, **inputs))["contacts"]
+    assert {r.PDB_ID for r in strict.collect()} == {"1ABC"}
+    default = run(spark, Options(output="", search=False, **inputs))["contacts"]
+    assert {r.PDB_ID for r in default.collect()} == {"1ABC", "TWO_MODELS"}
+
+
 def test_water_flips_unmatched_protein(spark, setup):
     """Without accession and hit the residues decide, and a water makes a chain nucleic."""
     folder, paths = setup
