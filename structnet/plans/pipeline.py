@@ -57,11 +57,11 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
     files = structure_files(manifest)
     raw, content_ids = read_structures(spark, files, o.compat)
     raw = stage(raw)
-    atoms = ch.heavy_atoms(structures.accepted_atoms(raw))
+    atoms = ch.heavy_atoms(raw)
 
     records = lookups.read_fasta(spark, o.sequence_headers)
     listed = identifiers.resolve_ids(files, content_ids, identifiers.valid_ids(records))
-    chains = ch.chain_table(atoms)
+    chains = structures.accepted_chains(ch.chain_table(atoms), raw)
     chains = ch.place_chains(chains if o.compat else ch.first_model(chains), listed)
 
     proteins = lookups.protein_names(lookups.read_fasta(spark, o.protein_names))

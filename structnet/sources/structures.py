@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structnet.functions import rules
 from structnet.sources.manifest import file_order, scanned_path
 
 ATOM_COLUMNS = ["source", "model", "chain_id", "residue_number", "insertion_code", "residue_name",
@@ -160,9 +161,9 @@ def cif_content_ids(lines: DataFrame, compat: bool = False) -> DataFrame:
 
 # --- both -----------------------------------------------------------------
 
-def accepted_atoms(atoms: DataFrame) -> DataFrame:
-    """Atoms of the files without an unreadable coordinate."""
-    return atoms.join(_unreadable(atoms), "source", "left_anti")
+def accepted_chains(chains: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Chains of the files without an unreadable coordinate; the atoms follow when they join their chains."""
+    return chains.join(_unreadable(atoms), "source", "left_anti")
 
 
 def _unreadable(atoms: DataFrame) -> DataFrame:
@@ -171,8 +172,6 @@ def _unreadable(atoms: DataFrame) -> DataFrame:
 
 def rejected_files(manifest: DataFrame, atoms: DataFrame) -> DataFrame:
     """``file_path, reason`` of the manifest rows that give no structure; the run goes on without them."""
-    from structnet.functions import rules
-
     found = atoms.select("source").distinct().withColumn("found", F.lit(True))
     bad = _unreadable(atoms).withColumn("bad", F.lit(True))
     wrong_suffix = ~rules.has_suffix(F.col("file_path"))
