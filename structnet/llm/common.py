@@ -74,6 +74,11 @@ def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.dropDuplicates(names).select(*(f"`{c}`" for c in docs.columns))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all shuffle partitions, for small rows that much work follows from."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as files in the shared checkpoint folder, so that a lost executor costs no earlier work.
 

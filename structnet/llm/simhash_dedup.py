@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from structnet.llm.common import map_rows, signed, text_hash, texts, written
+from structnet.llm.common import map_rows, signed, spread, text_hash, texts, written
 from structnet.llm.components import components
 
 SEED = 42
@@ -80,23 +80,18 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges ``(a, b)`` that connect what fingerprints ``fp`` within ``radius`` (up to 3) bits of each other connect.
 
     Of 64 bits cut into two segments, one differs by one bit at most, so links share a key of one segment with
-    one bit left out. A key of two fingerprints gives its pair at once; members of larger buckets are joined on the key;
-    every pair is verified. Members of a bucket with more than BUCKET fingerprints are linked exactly without pairs: two are
-    within two bits if and only if they share a point within one bit of both, and each is tied to the smallest that has the point.
-    (Beyond two bits, such buckets are joined as well.)
+    one bit left out. Fingerprints that meet on a key are joined, and every pair is verified. Members of a bucket with
+    more than BUCKET fingerprints are linked exactly without pairs: two are within two bits if and only if they share a
+    point within one bit of both, and each is tied to the smallest that has the point. (Beyond two bits, such buckets are joined as well.)
     """
-    fps = fps.select("fp").distinct()
-    keyed = fps.select("fp", F.explode(variants([F.col("fp")], 32, 64)).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    buckets = written(buckets)
-    close = differing([F.col("a")], [F.col("b")]) <= radius
-    pairs = buckets.where("n = 2").where(close).select("a", "b").distinct()
+    keyed = spread(fps.select("fp").distinct()).select("fp", F.explode(variants([F.col("fp")], 32, 64)).alias("key"))
+    members = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     hot = F.col("n") > BUCKET if radius <= 2 else F.lit(False)
-    members = keyed.join(buckets.where(F.col("n") > 2).where(~hot).select("key"), "key")
-    joined = members.withColumnRenamed("fp", "a").join(members.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct()
-    edges = pairs.union(joined)
+    close = differing([F.col("a")], [F.col("b")]) <= radius
+    some = members.where(~hot)
+    edges = some.select("key", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct()
     if radius <= 2:
-        hub = keyed.join(buckets.where(hot).select("key"), "key", "left_semi").select("fp").distinct()
+        hub = members.where(hot).select("fp").distinct()
         points = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
         point = hub.select("fp", F.explode(points).alias("point"))
         lows = point.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("high")).where("a < high").select("point", "a")
@@ -198,7 +193,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     rows = written(rows.join(equal, ["h1", "h2"]))
     nodes = rows.where("row = first").select(F.col("row").alias("node"), *names)
 
-    keyed = nodes.select("node", F.explode(variants([F.col(x) for x in names], SEGMENT_BITS, 2 * SEGMENT_BITS)).alias("key"))
+    keyed = spread(nodes).select("node", F.explode(variants([F.col(x) for x in names], SEGMENT_BITS, 2 * SEGMENT_BITS)).alias("key"))
     bucket = Window.partitionBy("key")
     members = keyed.select("key", "node", F.min("node").over(bucket).alias("low"), F.count("*").over(bucket).alias("n"))
     members = written(members.where("n > 1"))
