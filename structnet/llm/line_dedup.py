@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structnet.llm.common import map_rows, signed, texts, written
@@ -98,6 +98,24 @@ def keys_of(line: str, edits: int = EDITS) -> list[int]:
     return own + others
 
 
+_GROUPS = bytes(b % 8 if b < 128 else 8 for b in range(256))
+
+
+def letters(line: str) -> int:
+    """How many characters each of eight groups of ASCII characters has, modulo 16, four bits a group."""
+    groups = line.encode().translate(_GROUPS)
+    return sum((groups.count(k) & 15) << 4 * k for k in range(8))
+
+
+def letters_differ(a: Column, b: Column) -> Column:
+    """At least so many more or fewer characters, over all groups; an edit changes two counts by one at most."""
+    out = F.lit(0)
+    for k in range(8):
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
+        out = out + F.least(d, 16 - d)
+    return out
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line, h1, h2: every line between line feeds that is not empty; the hashes stand for the line."""
     rows = texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
@@ -109,7 +127,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, share: float = SHARE) -> Dat
 
     Lines are cut into edits + 1 segments, one of which every match has unchanged. Each line writes its own segments and
     looks up, length by length, the substrings that may be one; rows that meet on a key are candidates, and the banded
-    distance verifies them. A line that repeats writes its keys once a task. Keys that only one line has go before the join.
+    distance verifies them, if their letters allow it. A line that repeats writes its keys once a task. Keys that only one line has go before the join.
     """
 
     def keyed(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -122,16 +140,19 @@ def near_lines(docs: DataFrame, edits: int = EDITS, share: float = SHARE) -> Dat
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(own)
-                        yield own, keys_of(line, edits)
+                        yield own, letters(line), keys_of(line, edits)
 
-    rows = map_rows(texts(docs), keyed, ["text"], "id long, keys array<long>", pa.schema([("id", pa.int64()), ("keys", pa.list_(pa.int64()))]))
-    rows = rows.select("id", F.posexplode("keys").alias("place", "key")).select("key", "id", (F.col("place") <= edits).alias("own"))
+    arrow = pa.schema([("id", pa.int64()), ("letters", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    rows = map_rows(texts(docs), keyed, ["text"], "id long, letters long, keys array<long>", arrow)
+    rows = rows.select("id", "letters", F.posexplode("keys").alias("place", "key"))
+    rows = rows.select("key", "id", (F.col("letters") * 2 + (F.col("place") <= edits).cast("long")).alias("mark"))  # one number, for narrow rows
     bucket = Window.partitionBy("key")
-    rows = rows.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).withColumn("found", F.max("own").over(bucket))
-    rows = written(rows.where("low <> high and found").select("key", "id", "own").distinct())
-    own = rows.where("own").select("key", F.col("id").alias("a"))
-    looks = rows.select("key", F.col("id").alias("b"), "own")
-    pairs = own.join(looks, "key").where("a <> b and (not own or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = rows.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).withColumn("found", F.max(F.col("mark") % 2).over(bucket))
+    rows = written(rows.where("low <> high and found = 1").select("key", "id", "mark").distinct().select("key", "id", (F.col("mark") % 2 == 1).alias("own"), F.shiftright("mark", 1).alias("letters")))
+    own = rows.where("own").select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"))
+    looks = rows.select("key", F.col("id").alias("b"), "own", F.col("letters").alias("letters_b"))
+    alike = letters_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * edits
+    pairs = own.join(looks, "key").where("a <> b and (not own or a < b)").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     known = written(lines_of(docs).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
