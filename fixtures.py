@@ -60,11 +60,11 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xref_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows for chains A to C, several per key; the last by (ord, sub_ord) counts, and may be empty."""
+    """Several rows per key; the last by (ord, sub_ord) counts, and is empty for chains from D on and for some others."""
     found = accession(F.col("l_suppkey") % 60)
-    return (table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= 3)
+    return (table(spark, sf_dir, "lineitem")
             .select(map_key().alias("map_key"),
-                    F.when(F.col("l_returnflag") == "R", "").otherwise(found).alias("uniprot_id"),
+                    F.when((F.col("l_linenumber") > 3) | (F.col("l_returnflag") == "R"), "").otherwise(found).alias("uniprot_id"),
                     F.col("l_orderkey").alias("ord"), F.col("l_suppkey").alias("sub_ord"),
                     F.col("l_returnflag").alias("flag")))
 
@@ -77,23 +77,24 @@ def name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence header records of chains A to F, none for two part types; the last by (ord, sub_ord, length) counts."""
+    """Sequence header records; the last by (ord, sub_ord, length) counts.
+
+    Chains from G on and those of two part types have keys that no chain looks up.
+    """
     kind = F.when(F.col("l_linenumber") <= 5, "protein").otherwise("na")
     length = F.col("l_quantity").cast("int")
-    named = (table(spark, sf_dir, "part").filter(~F.col("p_type").isin("ECONOMY", "PROMO"))
-             .select(F.col("p_partkey").alias("l_partkey"), "p_name"))
-    return (table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= 6)
-            .join(named, "l_partkey")
-            .select(map_key().alias("map_key"),
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    other = (F.col("l_linenumber") > 6) | F.col("p_type").isin("ECONOMY", "PROMO")
+    return (table(spark, sf_dir, "lineitem").join(named, "l_partkey")
+            .select(F.concat(map_key(), F.when(other, "x").otherwise("")).alias("map_key"),
                     F.concat(F.lit("mol:"), kind, F.lit(" length:"), length.cast("string"), F.lit(" "), "p_name")
                     .alias("info"),
                     F.col("l_orderkey").alias("ord"), F.col("l_suppkey").alias("sub_ord"), length.alias("length")))
 
 
 def hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search hits of chains D and E that reach a score."""
+    """Search hits; only those of chains D and E have a score above zero."""
     return (table(spark, sf_dir, "lineitem")
-            .filter(F.col("l_linenumber").isin(4, 5) & (F.col("l_extendedprice") >= 90000))
             .select(F.col("l_partkey").alias("file_ord"), F.concat_ws(":", pdb_id(), chain_name()).alias("unique_chain_id"),
                     F.concat(F.lit("Q"), F.lpad((F.col("l_suppkey") % 40).cast("string"), 5, "0")).alias("hit_id"),
-                    F.col("l_extendedprice").alias("score")))
+                    F.when(F.col("l_linenumber").isin(4, 5), F.col("l_extendedprice")).otherwise(0.0).alias("score")))

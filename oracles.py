@@ -6,6 +6,7 @@ last rows by ``row_number``, sequences and JSON by string aggregates.
 
 from __future__ import annotations
 
+# Residue names that chains are made of.
 AMINO = ("'ALA','ARG','ASN','ASP','CYS','GLN','GLU','GLY','HIS','ILE','LEU','LYS','MET','PHE','PRO','SER','THR',"
          "'TRP','TYR','VAL','SEC','PYL'")
 NUCLEOTIDES = "'A','C','G','I','U','DA','DC','DG','DI','DT'"
@@ -36,22 +37,22 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "xref": ((), f"""
         SELECT map_key, uniprot_id FROM (
             SELECT lower({PDB_ID}) || '_' || {CHAIN} AS map_key,
-                   CASE WHEN l_returnflag = 'R' THEN ''
+                   CASE WHEN l_linenumber > 3 OR l_returnflag = 'R' THEN ''
                         ELSE 'P' || lpad(CAST(l_suppkey % 60 AS VARCHAR), 5, '0') END AS uniprot_id,
                    row_number() OVER (PARTITION BY l_partkey, l_linenumber
                                       ORDER BY l_orderkey DESC, l_suppkey DESC, l_returnflag DESC) AS rn
-            FROM lineitem WHERE l_linenumber <= 3) WHERE rn = 1"""),
+            FROM lineitem) WHERE rn = 1"""),
     "names": ((), """
         SELECT uniprot_id, protein_name FROM (
             SELECT 'P' || lpad(CAST(p_size AS VARCHAR), 5, '0') AS uniprot_id, p_name AS protein_name,
                    row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) AS rn FROM part) WHERE rn = 1"""),
     "header": ((), f"""
-        SELECT lower({PDB_ID}) || '_' || {CHAIN} AS map_key, l_partkey, l_linenumber, l_orderkey, l_suppkey,
+        SELECT lower({PDB_ID}) || '_' || {CHAIN}
+                      || CASE WHEN l_linenumber > 6 OR p_type IN ('ECONOMY', 'PROMO') THEN 'x' ELSE '' END AS map_key, l_partkey, l_linenumber, l_orderkey, l_suppkey,
                CAST(l_quantity AS INTEGER) AS len,
                'mol:' || CASE WHEN l_linenumber <= 5 THEN 'protein' ELSE 'na' END || ' length:'
                       || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' ' || p_name AS info
-        FROM lineitem JOIN part ON p_partkey = l_partkey
-        WHERE l_linenumber <= 6 AND p_type NOT IN ('ECONOMY', 'PROMO')"""),
+        FROM lineitem JOIN part ON p_partkey = l_partkey"""),
     "seqres": (("header",), """
         SELECT map_key, info FROM (
             SELECT map_key, info, row_number() OVER (PARTITION BY map_key
@@ -290,13 +291,6 @@ def oracle_sql() -> dict[str, str]:
         "radius_pair_count": _sql("near", """
             SELECT file_ord, chain_pos_a, chain_pos_b, count(*) AS n_pairs FROM near WHERE d <= 5
             GROUP BY file_ord, chain_pos_a, chain_pos_b"""),
-        "radius_pair_count_ungrouped": _sql("", """
-            SELECT a.label AS label_a, b.label AS label_b, count(*) AS n_pairs
-            FROM p a JOIN p b ON a.label < b.label
-             AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= CAST(0.1 AS DOUBLE) * CAST(0.1 AS DOUBLE)
-            GROUP BY a.label, b.label""",
-            p="SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, "
-              "CAST(embedding[3] AS DOUBLE) AS z FROM embeddings"),
         "ca_contact_count": _sql("ca_count", "SELECT file_ord, chain_pos_a, chain_pos_b, ca_count FROM ca_count"),
         "all_atom_count": _sql("near5", """
             SELECT file_ord, chain_pos_a, chain_pos_b, count(*) AS all_atoms_count FROM near5 GROUP BY ALL"""),

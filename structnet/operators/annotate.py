@@ -48,6 +48,12 @@ def search_candidates(annotated: DataFrame) -> DataFrame:
     return annotated.filter(_is_candidate())
 
 
+def best_hits(hits: DataFrame, key: list[str], least: float) -> DataFrame:
+    """One ``hit_id`` per key: the best ``score`` of at least ``least``, ties by id."""
+    best = hits.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("rank"), "hit_id")).alias("best"))
+    return best.filter(F.col("best.rank") <= -least).select(*key, F.col("best.hit_id").alias("hit_id"))
+
+
 def apply_hits(annotated: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
     """Update the candidates by the result of a similarity search.
 

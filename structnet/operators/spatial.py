@@ -74,13 +74,16 @@ def radius_pair_count(points: DataFrame, radius: float, group: Sequence[str], me
     """
     if weight is None:
         weight = "_weight"
-        points = merge_points(points, [*group, member, *carry, *coords], **{weight: F.lit(True)})
+        points = merge_points(points, [*group, member, *carry, *coords], coords, **{weight: F.lit(True)})
     pairs = radius_pairs(points, radius, group, member, [*carry, weight], coords, where, cell_factor)
     keys = [*group, *[f"{c}_{t}" for t in "ab" for c in [member, *carry]]]
     return pairs.groupBy(*keys).agg(F.sum(F.col(f"{weight}_a") * F.col(f"{weight}_b")).alias(name))
 
 
-def merge_points(points: DataFrame, keys: Sequence[str], **weights: Column) -> DataFrame:
-    """One row per distinct ``keys``, each weight counting the rows on which its condition holds."""
-    return (points.dropna(subset=list(keys)).groupBy(*keys)
+def merge_points(points: DataFrame, keys: Sequence[str], coords: Sequence[str] = XYZ, **weights: Column) -> DataFrame:
+    """One row per distinct ``keys``, each weight counting the rows on which its condition holds.
+
+    Points without a coordinate are close to nothing and left out; any other key may be NULL.
+    """
+    return (points.dropna(subset=list(coords)).groupBy(*keys)
             .agg(*[F.count_if(condition).alias(name) for name, condition in weights.items()]))

@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder of the session and read it back.
 
     For tables that several later steps use: they are computed once, survive
     the loss of executors, and the planner knows their real size. The folder
-    is ``spark.checkpoint.dir``; only local sessions may leave it unset.
+    is ``spark.checkpoint.dir``, or if that is unset one in the warehouse; all
+    executors share both.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _local_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
     path = f"{folder.rstrip('/')}/structnet-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,6 +28,7 @@ class Options:
     search: bool = True
     search_kmer: int = 5
     search_min_share: float = 0.3
+    first_model_only: bool = False
     compat: bool = False
 
     @classmethod

@@ -10,6 +10,7 @@ from structnet.operators import chains as ch
 from structnet.operators import contacts, networks, similarity
 from structnet.operators.staging import stage
 from structnet.plans.options import Options
+from structnet.plans.session import tune
 from structnet.sources import identifiers, lookups, sinks, structures
 from structnet.sources.manifest import folders, read_manifest, structure_files
 
@@ -53,6 +54,7 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
     for results of an external one.
     """
     o = options
+    tune(spark)
     manifest = read_manifest(spark, o.manifest)
     files = structure_files(manifest)
     raw, content_ids = read_structures(spark, files, o.compat)
@@ -62,9 +64,14 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
     records = lookups.read_fasta(spark, o.sequence_headers)
     listed = identifiers.resolve_ids(files, content_ids, identifiers.valid_ids(records))
     chains = structures.accepted_chains(ch.chain_table(atoms), raw)
-    chains = ch.place_chains(chains if o.compat else ch.first_model(chains), listed)
-
-    proteins = lookups.protein_names(lookups.read_fasta(spark, o.protein_names))
+    if o.first_model_only:
+        chains = ch.first_model(chains)
+    chains = ch.place_chains(chains, listed)
+    if not o.compat:  # every model is a structure of its own, whose chains meet only each other
+        chains = chains.withColumn("file_ord", F.struct("file_ord", "model"))
+
+    names = lookups.read_fasta(spark, o.protein_names)
+    proteins = lookups.protein_names(names)
     annotated = stage(an.annotate(chains, lookups.read_xref(spark, o.cross_reference), proteins,
                                   lookups.sequence_headers(records)))
     if hits is None and o.search:
@@ -76,7 +83,7 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
     find = contacts.chain_interactions_compat if o.compat else contacts.chain_interactions
     interactions = stage(find(atoms, chains, o.ca_radius, o.all_atoms_radius, o.min_ca_pairs))
     products = {"rejected": structures.rejected_files(manifest, raw), "chains": chains, "interactions": interactions,
-                "preview": an.preview(chains)}
+                "preview": an.preview(chains), "malformed_names": lookups.malformed_names(names)}
 
     if o.detailed_contacts:
         placed = chains.select("file_ord", "pdb_id").distinct()
@@ -112,5 +119,6 @@ def write(products: dict[str, DataFrame], options: Options, run_id: str | None =
             sinks.write_network(nodes, edges, path, f"{name}_network")
             if graph_json:
                 sinks.write_graph_json(nodes, edges, path, f"{name}_network")
-    products["rejected"].write.option("header", True).csv(f"{path}/rejected")
+    for name in ("rejected", "malformed_names"):
+        products[name].write.option("header", True).csv(f"{path}/{name}")
     return path

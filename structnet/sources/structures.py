@@ -51,6 +51,14 @@ def guessed_element(padded_name: Column) -> Column:
             .otherwise(F.trim(F.substring(name, 1, 2))))
 
 
+def residue_number(field: Column) -> Column:
+    """A four-column residue number. From 10000 on, files count in base 36: A000 to ZZZZ, then a000 to zzzz."""
+    step = 36 ** 3
+    base = F.conv(field, 36, 10).try_cast("int") - 10 * step + 10000
+    return (F.when(field.rlike("^[A-Z][0-9A-Z]{3}$"), base).when(field.rlike("^[a-z][0-9a-z]{3}$"), base + 26 * step)
+            .otherwise(field.try_cast("int")))
+
+
 def pdb_fields(line: Column) -> dict[str, Column]:
     """The columns of an ``ATOM`` / ``HETATM`` line."""
     def cut(start: int, length: int) -> Column:
@@ -59,7 +67,7 @@ def pdb_fields(line: Column) -> dict[str, Column]:
     symbol = F.upper(cut(77, 2))
     return {
         "chain_id": cut(21, 2),
-        "residue_number": cut(23, 4).try_cast("int"),
+        "residue_number": residue_number(cut(23, 4)),
         "insertion_code": cut(27, 1),
         "residue_name": cut(18, 3),
         "atom_name": cut(13, 4),

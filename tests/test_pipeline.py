@@ -103,8 +103,8 @@ def test_protein_networks(products):
     assert got == [("Protein_Network_1ABC", "P00002", "P00003"), ("Protein_Network_3DEF", "P00002", "P00009")]
     groups = {r.id: r.color_group for r in p["combined_protein_nodes"].collect()}
     assert groups == {"P00002": "Multi", "P00003": "1ABC", "P00009": "Multi"}
-    # Two files have the id 2XYZ: all chains are in the combined network, the first file's in the single one.
-    assert p["combined_chain_nodes"].count() == 9 and p["chain_nodes"].count() == 8
+    # Two files have the id 2XYZ and one has two models: all chains are in the combined network, the first file's in the single one.
+    assert p["combined_chain_nodes"].count() == 11 and p["chain_nodes"].count() == 8
 
 
 def test_written_run(products):

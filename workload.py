@@ -12,7 +12,7 @@ from structnet.functions import rules
 from structnet.operators import annotate as an
 from structnet.operators import chains as ch
 from structnet.operators import coloring, contacts, networks, similarity, spatial
-from structnet.operators.dedup import first_wins, last_wins
+from structnet.operators.dedup import last_wins
 from structnet.operators.staging import stage
 from structnet.sources import identifiers, sinks
 from structnet.sources import structures as st
@@ -62,8 +62,7 @@ def seqres(spark, sf_dir):
 
 
 def hits(spark, sf_dir):
-    rows = fx.hit_rows(spark, sf_dir).withColumn("rank", -F.col("score"))
-    return first_wins(rows, ["file_ord", "unique_chain_id"], ["rank", "hit_id"], ["hit_id"])
+    return an.best_hits(fx.hit_rows(spark, sf_dir), ["file_ord", "unique_chain_id"], 90000)
 
 
 def annotated(spark, sf_dir, atoms=None):
@@ -264,14 +263,6 @@ def radius_pair_count(spark, sf_dir):
     return spatial.radius_pair_count(points, 5.0, ["file_ord"], "chain_pos")
 
 
-@query
-def radius_pair_count_ungrouped(spark, sf_dir):
-    """All vectors in one space: close pairs between labels by the first three dimensions."""
-    points = fx.table(spark, sf_dir, "embeddings").select(
-        "label", *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
-    return spatial.radius_pair_count(points, 0.1, [], "label")
-
-
 @query
 def ca_contact_count(spark, sf_dir):
     points = contacts.contact_points(located(spark, sf_dir))
