@@ -14,6 +14,8 @@ from structnet.llm.common import map_rows, signed, texts, written
 #: Lines link at this many edits at most, if that is no more than SHARE of the longer line.
 EDITS = 2
 SHARE = 0.2
+#: Marks the keys of a line's own segments, above its letter counts.
+OWN = 1 << 40
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -145,10 +147,10 @@ def near_lines(docs: DataFrame, edits: int = EDITS, share: float = SHARE) -> Dat
     arrow = pa.schema([("id", pa.int64()), ("letters", pa.int64()), ("keys", pa.list_(pa.int64()))])
     rows = map_rows(texts(docs), keyed, ["text"], "id long, letters long, keys array<long>", arrow)
     rows = rows.select("id", "letters", F.posexplode("keys").alias("place", "key"))
-    rows = rows.select("key", "id", (F.col("letters") * 2 + (F.col("place") <= edits).cast("long")).alias("mark"))  # one number, for narrow rows
+    rows = rows.select("key", "id", (F.col("letters") + F.when(F.col("place") <= edits, OWN).otherwise(0)).alias("mark"))  # one number, for narrow rows
     bucket = Window.partitionBy("key")
-    rows = rows.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).withColumn("found", F.max(F.col("mark") % 2).over(bucket))
-    rows = written(rows.where("low <> high and found = 1").select("key", "id", "mark").distinct().select("key", "id", (F.col("mark") % 2 == 1).alias("own"), F.shiftright("mark", 1).alias("letters")))
+    rows = rows.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).withColumn("found", F.max("mark").over(bucket))
+    rows = written(rows.where("low <> high").where(F.col("found") >= OWN).select("key", "id", "mark").distinct().select("key", "id", (F.col("mark") >= OWN).alias("own"), (F.col("mark") % OWN).alias("letters")))
     own = rows.where("own").select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"))
     looks = rows.select("key", F.col("id").alias("b"), "own", F.col("letters").alias("letters_b"))
     alike = letters_differ(F.col("letters_a"), F.col("letters_b")) <= 2 * edits
