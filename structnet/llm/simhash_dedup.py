@@ -119,8 +119,27 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 #: The signature of :func:`near_duplicates`: segments, and bits of each.
 SEGMENTS, SEGMENT_BITS = 6, 28
-#: Signatures that differ in more bits are no candidates. Twice what pairs at the threshold differ by.
-FARTHEST = 40
+#: What candidates differ by at most: bits of the signature, and of the SHAPE longs that stand for the shingles. Pairs at the
+#: threshold differ by 14 of 168 (deviation 4) and by 116 of 768 (deviation 10).
+#: Nearer pairs are looked at first, as they are mostly links, which leave fewer groups.
+FARTHEST, SHAPE, SHAPE_FARTHEST = 30, 12, (92, 132)
+#: Buckets' smallest members that a member is compared with before its groups are looked at: the nearest ones.
+TRIES = 16
+
+
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Other hashes from hashes."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majorities(h: np.ndarray, n: int) -> list[int]:
+    out = []
+    for _ in range(n):
+        out.append(signed(majority(h)))
+        h = remixed(h + np.uint64(1))
+    return out
 
 
 def signature(words: list[bytes]) -> list[int]:
@@ -129,15 +148,12 @@ def signature(words: list[bytes]) -> list[int]:
     Two texts that share 0.8 of their 5-word shingles share over 0.93 of their words, so this fingerprint differs in far
     fewer bits than one of the shingles.
     """
-    distinct = sorted(set(words))
-    out = []
-    for i in range(0, SEGMENTS, 2):
-        out.append(majority(hashes(distinct, 1000 + i)) & ((1 << 2 * SEGMENT_BITS) - 1))
-    return out
+    return [x & (1 << 2 * SEGMENT_BITS) - 1 for x in majorities(hashes(list(set(words)), 1000), SEGMENTS // 2)]
 
 
 def shingle_set(words: list[bytes], width: int = 5) -> np.ndarray:
-    return np.unique(hashes(shingles(words, width), 5))
+    """Distinct shingles as 32-bit hashes: of a thousand, two meet by chance in one text of ten thousand."""
+    return np.unique(hashes(shingles(words, width), 5).astype(np.uint32))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,6 +161,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def _first_shared(a: list[Column], b: list[Column]) -> Column:
+    """Of the keys that two signatures share, whether that at ``place`` counts for the pair: exactly one does.
+
+    It is in their first segment that differs in one bit at most: the key without that bit, or if none differs, without the first one.
+    """
+    segment = F.expr(f"place div {SEGMENT_BITS}")
+    out = (F.col("a_bit") != F.col("b_bit")) | (F.col("place") % SEGMENT_BITS == 0)
+    mask = F.lit((1 << SEGMENT_BITS) - 1)
+    for i in range(SEGMENTS - 1):
+        bits = F.bit_count(F.shiftrightunsigned(a[i // 2].bitwiseXOR(b[i // 2]), i % 2 * SEGMENT_BITS).bitwiseAND(mask))
+        out = out & ((segment <= i) | (bits > 1))
+    return out
+
+
 def sequence_hashes(words: list[bytes]) -> tuple[int, int]:
     whole = b" ".join(words)
     return signed(xxhash.xxh64_intdigest(whole, 1)), signed(xxhash.xxh64_intdigest(whole, 2))
@@ -158,7 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def similar(rows: Iterator[tuple]) -> Iterator[tuple]:
         for a, b, x, y in rows:
-            if jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least:
+            if jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least:
                 yield a, b
 
     return map_rows(both, similar, ["a", "b", "of_a", "of_b"], "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -168,16 +198,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     """One row per row of ``docs``: doc_id, row (a number), group (the smallest row number among its near duplicates), n_words, text_hash.
 
     Two rows are near duplicates if their sets of ``width``-word shingles are at least ``least`` similar; groups are what such
-    links connect. Candidates share a segment of the SimHash signature but for one bit, and differ in FARTHEST bits at most.
-    Of every bucket, first each member is compared with its smallest; where that leaves more than one group, the
-    members of different groups are compared, so no link between groups is lost and a bucket of copies costs one comparison a copy.
+    links connect. Candidates share a segment of the SimHash signature but for one bit, and differ by FARTHEST and SHAPE_FARTHEST bits at most.
+    First each member is compared with the smallest ones of its buckets, the TRIES nearest of them; where that leaves a bucket with more than one group, its
+    members of different groups are compared, each pair once, so no link between groups is lost and copies cost a few comparisons each.
     Null and empty texts are one group; so are rows with equal word sequences.
     """
 
     def described(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             words = words_of(text)
-            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), *signature(words)
+            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), *signature(words), *majorities(np.unique(hashes(shingles(words, width), 5)), SHAPE)
 
     def set_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in rows:
@@ -185,35 +215,47 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
             yield *sequence_hashes(words), shingle_set(words, width).tobytes()
 
     names = [f"w{i}" for i in range(SEGMENTS // 2)]
+    shape = [f"s{i}" for i in range(SHAPE)]
     docs = texts(docs)
-    arrow = pa.schema([(x, pa.int64()) for x in ("doc_id", "text_hash", "h1", "h2", "n_words", *names)])
-    rows = map_rows(docs, described, ["doc_id", "text"], "doc_id long, text_hash long, h1 long, h2 long, n_words long, " + ", ".join(f"{x} long" for x in names), arrow)
+    arrow = pa.schema([(x, pa.int64()) for x in ("doc_id", "text_hash", "h1", "h2", "n_words", *names, *shape)])
+    rows = map_rows(docs, described, ["doc_id", "text"], "doc_id long, text_hash long, h1 long, h2 long, n_words long, " + ", ".join(f"{x} long" for x in names + shape), arrow)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
     equal = rows.groupBy("h1", "h2").agg(F.min("row").alias("first"))
     rows = written(rows.join(equal, ["h1", "h2"]))
-    nodes = rows.where("row = first").select(F.col("row").alias("node"), *names)
+    nodes = rows.where("row = first").select(F.col("row").alias("node"), *names, *shape)
 
-    keyed = spread(nodes).select("node", F.explode(variants([F.col(x) for x in names], SEGMENT_BITS, 2 * SEGMENT_BITS)).alias("key"))
+    # rows of two numbers: the key, and a mark of the bit that the key leaves out, the node and the place of the key
+    keyed = spread(nodes).select("node", F.posexplode(variants([F.col(x) for x in names], SEGMENT_BITS, 2 * SEGMENT_BITS)).alias("place", "key"), *names)
+    left_out = f"shiftrightunsigned(element_at(array({', '.join(names)}), cast(place div {2 * SEGMENT_BITS} AS int) + 1), place % {2 * SEGMENT_BITS}) & 1L"
+    keyed = keyed.select("key", F.expr(f"shiftleft({left_out}, 62) | shiftleft(node, 8) | place").alias("mark"))
     bucket = Window.partitionBy("key")
-    members = keyed.select("key", "node", F.min("node").over(bucket).alias("low"), F.count("*").over(bucket).alias("n"))
-    members = written(members.where("n > 1"))
-    sides = [nodes.select(F.col("node").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in names)) for x in "ab"]
-    near = differing([F.col(f"a_{n}") for n in names], [F.col(f"b_{n}") for n in names]) <= FARTHEST
-    star = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    star = written(star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"))
-
+    members = keyed.withColumn("mark_low", F.min("mark").over(bucket)).withColumn("mark_high", F.max("mark").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("mark_low < mark_high")
+    bit, node = lambda x: f"shiftright({x}, 62)", lambda x: f"shiftright({x}, 8) & {(1 << 54) - 1}L"
+    members = members.selectExpr("key", f"{node('mark')} AS node", f"{bit('mark')} AS bit", "mark & 255L AS place", f"{node('mark_low')} AS low", f"{bit('mark_low')} AS bit_low", f"{bit('mark_high')} AS bit_high", "n")
+    # equal segments meet on the key without their first bit; the other keys are there for those that differ in the bit
+    first_place = F.col("place") % SEGMENT_BITS == 0
+    members = written(members.where(first_place | (F.col("bit_low") < F.col("bit_high"))).select("key", "node", "bit", "place", "low", "n"))
+    sides = [nodes.select(F.col("node").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in names + shape)) for x in "ab"]
+    words, shapes = ([[F.col(f"{x}_{n}") for n in own] for x in "ab"] for own in (names, shape))
+    near = (differing(*words) <= FARTHEST) & (differing(*shapes) <= SHAPE_FARTHEST[-1])
+    star = members.where("node <> low").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).distinct()
+    star = written(star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b", differing(*shapes).alias("bits")))
     wanted = star.select(F.explode(F.array("a", "b")).alias("row")).union(members.where("n > 2").select("node")).distinct()
+    star = star.withColumn("try", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).where(F.col("try") <= TRIES).select("a", "b")
+
     wanted = rows.join(wanted, "row").select("doc_id", "h1", "h2", "row")
     some = docs.alias("d").join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = map_rows(some, set_of, ["text"], "h1 long, h2 long, shingles binary", pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.binary())]), size=500)
     sets = written(sets.join(wanted, ["h1", "h2"]).groupBy("row").agg(F.first("shingles").alias("shingles")))
     links = written(_verified(star, sets, least))
 
-    groups = written(components(links))
-    member = members.where("n > 2").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    member = written(member.join(mixed, "key").join(nodes, "node"))
-    sides = [member.select("key", F.col("node").alias(x), F.col("part").alias(f"{x}_part"), *(F.col(n).alias(f"{x}_{n}") for n in names)) for x in "ab"]
-    across = sides[0].join(sides[1], "key").where(F.col("a_part") < F.col("b_part")).where(near).select("a", "b").distinct()
-    groups = components(links.union(_verified(across, sets, least)))
+    for farthest in SHAPE_FARTHEST:
+        groups = written(components(links))
+        member = members.join(groups, "node", "left").select("key", "node", "bit", "place", F.coalesce("component", "node").alias("part"))
+        mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+        member = member.join(mixed, "key").join(nodes, "node")
+        sides = [member.select("key", "place", F.col("node").alias(x), F.col("part").alias(f"{x}_part"), F.col("bit").alias(f"{x}_bit"), *(F.col(n).alias(f"{x}_{n}") for n in names + shape)) for x in "ab"]
+        across = sides[0].join(sides[1].drop("place"), "key").where(F.col("a_part") < F.col("b_part")).where(near & (differing(*shapes) <= farthest)).where(_first_shared(*words)).select("a", "b")
+        links = written(links.union(_verified(across, sets, least)))
+    groups = components(links)
     return rows.join(groups, rows["first"] == groups["node"], "left").select("doc_id", "row", F.coalesce("component", "first").alias("group"), "n_words", "text_hash")
