@@ -30,7 +30,7 @@ class _Words(dict):
     """Hashes of words seen, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, 3)
         return out

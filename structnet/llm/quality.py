@@ -31,7 +31,7 @@ class _Hashes(dict):
     """Hashes of words seen, forgotten when there are too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = zlib.crc32(word.encode())
         return out
