@@ -29,6 +29,12 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
 
 
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the shingles, of which a long text never holds more than PART at once."""
+    parts = [hashes(shingles(words[i:i + PART + width - 1], width), seed) for i in range(0, max(1, len(words) - width + 1), PART)]
+    return np.concatenate(parts)
+
+
 def hashes(items: list[bytes], seed: int = SEED) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(x, seed) for x in items), np.uint64, len(items))
@@ -43,7 +49,7 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprint(text: str, width: int = 3) -> int:
-    return majority(hashes(shingles(words_of(text), width)))
+    return majority(shingle_hashes(words_of(text), width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -125,6 +131,8 @@ SEGMENTS, SEGMENT_BITS = 6, 28
 FARTHEST, SHAPE, SHAPE_FARTHEST = 30, 12, (92, 132)
 #: Buckets' smallest members that a member is compared with before its groups are looked at: the nearest ones.
 TRIES = 16
+#: Shingles that are hashed at a time.
+PART = 1 << 14
 
 
 def remixed(h: np.ndarray) -> np.ndarray:
@@ -153,7 +161,7 @@ def signature(words: list[bytes]) -> list[int]:
 
 def shingle_set(words: list[bytes], width: int = 5) -> np.ndarray:
     """Distinct shingles as 32-bit hashes: of a thousand, two meet by chance in one text of ten thousand."""
-    return np.unique(hashes(shingles(words, width), 5).astype(np.uint32))
+    return np.unique(shingle_hashes(words, width, 5).astype(np.uint32))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -207,7 +215,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     def described(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             words = words_of(text)
-            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), *signature(words), *majorities(np.unique(hashes(shingles(words, width), 5)), SHAPE)
+            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), *signature(words), *majorities(np.unique(shingle_hashes(words, width, 5)), SHAPE)
 
     def set_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in rows:
