@@ -129,8 +129,8 @@ SEGMENTS, SEGMENT_BITS = 6, 28
 #: threshold differ by 14 of 168 (deviation 4) and by 116 of 768 (deviation 10).
 #: Nearer pairs are looked at first, as they are mostly links, which leave fewer groups.
 FARTHEST, SHAPE, SHAPE_FARTHEST = 30, 12, (92, 132)
-#: Buckets' smallest members that a member is compared with before its groups are looked at: the nearest ones.
-TRIES = 16
+#: Buckets' smallest members that a member is compared with before its groups are looked at: those that it shares most keys with.
+TRIES = 6
 #: Shingles that are hashed at a time.
 PART = 1 << 14
 
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
 
     Two rows are near duplicates if their sets of ``width``-word shingles are at least ``least`` similar; groups are what such
     links connect. Candidates share a segment of the SimHash signature but for one bit, and differ by FARTHEST and SHAPE_FARTHEST bits at most.
-    First each member is compared with the smallest ones of its buckets, the TRIES nearest of them; where that leaves a bucket with more than one group, its
+    First each member is compared with the smallest ones of its buckets, the TRIES that it shares most keys with; where that leaves a bucket with more than one group, its
     members of different groups are compared, each pair once, so no link between groups is lost and copies cost a few comparisons each.
     Null and empty texts are one group; so are rows with equal word sequences.
     """
@@ -246,10 +246,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     sides = [nodes.select(F.col("node").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in names + shape)) for x in "ab"]
     words, shapes = ([[F.col(f"{x}_{n}") for n in own] for x in "ab"] for own in (names, shape))
     near = (differing(*words) <= FARTHEST) & (differing(*shapes) <= SHAPE_FARTHEST[-1])
-    star = members.where("node <> low").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).distinct()
-    star = written(star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b", differing(*shapes).alias("bits")))
-    wanted = star.select(F.explode(F.array("a", "b")).alias("row")).union(members.where("n > 2").select("node")).distinct()
-    star = star.withColumn("try", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).where(F.col("try") <= TRIES).select("a", "b")
+    tries = members.where("node <> low").groupBy("node", "low").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "low"))  # a node has a key for each bit at most
+    tries = written(tries.withColumn("later", nth > TRIES).where("not later or n = 2").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"), "later"))
+    star = tries.where("not later").select("a", "b").distinct()
+    star = written(star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"))
+    ends = F.explode(F.array("a", "b")).alias("row")
+    wanted = star.select(ends).union(tries.where("later").select(ends)).union(members.where("n > 2").select("node")).distinct()
 
     wanted = rows.join(wanted, "row").select("doc_id", "h1", "h2", "row")
     some = docs.alias("d").join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
