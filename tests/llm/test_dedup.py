@@ -215,3 +215,10 @@ def test_line_links(spark):
     rows = [(i, "\n".join(lines[i::7])) for i in range(7)]
     got = Counter(tuple(x) for x in line_dedup.line_classes(edge.documents(spark, rows)).collect())
     assert got == line_brute(rows) and any(x[5] for x in got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, simhash_dedup.PART - 1, simhash_dedup.PART + 3, simhash_dedup.PART + 4, simhash_dedup.PART + 5, 3 * simhash_dedup.PART])
+def test_shingles_in_parts(n):
+    words = [b"%d" % (i % 977) for i in range(n)]
+    whole = simhash_dedup.hashes(simhash_dedup.shingles(words, 5), 5)
+    assert simhash_dedup.shingle_hashes(words, 5, 5).tolist() == whole.tolist()
