@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,19 @@ def file_order() -> Column:
                     F.monotonically_increasing_id().alias("row"))
 
 
-def file_order_number() -> Column:
-    """``file_order`` as one number, for a file below 1 TiB: KiB of the split's start, then row in the task."""
+def file_order_number(files: list[str]) -> Column:
+    """``file_order`` as one number over the scanned ``files``, at most 1,023 below 64 GiB each.
+
+    File in name order, KiB of the split's start, row in the task. A row of a file that is not listed is an error.
+    """
+    bare = sorted(re.sub(r"^file:/*", "/", f) for f in files)
+    if len(bare) > 1023:
+        raise ValueError("a manifest may have 1,023 files at most")
+    place = F.array_position(F.array(*map(F.lit, bare)), F.regexp_replace("_metadata.file_path", "^file:/*", "/"))
+    listed = F.when(place > 0, place - 1).otherwise(F.raise_error(F.lit("a manifest file changed its name")).cast("long"))
     at = file_order()
-    row = at["row"].bitwiseAND(F.lit((1 << 33) - 1))
-    return F.shiftleft(F.shiftright(at["block"], 10), 33) + row
+    row = at["row"].bitwiseAND(F.lit((1 << 27) - 1))
+    return F.shiftleft(listed, 53) + F.shiftleft(F.shiftright(at["block"], 10), 27) + row
 
 
 def path_key(path: Column) -> Column:
@@ -44,12 +53,12 @@ def scanned_path() -> Column:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``file_ord, file_path, source`` of a CSV with a ``file_path`` column; duplicates stay.
 
-    ``file_ord`` grows along the file but has gaps.
+    ``file_ord`` grows along the file but has gaps; a folder of files counts as one, in name order.
     """
     table = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     if "file_path" not in table.columns:
         raise ValueError("the manifest must have a 'file_path' column")
-    return table.select(file_order_number().alias("file_ord"), "file_path", path_key(F.col("file_path")).alias("source"))
+    return table.select(file_order_number(table.inputFiles()).alias("file_ord"), "file_path", path_key(F.col("file_path")).alias("source"))
 
 
 def structure_files(manifest: DataFrame) -> DataFrame:

@@ -26,6 +26,21 @@ def test_manifest_order_and_suffix(spark, inputs):
     assert "x.pdb.gz" not in kept and "notes.txt" not in kept and "nucleic.cif" in kept
 
 
+def test_manifest_of_several_files(spark, tmp_path):
+    """Every row has a number of its own, file by file, whatever the splits are."""
+    folder = tmp_path / "part s+1"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"part-{k}.csv").write_text("file_path\n" + "".join(f"/d/{k}-{i:03}.pdb\n" for i in range(1 if k == 1 else 200)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in (size, "2048"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = read_manifest(spark, str(folder)).select("file_ord", "file_path").collect()
+        assert len({r.file_ord for r in got}) == 401
+        assert [r.file_path for r in sorted(got)] == sorted(r.file_path for r in got)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_manifest_needs_column(spark, tmp_path):
     (tmp_path / "m.csv").write_text("path\na.pdb\n")
     with pytest.raises(ValueError):
