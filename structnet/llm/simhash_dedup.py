@@ -123,12 +123,13 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 # --- near duplicates by similarity ---------------------------------------------------------------------------------
 
-#: The signature of :func:`near_duplicates`: segments, and bits of each.
-SEGMENTS, SEGMENT_BITS = 6, 28
-#: What candidates differ by at most: bits of the signature, and of the SHAPE longs that stand for the shingles. Pairs at the
-#: threshold differ by 14 of 168 (deviation 4) and by 116 of 768 (deviation 10).
+#: The keys of :func:`near_duplicates`: BANDS, each a hash of the least shingles by BAND_ROWS orders. Of pairs with similarity j a
+#: share of 1 - (1 - j ** BAND_ROWS) ** BANDS meets on a key, whatever kind of edit parts them: 0.9993 at 0.8, 0.99999 at 0.85.
+BANDS, BAND_ROWS = 24, 6
+#: What candidates differ by at most: bits of the SHAPE longs, a SimHash of the shingles. Pairs at the threshold differ by
+#: 116 of 768 (deviation 10), those of four and five shingles by 144 (deviation 11).
 #: Nearer pairs are looked at first, as they are mostly links, which leave fewer groups.
-FARTHEST, SHAPE, SHAPE_FARTHEST = 30, 12, (92, 132)
+SHAPE, SHAPE_FARTHEST = 12, (92, 190)
 #: Buckets' smallest members that a member is compared with before its groups are looked at: those that it shares most keys with.
 TRIES = 6
 #: Shingles that are hashed at a time.
@@ -150,13 +151,15 @@ def majorities(h: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def signature(words: list[bytes]) -> list[int]:
-    """SimHash of the distinct words, SEGMENTS x SEGMENT_BITS bits, two segments in a long.
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
 
-    Two texts that share 0.8 of their 5-word shingles share over 0.93 of their words, so this fingerprint differs in far
-    fewer bits than one of the shingles.
-    """
-    return [x & (1 << 2 * SEGMENT_BITS) - 1 for x in majorities(hashes(list(set(words)), 1000), SEGMENTS // 2)]
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """A key for each band of the MinHash of shingle hashes; the same ones for all empty sets."""
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(h), 1 << 10):
+        np.minimum(least, ((h[i:i + (1 << 10)] ^ _ORDERS[0]) * (_ORDERS[1] | np.uint64(1))).min(1), out=least)
+    return [signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
 def shingle_set(words: list[bytes], width: int = 5) -> np.ndarray:
@@ -169,20 +172,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _first_shared(a: list[Column], b: list[Column]) -> Column:
-    """Of the keys that two signatures share, whether that at ``place`` counts for the pair: exactly one does.
-
-    It is in their first segment that differs in one bit at most: the key without that bit, or if none differs, without the first one.
-    """
-    segment = F.expr(f"place div {SEGMENT_BITS}")
-    out = (F.col("a_bit") != F.col("b_bit")) | (F.col("place") % SEGMENT_BITS == 0)
-    mask = F.lit((1 << SEGMENT_BITS) - 1)
-    for i in range(SEGMENTS - 1):
-        bits = F.bit_count(F.shiftrightunsigned(a[i // 2].bitwiseXOR(b[i // 2]), i % 2 * SEGMENT_BITS).bitwiseAND(mask))
-        out = out & ((segment <= i) | (bits > 1))
-    return out
-
-
 def sequence_hashes(words: list[bytes]) -> tuple[int, int]:
     whole = b" ".join(words)
     return signed(xxhash.xxh64_intdigest(whole, 1)), signed(xxhash.xxh64_intdigest(whole, 2))
@@ -206,48 +195,42 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     """One row per row of ``docs``: doc_id, row (a number), group (the smallest row number among its near duplicates), n_words, text_hash.
 
     Two rows are near duplicates if their sets of ``width``-word shingles are at least ``least`` similar; groups are what such
-    links connect. Candidates share a segment of the SimHash signature but for one bit, and differ by FARTHEST and SHAPE_FARTHEST bits at most.
+    links connect. Candidates share the key of a MinHash band of their shingles, and their SimHash differs by SHAPE_FARTHEST bits at most.
     First each member is compared with the smallest ones of its buckets, the TRIES that it shares most keys with; where that leaves a bucket with more than one group, its
-    members of different groups are compared, each pair once, so no link between groups is lost and copies cost a few comparisons each.
+    members of different groups are compared, so no link between groups is lost and copies cost a few comparisons each.
     Null and empty texts are one group; so are rows with equal word sequences.
     """
 
     def described(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             words = words_of(text)
-            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), *signature(words), *majorities(np.unique(shingle_hashes(words, width, 5)), SHAPE)
+            own = np.unique(shingle_hashes(words, width, 5))
+            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), band_keys(own), *majorities(own, SHAPE)
 
     def set_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in rows:
             words = words_of(text)
             yield *sequence_hashes(words), shingle_set(words, width).tobytes()
 
-    names = [f"w{i}" for i in range(SEGMENTS // 2)]
     shape = [f"s{i}" for i in range(SHAPE)]
     docs = texts(docs)
-    arrow = pa.schema([(x, pa.int64()) for x in ("doc_id", "text_hash", "h1", "h2", "n_words", *names, *shape)])
-    rows = map_rows(docs, described, ["doc_id", "text"], "doc_id long, text_hash long, h1 long, h2 long, n_words long, " + ", ".join(f"{x} long" for x in names + shape), arrow)
+    longs = [(x, pa.int64()) for x in ("doc_id", "text_hash", "h1", "h2", "n_words")]
+    arrow = pa.schema([*longs, ("keys", pa.list_(pa.int64())), *((x, pa.int64()) for x in shape)])
+    rows = map_rows(docs, described, ["doc_id", "text"], "doc_id long, text_hash long, h1 long, h2 long, n_words long, keys array<long>, " + ", ".join(f"{x} long" for x in shape), arrow)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
     equal = rows.groupBy("h1", "h2").agg(F.min("row").alias("first"))
     rows = written(rows.join(equal, ["h1", "h2"]))
-    nodes = rows.where("row = first").select(F.col("row").alias("node"), *names, *shape)
+    nodes = rows.where("row = first").select(F.col("row").alias("node"), "keys", *shape)
 
-    # rows of two numbers: the key, and a mark of the bit that the key leaves out, the node and the place of the key
-    keyed = spread(nodes).select("node", F.posexplode(variants([F.col(x) for x in names], SEGMENT_BITS, 2 * SEGMENT_BITS)).alias("place", "key"), *names)
-    left_out = f"shiftrightunsigned(element_at(array({', '.join(names)}), cast(place div {2 * SEGMENT_BITS} AS int) + 1), place % {2 * SEGMENT_BITS}) & 1L"
-    keyed = keyed.select("key", F.expr(f"shiftleft({left_out}, 62) | shiftleft(node, 8) | place").alias("mark"))
     bucket = Window.partitionBy("key")
-    members = keyed.withColumn("mark_low", F.min("mark").over(bucket)).withColumn("mark_high", F.max("mark").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("mark_low < mark_high")
-    bit, node = lambda x: f"shiftright({x}, 62)", lambda x: f"shiftright({x}, 8) & {(1 << 54) - 1}L"
-    members = members.selectExpr("key", f"{node('mark')} AS node", f"{bit('mark')} AS bit", "mark & 255L AS place", f"{node('mark_low')} AS low", f"{bit('mark_low')} AS bit_low", f"{bit('mark_high')} AS bit_high", "n")
-    # equal segments meet on the key without their first bit; the other keys are there for those that differ in the bit
-    first_place = F.col("place") % SEGMENT_BITS == 0
-    members = written(members.where(first_place | (F.col("bit_low") < F.col("bit_high"))).select("key", "node", "bit", "place", "low", "n"))
-    sides = [nodes.select(F.col("node").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in names + shape)) for x in "ab"]
-    words, shapes = ([[F.col(f"{x}_{n}") for n in own] for x in "ab"] for own in (names, shape))
-    near = (differing(*words) <= FARTHEST) & (differing(*shapes) <= SHAPE_FARTHEST[-1])
+    members = nodes.select("node", F.explode("keys").alias("key")).withColumn("low", F.min("node").over(bucket)).withColumn("n", F.count("*").over(bucket))
+    members = written(members.where("n > 1"))
+    nodes = nodes.drop("keys")
+    sides = [nodes.select(F.col("node").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in shape)) for x in "ab"]
+    shapes = [[F.col(f"{x}_{n}") for n in shape] for x in "ab"]
+    near = differing(*shapes) <= SHAPE_FARTHEST[-1]
     tries = members.where("node <> low").groupBy("node", "low").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "low"))  # a node has a key for each bit at most
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "low"))  # a node has BANDS keys
     tries = written(tries.withColumn("later", nth > TRIES).where("not later or n = 2").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"), "later"))
     star = tries.where("not later").select("a", "b").distinct()
     star = written(star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"))
@@ -262,11 +245,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
 
     for farthest in SHAPE_FARTHEST:
         groups = written(components(links))
-        member = members.join(groups, "node", "left").select("key", "node", "bit", "place", F.coalesce("component", "node").alias("part"))
+        member = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
         mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
         member = member.join(mixed, "key").join(nodes, "node")
-        sides = [member.select("key", "place", F.col("node").alias(x), F.col("part").alias(f"{x}_part"), F.col("bit").alias(f"{x}_bit"), *(F.col(n).alias(f"{x}_{n}") for n in names + shape)) for x in "ab"]
-        across = sides[0].join(sides[1].drop("place"), "key").where(F.col("a_part") < F.col("b_part")).where(near & (differing(*shapes) <= farthest)).where(_first_shared(*words)).select("a", "b")
+        sides = [member.select("key", F.col("node").alias(x), F.col("part").alias(f"{x}_part"), *(F.col(n).alias(f"{x}_{n}") for n in shape)) for x in "ab"]
+        across = sides[0].join(sides[1], "key").where(F.col("a_part") < F.col("b_part")).where(differing(*shapes) <= farthest).select("a", "b").distinct()
         links = written(links.union(_verified(across, sets, least)))
     groups = components(links)
     return rows.join(groups, rows["first"] == groups["node"], "left").select("doc_id", "row", F.coalesce("component", "first").alias("group"), "n_words", "text_hash")

@@ -136,6 +136,27 @@ def test_near_duplicates(spark):
     assert least <= kept <= least + 0.02 * (len(rows) - least) + 1
 
 
+@pytest.mark.parametrize("edit", ["appended", "removed", "replaced"])
+def test_near_duplicates_of_blocks(spark, edit):
+    """Recall by band of similarity, where a block of words is new, gone or another one."""
+    r = random.Random(edit)
+    prose = lambda n: [f"w{int(r.paretovariate(0.6))}" for _ in range(n)]
+    rows, bands = [], defaultdict(list)
+    for k in range(400):
+        n = r.randrange(150, 900)
+        words, size = prose(n), int(n * r.uniform(0.02, 0.24))
+        at = r.randrange(n - size)
+        changed = {"appended": words + prose(size), "removed": words[:at] + words[at + size:], "replaced": words[:at] + prose(size // 2) + words[at + size // 2:]}[edit]
+        a, b = (simhash_dedup.shingle_set([x.encode() for x in w]) for w in (words, changed))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+        j = simhash_dedup.jaccard(a, b)
+        bands["below" if j < 0.8 else "0.80" if j < 0.85 else "0.85" if j < 0.9 else "0.90"].append(k)
+    group = {x["doc_id"]: x["group"] for x in simhash_dedup.near_duplicates(edge.documents(spark, rows)).collect()}
+    found = {band: sum(group[2 * k] == group[2 * k + 1] for k in own) for band, own in bands.items()}
+    assert all(len(own) > 30 for band, own in bands.items() if band != "below") and not found.get("below")
+    assert all(found[band] >= 0.99 * len(own) - (band == "0.80") for band, own in bands.items() if band != "below"), (found, {b: len(x) for b, x in bands.items()})
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = simhash_dedup.near_duplicates(edge.documents(spark)).collect()
     group = defaultdict(set)
