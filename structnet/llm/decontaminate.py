@@ -106,7 +106,7 @@ class Index:
     def search(self, text: str) -> list[tuple[int, int, int, int, int, float]]:
         """(item, first word, end word, bits that differ, item_id, similarity) of the best window of every item found in a text.
 
-        Windows have as many words as the item. Those without any shingle of an item of their size are passed over, since
+        Windows have as many words as the item; a text of fewer words is one window. Those without any shingle of an item of their size are passed over, since
         their similarity is 0.
         """
         words = words_of(text)
@@ -125,16 +125,17 @@ class Index:
                     if (size[1] or WIDTH) == width:
                         by_size.setdefault(size, []).append(p)
             for size, at in by_size.items():
-                for low, high in _stretches(at, size[0], len(h)):
-                    self._windows(h, low, high, size, width, best)
+                if len(h) >= SIMILARITY * size[0]:  # the similarity of fewer shingles is below
+                    for low, high in _stretches(at, min(size[0], len(h)), len(h)):
+                        self._windows(h, low, high, size, width, best)
         return [best[i] for i in sorted(best)]
 
     def _windows(self, h: np.ndarray, low: int, high: int, size: tuple, width: int, best: dict[int, tuple]) -> None:
         """Windows that start at low to high - 1."""
-        members = self.sizes[size]
+        members, n = self.sizes[size], min(size[0], len(h))
         for start in range(low, high, _STEP):
-            part = h[start:min(high, start + _STEP) + size[0] - 1]
-            prints = window_fingerprints(part, size[0])
+            part = h[start:min(high, start + _STEP) + n - 1]
+            prints = window_fingerprints(part, n)
             table = self.blocks[size]
             candidate = np.zeros((len(prints), len(members)), bool)
             for b in range(BLOCKS):
@@ -144,12 +145,12 @@ class Index:
                 bits = int(np.unpackbits(prints[w] ^ self.prints[i]).sum())
                 if bits > RADIUS or i in best and best[i][5] == 1:
                     continue
-                own, there = self.items[i].counts, Counter(part[w:w + size[0]].tolist())
+                own, there = self.items[i].counts, Counter(part[w:w + n].tolist())
                 both = sum((own & there).values())
-                similarity = both / (2 * size[0] - both)
+                similarity = both / (size[0] + n - both)
                 if similarity >= SIMILARITY and (i not in best or similarity > best[i][5]):
                     at = int(start + w)
-                    best[i] = (i, at, at + size[0] + width - 1, bits, self.items[i].item_id, similarity)
+                    best[i] = (i, at, at + n + width - 1, bits, self.items[i].item_id, similarity)
 
 
 def _stretches(at: list[int], size: int, n: int) -> Iterator[tuple[int, int]]:
@@ -189,7 +190,7 @@ LEAK = "struct<item_id: bigint, first_word: bigint, end_word: bigint, bits: bigi
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, leaks (array of item_id, first_word, end_word, bits, similarity).
 
-    A leak is the window of as many words as an item, anywhere in the whole text, that is most similar to it: at least 0.8 by
+    A leak is the window of as many words as an item (all words of a shorter text), anywhere in the whole text, that is most similar to it: at least 0.8 by
     5-word shingles, each weighing as often as it occurs. Items of fewer words are one shingle, items without
     words (null and empty ones) are never found, items that repeat are looked for once. Null and empty texts have no leaks; a null
     doc_id stays null; rows that repeat are searched each; other columns are ignored; an empty table gives none, an empty

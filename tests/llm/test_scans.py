@@ -258,6 +258,24 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(table.limit(0), bench).count() == 0
 
 
+def test_leaks_of_shorter_texts(spark):
+    """A text that is an item less some of its words leaks it as long as the shingles are 0.8 similar."""
+    words = [f"w{i}" for i in range(50)] + ["again", "and"] * 4
+    items = [(1, " ".join(words)), (2, "five words are just enough"), (3, "three short words")]
+    docs = [(n, " ".join(words[k:k + n])) for k, n in ((0, 57), (1, 56), (3, 50), (0, 48), (4, 47), (6, 46), (0, 4))]
+    docs += [(100, "five words are just"), (101, "three short"), (102, " ".join(words[:30] + ["new"] + words[31:55]))]
+    grams = lambda w: Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+    expected = {}
+    for i, t in docs:
+        own = [(item_id, (grams(t.split()), grams(item.split()))) for item_id, item in items]
+        near = {item_id: sum((a & b).values()) / sum((a | b).values()) for item_id, (a, b) in own}
+        expected[i] = [(item_id, 0, len(t.split()), round(x, 9)) for item_id, x in near.items() if x >= 0.8]
+    table, bench = edge.documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [(x["item_id"], x["first_word"], x["end_word"], round(x["similarity"], 9)) for x in r["leaks"]] for r in decontaminate.find_leaks(table, bench).collect()}
+    assert got == expected and 3 <= sum(map(bool, got.values())) < len(docs) - 3
+    assert {r["doc_id"] for r in decontaminate.clean_documents(table, bench).collect()} == {i for i, x in expected.items() if not x}
+
+
 def test_leaks_in_passes(spark, monkeypatch):
     bench, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
     key = lambda d: sorted((r["doc_id"], sorted(x["item_id"] for x in r["leaks"])) for r in d.collect())
