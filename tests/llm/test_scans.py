@@ -216,6 +216,22 @@ def test_license_rules():
             assert label in labels(f"Released under the {shown} today") or label in ("gpl", "lgpl", "gpl-2.0", "gpl-3.0") and labels(f"under the {shown}"), (label, shown)
 
 
+@pytest.mark.parametrize("space", ["\n", "  ", "\t"])
+def test_license_names_across_lines(space):
+    """The gates lose no match of a name whose words are parted by other white space."""
+    scanner = license_scan.Scanner()
+    for label, *names in license_scan.LICENSES:
+        for name in names:
+            shown = re.sub(r"\(\?!.*$", "", name).replace("[- ]", "-").replace("[cs]", "s")
+            shown = re.sub(r"\(\?:([^|)]*)\|?[^)]*\)\??", r"\1", shown).replace("?", "").replace("\\", "")
+            text = shown.replace(" ", space)
+            matched = any(r.label == label and r.pattern.search(text) for r in scanner.rules)
+            assert not matched or scanner.detections(text), text
+    assert [r.label for *_, r in scanner.detections(f"released under a Creative{space}Commons Attribution 4.0")] == ["cc-by-4.0"]
+    assert [r.label for *_, r in scanner.detections(f"mit no{space}attribution")] == ["mit-0"]
+    assert [r.label for *_, r in scanner.detections(f"historical permission{space}notice and disclaimer")] == ["hpnd"]
+
+
 def leak_brute(text, items):
     words = decontaminate.words_of(text)
     out = set()
