@@ -87,8 +87,34 @@ NOTICES = (
     (25, 0.8, r"licen[cs]es?\s*[:=]\s*[\"']?(?:the\s+)?{name}"),
     (10, 0.5, r"{name}"),
 )
+#: Identifiers after the first of an SPDX expression, and after a key that is called license; the span is that of the identifier.
+LATER_TAG = (50, 0.99, r"spdx-license-identifier\s*:[ \t(]*(?:[\w.+-]+[ \t)]+(?:and|or|with)[ \t(]+)+(?P<id>{id}(?:-only|-or-later|\+)?)(?![\w+-])")
+KEYED = (45, 0.9, r"\blicen[cs]es?[\"']?\s*[:=]\s*[\"']?(?P<id>{id}(?:-only|-or-later|\+)?)(?![\w+-])")
+#: Short names with a version that stand for a license anywhere.
+SHORT = (20, 0.6, (("mpl-1.1", r"mpl[- ]?v?1\.1"), ("mpl-2.0", r"mpl[- ]?v?2(?:\.0)?"), ("lgpl-2.1", r"lgpl[- ]?v?2(?:\.[01])?"), ("lgpl-3.0", r"lgpl[- ]?v?3(?:\.0)?"), ("agpl-3.0", r"agpl[- ]?v?3(?:\.0)?"),
+                   ("epl-1.0", r"epl[- ]?v?1\.0"), ("epl-2.0", r"epl[- ]?v?2\.0"), ("cddl-1.0", r"cddl[- ]?v?1\.[01]"), ("eupl-1.2", r"eupl[- ]?v?1\.2"), ("apache-2.0", r"apache[- ]v?2\.0")))
+#: Sentences of license bodies, by hand: label, weight, keyword, wording; between words there may be marks of comments.
+WORDING = (
+    ("mit", 0.85, "permission", "permission is hereby granted,? free of charge,? to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 0.8, "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 0.5, "merchantability", "the software is provided [\"'`]*as is[\"'`]*,? without warranty of any kind,? express or implied,? including but not limited to the warranties of merchantability"),
+    ("bsl-1.0", 0.9, "permission", "permission is hereby granted,? free of charge,? to any person or organization obtaining a copy of the software"),
+    ("bsd-2-clause", 0.8, "redistribution", "redistribution and use in source and binary forms,? with or without modification,? are permitted"),
+    ("bsd-2-clause", 0.6, "redistributions", "redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
+    ("bsd-3-clause", 0.85, "endorse", "neither the names? of [^.;]{1,200} (?:nor the names of )?(?:its|their|any|the) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 0.9, "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("isc", 0.85, "permission", "permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted,? provided that the above copyright notice"),
+    ("0bsd", 0.85, "permission", "permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted(?!,? provided)"),
+    ("zlib", 0.8, "warranty", "this software is provided [\"'`]*as-is[\"'`]*,? without any express or implied warranty"),
+    ("zlib", 0.85, "altered", "altered source versions must be plainly marked as such"),
+    ("apache-2.0", 0.85, "perpetual", "grants to you a perpetual,? worldwide,? non-exclusive,? no-charge,? royalty-free,? irrevocable (?:\\(except as stated in this section\\) patent|copyright) license"),
+    ("gpl", 0.8, "redistribute", "this program is free software[:;,] you can redistribute it and/or modify it"),
+    ("lgpl", 0.8, "redistribute", "this library is free software[:;,] you can redistribute it and/or modify it"),
+    ("unlicense", 0.9, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("ofl-1.1", 0.85, "permission", "permission is hereby granted,? free of charge,? to any person obtaining a copy of the font software"),
+)
 #: A text without any of these has no rule match: every name below has one of them, and so have tags. Words only, since names allow any white space between theirs.
-GATES = ("licen", "spdx", "cc by", "cc-by", "cc0", "commons", "bsd", "gpl", "cecill", "attribution", "historical")
+GATES = ("licen", "spdx", "cc by", "cc-by", "cc0", "commons", "bsd", "gpl", "cecill", "attribution", "historical", "mpl", "epl", "cddl", "eupl", "apache", *sorted({w[2] for w in WORDING}))
 
 
 class Rule(NamedTuple):
@@ -115,9 +141,12 @@ def rules() -> list[Rule]:
     """Several hundred rules in order: by priority, then as the licenses stand."""
     out = []
     for label, *names in LICENSES:
-        out.append((*TAG[:2], label, "spdx", TAG[2].format(id=re.escape(label))))
+        tag = re.escape(label)
+        out += [(*TAG[:2], label, "spdx", TAG[2].format(id=tag)), (*LATER_TAG[:2], label, "spdx", LATER_TAG[2].format(id=tag)), (*KEYED[:2], label, "licen", KEYED[2].format(id=tag))]
         for name in names:
             out += [(priority, weight, label, _keyword(name), r"\b" + p.format(name=_spaced(name)) + r"\b") for priority, weight, p in NOTICES]
+    out += [(SHORT[0], SHORT[1], label, label.split("-")[0], rf"\b{name}(?![\w])") for label, name in SHORT[2]]
+    out += [(15, weight, label, keyword, r"\b" + _spaced(wording).replace(r"\s+", r"[\s*#/>;-]+")) for label, weight, keyword, wording in WORDING]
     out.sort(key=lambda r: -r[0])
     return [Rule(i, p, w, label, k, re.compile(pattern, re.IGNORECASE | re.ASCII)) for i, (p, w, label, k, pattern) in enumerate(out)]
 
@@ -145,7 +174,7 @@ class Scanner:
         low = text.lower()
         if not any(g in low for g in GATES):
             return []
-        found = [(m.start(), m.end(), r) for k, group in self.by_keyword.items() if k in low for r in group for m in r.pattern.finditer(text)]
+        found = [(*m.span("id" if "id" in r.pattern.groupindex else 0), r) for k, group in self.by_keyword.items() if k in low for r in group for m in r.pattern.finditer(text)]
         return suppressed(found)
 
 

@@ -232,6 +232,31 @@ def test_license_names_across_lines(space):
     assert [r.label for *_, r in scanner.detections(f"historical permission{space}notice and disclaimer")] == ["hpnd"]
 
 
+BODIES = {
+    "mit": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "zlib": "This software is provided 'as-is', without any express or implied\nwarranty.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_license_wording_and_short_ids():
+    scanner = license_scan.Scanner()
+    labels = lambda t: sorted({r.label for *_, r in scanner.detections(t)})
+    assert {k: labels(t) for k, t in BODIES.items()} == {k: [k] for k in BODIES}
+    assert {k: labels("# " + t.replace("\n", "\n#  ")) for k, t in BODIES.items()} == {k: [k] for k in BODIES}
+    shorts = {"License: MIT": ["mit"], '{"license": "Apache-2.0"}': ["apache-2.0"], "under MPL 2.0": ["mpl-2.0"], "LGPL-2.1": ["lgpl-2.1"], "license = 'ISC'": ["isc"], "License: MIT-0": ["mit-0"], "license: GPL-2.0-or-later": ["gpl-2.0"]}
+    assert {t: labels(t) for t in shorts} == shorts
+    assert labels("SPDX-License-Identifier: MIT OR Apache-2.0") == ["apache-2.0", "mit"]
+    assert labels("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND (ISC OR MIT-0)") == ["gpl-2.0", "isc", "mit-0"]
+    assert labels("permission to use the zlib of an example, for any license: mitten") == []
+    words = [w for *_, w in license_scan.WORDING]
+    assert len(words) > 15 and all(any(g in w for g in license_scan.GATES) for w in words)
+
+
 def leak_brute(text, items):
     words = decontaminate.words_of(text)
     out = set()
