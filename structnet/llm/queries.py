@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structnet.llm import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, packing, quality, secret_scan, simhash_dedup, token_counts
+from structnet.llm import (chat_format, decontaminate, divergence, exact_dedup, hard_negatives, license_scan, line_dedup, packing, quality, secret_scan, simhash_dedup,
+                            token_counts, token_files)
 from structnet.llm.common import read
 
 
@@ -37,7 +38,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).drop("row", "n_chars")
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +75,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    folder = token_files.new_folder(spark)
+    token_files.write_token_files(read(spark, sf_dir, "documents"), folder)
+    return token_files.read_documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergences(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_chat_format, op3_line_dedup, op4_exact_dedup, op5_packing, op6_secret_scan, op7_simhash_dedup, op8_decontamination, op9_license_scan, op10_quality)
+    own = (op1_token_counts, op2_chat_format, op3_line_dedup, op4_exact_dedup, op5_packing, op6_secret_scan, op7_simhash_dedup, op8_decontamination, op9_license_scan, op10_quality,
+           op11_token_files, op12_hard_negatives, op13_source_divergence)
     return {f.__name__: f for f in own}
 
 
@@ -116,5 +136,54 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 
+_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id AS anchor_id, label, v FROM r WHERE vec_id % 100 = 0),
+s AS (
+  SELECT anchor_id, vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM a JOIN r ON anchor_id <> vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(any_value(v.v), 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v USING (lang) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // ((SELECT sum(n) FROM g WHERE g.lang = p.lang) + 5 * (SELECT v FROM v WHERE v.lang = p.lang)) AS q
+  FROM p GROUP BY lang, term),
+valued AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(any_value(f), 0)::BIGINT AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+       LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f
+                  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  GROUP BY g.lang, g.source, h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER w)::INTEGER AS rank FROM valued
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER w <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _CHAT, "op4_exact_dedup": _EXACT}
+    return {"op2_chat_format": _CHAT, "op4_exact_dedup": _EXACT, "op12_hard_negatives": _NEGATIVES, "op13_source_divergence": _DIVERGENCE}
