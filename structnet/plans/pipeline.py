@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from structnet.operators import annotate as an
 from structnet.operators import chains as ch
 from structnet.operators import contacts, networks, similarity
-from structnet.operators.staging import stage
+from structnet.operators.staging import Staged, stage
 from structnet.plans.options import Options
 from structnet.plans.session import tune
 from structnet.sources import identifiers, lookups, sinks, structures
-from structnet.sources.manifest import folders, read_manifest, structure_files
+from structnet.sources.manifest import BATCH_FILES, batches, read_manifest, structure_files
 
 
-def read_structures(spark: SparkSession, files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Raw atoms and content ids of the listed files."""
-    roots = folders(files)
-    listed = files.select("source").distinct()
-    if not roots:
-        return (spark.createDataFrame([], _EMPTY_ATOMS), spark.createDataFrame([], "source string, content_id string"))
-    chunks = structures.scan_pdb(spark, roots)
-    lines = structures.scan_cif(spark, roots)
-    atoms = structures.pdb_atoms(chunks).unionByName(structures.cif_atoms(lines))
-    ids = structures.pdb_header_ids(chunks).unionByName(structures.cif_content_ids(lines, compat))
-    return atoms.join(listed, "source", "left_semi"), ids.join(listed, "source", "left_semi")
+def read_structures(spark: SparkSession, files: DataFrame, compat: bool = False, batch_files: int = BATCH_FILES) -> tuple[DataFrame, DataFrame]:
+    """Raw atoms and content ids of the listed files, as tables that are written batch by batch."""
+    atoms, ids = Staged(spark, _EMPTY_ATOMS), Staged(spark, "source string, content_id string")
+    for batch in batches(files, batch_files):
+        chunks, lines = structures.scan_pdb(spark, batch), structures.scan_cif(spark, batch)
+        if chunks is not None:
+            atoms.add(structures.pdb_atoms(chunks))
+            ids.add(structures.pdb_header_ids(chunks))
+        if lines is not None:
+            splits = stage(structures.cif_splits(lines))
+            atoms.add(structures.cif_atoms(lines, splits))
+            ids.add(structures.cif_content_ids(splits, compat))
+    return atoms.table(), ids.table()
 
 
 _EMPTY_ATOMS = ("source string, model struct<block:bigint,row:bigint>, chain_id string, residue_number int, "
@@ -58,12 +61,11 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
     manifest = read_manifest(spark, o.manifest)
     files = structure_files(manifest)
     raw, content_ids = read_structures(spark, files, o.compat)
-    raw = stage(raw)
-    atoms = ch.heavy_atoms(raw)
+    atoms = ch.heavy_atoms(structures.readable_atoms(raw))
 
     records = lookups.read_fasta(spark, o.sequence_headers)
     listed = identifiers.resolve_ids(files, content_ids, identifiers.valid_ids(records))
-    chains = structures.accepted_chains(ch.chain_table(atoms), raw)
+    chains = ch.chain_table(atoms)
     if o.first_model_only:
         chains = ch.first_model(chains)
     chains = ch.place_chains(chains, listed)
@@ -82,7 +84,7 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
 
     find = contacts.chain_interactions_compat if o.compat else contacts.chain_interactions
     interactions = stage(find(atoms, chains, o.ca_radius, o.all_atoms_radius, o.min_ca_pairs))
-    products = {"rejected": structures.rejected_files(manifest, raw), "chains": chains, "interactions": interactions,
+    products = {"rejected": structures.rejected_files(manifest, raw), "skipped_atoms": structures.skipped_atoms(raw), "chains": chains, "interactions": interactions,
                 "preview": an.preview(chains), "malformed_names": lookups.malformed_names(names)}
 
     if o.detailed_contacts:
@@ -119,6 +121,7 @@ def write(products: dict[str, DataFrame], options: Options, run_id: str | None =
             sinks.write_network(nodes, edges, path, f"{name}_network")
             if graph_json:
                 sinks.write_graph_json(nodes, edges, path, f"{name}_network")
-    for name in ("rejected", "malformed_names"):
-        products[name].write.option("header", True).csv(f"{path}/{name}")
+    for name in ("rejected", "skipped_atoms", "malformed_names"):
+        flat = products[name].select(*(F.to_json(c).alias(c) if isinstance(f.dataType, StructType) else F.col(c) for c, f in zip(products[name].columns, products[name].schema, strict=True)))
+        flat.write.option("header", True).csv(f"{path}/{name}")
     return path

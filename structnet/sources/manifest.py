@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql.utils import AnalysisException
 
 from structnet.functions import rules
 
+#: Listed files that one scan takes. Their names travel through the driver, one batch at a time.
+BATCH_FILES = 10_000
+
 
 def file_order() -> Column:
     """Orders the rows of one scanned file, over all its splits.
@@ -22,21 +28,6 @@ def file_order() -> Column:
                     F.monotonically_increasing_id().alias("row"))
 
 
-def file_order_number(files: list[str]) -> Column:
-    """``file_order`` as one number over the scanned ``files``, at most 1,023 below 64 GiB each.
-
-    File in name order, KiB of the split's start, row in the task. A row of a file that is not listed is an error.
-    """
-    bare = sorted(re.sub(r"^file:/*", "/", f) for f in files)
-    if len(bare) > 1023:
-        raise ValueError("a manifest may have 1,023 files at most")
-    place = F.array_position(F.array(*map(F.lit, bare)), F.regexp_replace("_metadata.file_path", "^file:/*", "/"))
-    listed = F.when(place > 0, place - 1).otherwise(F.raise_error(F.lit("a manifest file changed its name")).cast("long"))
-    at = file_order()
-    row = at["row"].bitwiseAND(F.lit((1 << 27) - 1))
-    return F.shiftleft(listed, 53) + F.shiftleft(F.shiftright(at["block"], 10), 27) + row
-
-
 def path_key(path: Column) -> Column:
     """A path and the URI Spark reports for it map to the same text."""
     local = F.regexp_replace(path, r"^file:/*(?=/)", "")
@@ -53,12 +44,25 @@ def scanned_path() -> Column:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``file_ord, file_path, source`` of a CSV with a ``file_path`` column; duplicates stay.
 
-    ``file_ord`` grows along the file but has gaps; a folder of files counts as one, in name order.
+    ``file_ord`` orders the rows: file (a folder of files counts as one manifest, in name order), split, row. It is a struct, so
+    neither the number of files nor their size is limited.
     """
     table = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     if "file_path" not in table.columns:
         raise ValueError("the manifest must have a 'file_path' column")
-    return table.select(file_order_number(table.inputFiles()).alias("file_ord"), "file_path", path_key(F.col("file_path")).alias("source"))
+    uri = F.col("_metadata.file_path")
+    rows = table.select(uri.alias("uri"), file_order().alias("at"), "file_path")
+    # The files are few beside their rows, and Spark sees how few.
+    places = spark.createDataFrame(list(enumerate(sorted(_bare(f) for f in table.inputFiles()))), "file int, key string")
+    return (rows.withColumn("key", F.regexp_replace("uri", _SCHEME, "/")).join(places, "key")
+            .select(F.struct("file", "at.block", "at.row").alias("file_ord"), "file_path", path_key(F.col("file_path")).alias("source")))
+
+
+_SCHEME = "^file:/*"
+
+
+def _bare(uri: str) -> str:
+    return re.sub(_SCHEME, "/", uri)
 
 
 def structure_files(manifest: DataFrame) -> DataFrame:
@@ -66,16 +70,53 @@ def structure_files(manifest: DataFrame) -> DataFrame:
     return manifest.filter(rules.has_suffix(F.col("file_path")))
 
 
-def folders(manifest: DataFrame) -> list[str]:
-    """The distinct folders of the manifest, as scan roots.
+# --- listed files -----------------------------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Batch:
+    """Some of the listed files: the folders they are in and their names."""
 
-    Reading folders and joining on the file path keeps the list of files off
-    the driver, and a missing file shows up as a row without match. Folders
-    that do not exist are left out.
+    folders: list[str]
+    names: list[str]
+    listed: list[str]
+
+
+def batches(files: DataFrame, size: int = BATCH_FILES) -> Iterator[Batch]:
+    """The distinct files of a manifest by folder and name, at most ``size`` at a time on the driver."""
+    parts = F.regexp_extract("source", r"^(.*/)([^/]*)$", 1), F.regexp_extract("source", r"^(.*/)([^/]*)$", 2)
+    rows = files.where("source IS NOT NULL").select(parts[0].alias("folder"), parts[1].alias("name")).distinct().sort("folder", "name")
+    for _, some in groupby(enumerate(rows.toLocalIterator()), lambda r: r[0] // size):
+        found = [r for _, r in some]
+        yield Batch(list(dict.fromkeys(r.folder for r in found)), list(dict.fromkeys(r.name for r in found)), [r.folder + r.name for r in found])
+
+
+def name_filter(names: Iterable[str]) -> str:
+    """A path filter that lets exactly these file names pass."""
+    return "{" + ",".join(re.sub(r"([\\{}\[\],*?])", r"\\\1", n) for n in names) + "}"
+
+
+def read_listed(spark: SparkSession, batch: Batch, suffixes: tuple[str, ...], line_separator: str) -> DataFrame | None:
+    """Text rows of the batch's files that have one of the ``suffixes``, None if there are none.
+
+    Folders are listed, but only files of the batch are opened; folders and files that do not exist are left out. A name
+    that is listed in one folder of the batch and lies unlisted in another is kept out by its path.
     """
-    spark = manifest.sparkSession
-    distinct = manifest.select(F.regexp_extract("source", r"^(.*/)[^/]*$", 1).alias("folder")).distinct()
-    return [r.folder for r in distinct.toLocalIterator() if _readable(spark, r.folder)]
+    names = [n for n in batch.names if n.lower().endswith(suffixes)]
+    if not names:
+        return None
+    reader = spark.read.option("lineSep", line_separator).option("pathGlobFilter", name_filter(names))
+    try:
+        rows = reader.text(batch.folders)
+    except AnalysisException:
+        folders = [f for f in batch.folders if _readable(spark, f)]
+        if not folders:
+            return None
+        rows = reader.text(folders)
+    rows = rows.select(scanned_path().alias("source"), file_order().alias("at"), F.regexp_replace("value", "\r", "").alias("value"))
+    if len(batch.folders) == 1:
+        return rows
+    listed = spark.createDataFrame([(p,) for p in batch.listed], "source string")
+    return rows.join(F.broadcast(listed), "source", "left_semi")  # at most the paths of a batch
 
 
 def _readable(spark: SparkSession, folder: str) -> bool:

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from samples import write_inputs
+from samples import cif_row, loop_rows, pdb_line, write_inputs
 from structnet.operators import chains as ch
 from structnet.sources import identifiers, lookups, structures
-from structnet.sources.manifest import folders, read_manifest, structure_files
+from structnet.plans.pipeline import read_structures
+from structnet.sources.manifest import Batch, batches, name_filter, read_manifest, structure_files
 
 
 @pytest.fixture(scope="module")
@@ -13,6 +14,12 @@ def inputs(tmp_path_factory):
     return folder, write_inputs(folder)
 
 
+def whole(folder, *names):
+    """All files of a folder, or some, as a batch."""
+    names = list(names) or [f.name for f in folder.iterdir()]
+    return Batch([f"{folder}/"], names, [f"{folder}/{n}" for n in names])
+
+
 def rows(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
@@ -47,15 +54,56 @@ def test_manifest_needs_column(spark, tmp_path):
         read_manifest(spark, str(tmp_path / "m.csv"))
 
 
-def test_missing_folder_is_left_out(spark, inputs, tmp_path):
+def test_missing_files_and_folders_are_left_out(spark, inputs, tmp_path):
     folder, _ = inputs
-    (tmp_path / "m.csv").write_text(f"file_path\n/nowhere/1abc.pdb\n{folder}/1abc.pdb\n")
-    assert folders(read_manifest(spark, str(tmp_path / "m.csv"))) == [f"{folder}/"]
+    (tmp_path / "m.csv").write_text(f"file_path\n/nowhere/1abc.pdb\n{folder}/1abc.pdb\n{folder}/gone.pdb\n")
+    found, = batches(read_manifest(spark, str(tmp_path / "m.csv")))
+    assert found.folders == ["/nowhere/", f"{folder}/"] and found.names == ["1abc.pdb", "gone.pdb"]
+    chunks = structures.scan_pdb(spark, found)
+    assert {r.source for r in chunks.select("source").collect()} == {f"{folder}/1abc.pdb"}
+    assert structures.scan_cif(spark, found) is None
+    assert structures.scan_pdb(spark, Batch(["/nowhere/"], ["1abc.pdb"], ["/nowhere/1abc.pdb"])) is None
+
+
+ODD_NAMES = ["a b+c%.pdb", "x{1,2}.pdb", "[y]*?.PDB", "back\\slash.pdb", "z,.pdb", "plain.pdb"]
+
+
+def test_only_listed_files_are_opened(spark, tmp_path):
+    """Ten listed files in folders of two thousand: ten are scanned, names with special characters included."""
+    line = pdb_line(1, "CA", "ALA", "A", 1, 1, 2, 3)
+    for sub in ("p", "q+r s"):
+        (tmp_path / sub).mkdir()
+        for i in range(1000):
+            (tmp_path / sub / f"f{i}.pdb").write_text(line + "\n")
+    for n in ODD_NAMES:
+        (tmp_path / "p" / n).write_text(line + "\n")
+    listed = [tmp_path / "p" / n for n in ODD_NAMES] + [tmp_path / "p" / "f3.pdb", tmp_path / "p" / "f7.pdb", tmp_path / "q+r s" / "f3.pdb", tmp_path / "q+r s" / "f9.pdb"]
+    quoted = "".join('"%s"\n' % p for p in listed)
+    (tmp_path / "m.csv").write_text("file_path\n" + quoted)
+    manifest = structure_files(read_manifest(spark, str(tmp_path / "m.csv")))
+    one = [b for b in batches(manifest) for _ in b.folders]
+    assert len(one) == 2 and len(one[0].listed) == 10
+    chunks = structures.scan_pdb(spark, one[0])
+    assert len(chunks.inputFiles()) <= 12 and {r.source for r in chunks.select("source").collect()} == set(map(str, listed))
+    single = structures.scan_pdb(spark, whole(tmp_path / "p", *ODD_NAMES))
+    assert len(single.inputFiles()) == len(ODD_NAMES)
+    atoms, _ = read_structures(spark, manifest, batch_files=3)  # four batches
+    assert {r.source for r in atoms.collect()} == set(map(str, listed)) and atoms.count() == 10
+    assert name_filter(["a,b"]) == r"{a\,b}"
+
+
+def test_many_manifest_files(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for k in range(1100):
+        (folder / f"part-{k:05}.csv").write_text(f"file_path\n/d/{k:05}.pdb\n")
+    got = read_manifest(spark, str(folder)).orderBy("file_ord").collect()
+    assert [r.file_path for r in got] == [f"/d/{k:05}.pdb" for k in range(1100)]
 
 
 def test_pdb_scan(spark, inputs):
     folder, paths = inputs
-    chunks = structures.scan_pdb(spark, [str(folder)])
+    chunks = structures.scan_pdb(spark, whole(folder))
     atoms = structures.pdb_atoms(chunks).filter(F.col("source").endswith("/1abc.pdb"))
     assert atoms.count() == 50 and ch.heavy_atoms(atoms).count() == 49
     first = atoms.orderBy("atom_pos").first()
@@ -81,12 +129,13 @@ def test_guessed_element(spark, padded, element):
 
 def test_cif_scan(spark, inputs):
     folder, _ = inputs
-    lines = structures.scan_cif(spark, [str(folder)])
+    lines = structures.scan_cif(spark, whole(folder))
+    splits = structures.cif_splits(lines)
     atoms = structures.cif_atoms(lines).filter(F.col("source").endswith("nucleic.cif"))
     assert atoms.count() == 11
     got = {tuple(r) for r in rows(ch.heavy_atoms(atoms), "chain_id", "atom_name", "residue_name")}
     assert got == {("N", "C1'", "DA"), ("P", "CA", "ALA")}
-    normal, strict = structures.cif_content_ids(lines), structures.cif_content_ids(lines, compat=True)
+    normal, strict = structures.cif_content_ids(splits), structures.cif_content_ids(splits, compat=True)
     by_file = {r.source.rsplit("/", 1)[1]: r.content_id for r in normal.collect()}
     assert by_file == {"nucleic.cif": "2XYZ", "comment_first.cif": "2XYZ"}
     assert {r.source.rsplit("/", 1)[1] for r in strict.collect()} == {"nucleic.cif"}
@@ -103,8 +152,8 @@ def test_identifiers(spark, inputs):
     valid = identifiers.valid_ids(lookups.read_fasta(spark, paths["sequence_headers"]))
     assert {r.pdb_id for r in valid.collect()} == {"1ABC", "2XYZ", "3DEF", "NOID"}
     files = structure_files(read_manifest(spark, paths["manifest"]))
-    content = (structures.pdb_header_ids(structures.scan_pdb(spark, [str(folder)]))
-               .unionByName(structures.cif_content_ids(structures.scan_cif(spark, [str(folder)]))))
+    content = (structures.pdb_header_ids(structures.scan_pdb(spark, whole(folder)))
+               .unionByName(structures.cif_content_ids(structures.cif_splits(structures.scan_cif(spark, whole(folder))))))
     found = {r.file_path.rsplit("/", 1)[1]: r.pdb_id for r in identifiers.resolve_ids(files, content, valid).collect()}
     assert found == {"1abc.pdb": "1ABC", "model1.pdb": "3DEF", "broken.pdb": "BROKEN", "nucleic.cif": "2XYZ",
                      "missing.pdb": "MISSING", "water_only.pdb": "WATER_ONLY", "empty.pdb": "EMPTY",
@@ -148,3 +197,60 @@ def test_rows_keep_file_order_over_splits(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def cif_text(name, n):
+    """A file with a long loop, text fields that hold what looks like loops, and a second data block."""
+    own = [cif_row(i + 1, "C", "CA" if i % 2 else "\"C1'\"", "ALA", "X", "P", i + 1, i, 2 * i, 3) for i in range(n)]
+    fake = [cif_row(900 + i, "C", "CB", "TRP", "X", "Z", i + 1, 0, 0, 0) for i in range(30)]
+    text = ["_struct.title", ";a title", "loop_", "_atom_site.id", *fake, "data_9BAD", ";"]
+    first = loop_rows([], "data_" + name).split("\n")
+    cut = first.index("#", first.index("_atom_site.group_PDB"))
+    lines = [*first[:4 - 1], *text, "# _entry.id   9BAD", *first[3:cut], *own, "", *own[:1], *first[cut:], *text, *loop_rows(fake, "data_SECOND").split("\n")]
+    return "\n".join(lines) + "\n", n + 1
+
+
+@pytest.mark.parametrize("split", [None, 64, 97, 300, 1000])
+def test_cif_loops_cross_splits(spark, tmp_path, split):
+    """The atoms do not depend on where the text is cut: in headers, rows, or text fields."""
+    want = {}
+    for k in range(3):
+        text, n = cif_text(f"{k}XYZ", 40 + 30 * k)
+        (tmp_path / f"f{k}.cif").write_text(text)
+        want[f"{k}XYZ"] = n
+    (tmp_path / "none.cif").write_text("data_NONE\n_entry.id NONE\n;text\n;\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = structures.scan_cif(spark, whole(tmp_path))
+        assert not split or lines.select("source", "at.block").distinct().count() > 4
+        splits = structures.cif_splits(lines)
+        atoms = structures.cif_atoms(lines, splits)
+        ids = {r.source: r.content_id for r in structures.cif_content_ids(splits).collect()}
+        got = {}
+        for r in atoms.collect():
+            got.setdefault(ids[r.source], []).append(r)
+        assert {k: len(v) for k, v in got.items()} == want and set(ids.values()) == {*want, "NONE"}
+        for found in got.values():
+            found = sorted(found, key=lambda r: r.atom_pos)
+            assert [r.x for r in found] == [*map(float, range(len(found) - 1)), 0.0]
+            assert {(r.chain_id, r.residue_name, r.z) for r in found} == {("P", "ALA", 3.0)} and {r.atom_name for r in found} == {"CA", "C1'"}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_one_bad_atom_costs_one_atom(spark, tmp_path):
+    lines = [pdb_line(i, "CA", "ALA", "A", i, i, 0, 0) for i in range(1, 9)]
+    lines[3] = lines[3][:30] + "    ?   " + lines[3][38:]
+    (tmp_path / "some.pdb").write_text("\n".join(lines) + "\n")
+    (tmp_path / "none.pdb").write_text(lines[3] + "\n")
+    (tmp_path / "m.csv").write_text(f"file_path\n{tmp_path}/some.pdb\n{tmp_path}/none.pdb\n{tmp_path}/gone.pdb\n{tmp_path}/a.txt\n\"\"\n")
+    manifest = read_manifest(spark, str(tmp_path / "m.csv"))
+    atoms, _ = read_structures(spark, structure_files(manifest))
+    assert structures.readable_atoms(atoms).count() == 7
+    assert {r.source.rsplit("/", 1)[1]: r.n_atoms for r in structures.skipped_atoms(atoms).collect()} == {"some.pdb": 1, "none.pdb": 1}
+    got = [r.reason for r in structures.rejected_files(manifest, atoms).orderBy("file_ord").collect()]
+    assert got == ["unreadable coordinates", "missing, unreadable or without atoms", "suffix", "suffix"]
