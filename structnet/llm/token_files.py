@@ -43,35 +43,59 @@ FRAME_IDS = 1 << 16
 FILE_BYTES = 128 << 20
 END_ID = 0
 #: Characters that are encoded at a time, and word pieces whose ids a worker remembers.
-PART, MEMO = 1 << 20, 100_000
+PART, MEMO = 1 << 20, 400_000
 
 #: No rule of the vocabulary joins what stands before such a space to what follows.
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
+#: Texts of ASCII and Latin letters are cut further, always where the vocabulary's pattern parts words: into words with the space before,
+#: apostrophes or a second blank with the word that follows, and what else stands between words.
+_L = "A-Za-zÀ-ÖØ-öø-ɏ"
+_BLANK = " \t\n\r\x0b\x0c"
+_PLAIN = re.compile(f"[\x00-\x7f{_L}]*")
+_PIECE = re.compile(f" ?[{_L}]+|[^{_L}]*(?:[{_BLANK}] |')[{_L}]+|[^{_L}]+?(?= [{_L}])|[^{_L}]+")
+_WORD = re.compile(f" ?[{_L}]+")
 _ENTRY = struct.Struct("<III")
 _FOOTER = struct.Struct("<IBI")
 
 
 # --- ids -----------------------------------------------------------------------------------------------------------
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: its own if it is printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class _Memo(dict):
-    """Ids of word pieces, by the tokenizers library; emptied when it is full."""
+    """Ids of word pieces, by the tokenizers library; of MEMO pieces or more the older half is forgotten."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        self.encode, self.merge = whole.encode, whole.model.tokenize
+        self.letters, self.older = _byte_letters(), {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
+        found = self.older.get(piece) or self._new(piece)
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
             self.clear()
-        found = self.ids(piece)
         if len(piece) <= 64:
             self[piece] = found
         return found
 
+    def _new(self, piece: str) -> bytes:
+        if _WORD.fullmatch(piece):  # one word, so its merges are all there is to do
+            return b"".join([t.id.to_bytes(4, "little") for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))])
+        if piece[-1] in _BLANK:  # a word follows, which the last blank is not part of
+            return self.ids(piece + "a")[:-4]
+        return self.ids(piece)
+
 
 @lru_cache(maxsize=2)
 def _memo(path: str) -> _Memo:
@@ -81,8 +105,8 @@ def _memo(path: str) -> _Memo:
 def encoded(text: str, path: str) -> Iterator[bytes]:
     """The ids of a text, in parts: little-endian, unsigned, 32 bits.
 
-    They are those of the whole text: it is cut only before a space between two characters that are none, where the
-    vocabulary's pattern always parts words. A text that names the special token is encoded whole.
+    They are those of the whole text: it is cut only where the vocabulary's pattern always parts words. A text that
+    names the special token is encoded whole.
     """
     memo = _memo(path)
     if SPECIAL in text:
@@ -92,7 +116,13 @@ def encoded(text: str, path: str) -> Iterator[bytes]:
     while start < len(text):
         border = _BORDER.search(text, start + PART)
         stop = border.start() if border else len(text)
-        yield b"".join(map(memo.__getitem__, _BORDER.split(text[start:stop])))
+        part = text[start:stop] if border or start else text
+        plain = _PLAIN.fullmatch(part)
+        pieces = _PIECE.findall(part) if plain else _BORDER.split(part)
+        last = pieces.pop() if pieces[-1][-1] in _BLANK or not plain else ""  # what follows blanks matters, and here nothing does
+        yield b"".join(map(memo.__getitem__, pieces))
+        if last:
+            yield memo.ids(last)
         start = stop
 
 

@@ -46,6 +46,10 @@ def test_parts_have_the_ids_of_the_whole(encode, monkeypatch):
     some = AWKWARD + ["".join(r.choice(" \n\t  \x1c'a1é.日") for _ in range(60)) for _ in range(300)]
     for text in some:
         assert b"".join(token_files.encoded(text, vocabulary()[0])) + bytes(4) == encode(text), text
+    monkeypatch.setattr(token_files, "PART", 1 << 20)
+    monkeypatch.setattr(token_files, "MEMO", 20)
+    for text in some + some[:50]:
+        assert b"".join(token_files.encoded(text, vocabulary()[0])) + bytes(4) == encode(text), text
 
 
 def test_files_round_trip(spark, tmp_path, encode):
