@@ -98,3 +98,26 @@ def hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("l_partkey").alias("file_ord"), F.concat_ws(":", pdb_id(), chain_name()).alias("unique_chain_id"),
                     F.concat(F.lit("Q"), F.lpad((F.col("l_suppkey") % 40).cast("string"), 5, "0")).alias("hit_id"),
                     F.when(F.col("l_linenumber").isin(4, 5), F.col("l_extendedprice")).otherwise(0.0).alias("score")))
+
+
+#: The letters of the sequences below.
+RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def _sequences(rows: DataFrame, key: str, letter: Column) -> DataFrame:
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"]
+    letters = F.sort_array(F.collect_list(F.struct(*order, F.substring(F.lit(RESIDUES), letter.cast("int") + 1, 1).alias("letter"))))
+    return rows.groupBy(key).agg(F.array_join(F.transform(letters, lambda r: r["letter"]), "").alias("sequence"))
+
+
+def structure_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence per structure, a residue of one of 20 kinds per line item."""
+    return _sequences(table(spark, sf_dir, "lineitem"), "l_partkey", F.col("l_suppkey") % 20).withColumnRenamed("l_partkey", "file_ord")
+
+
+def protein_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relatives of those sequences: where the flag is R another residue, and some residues of line 7 missing."""
+    rows = table(spark, sf_dir, "lineitem").where(~((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "N")))
+    letter = F.when(F.col("l_returnflag") == "R", (F.col("l_suppkey") + 7) % 20).otherwise(F.col("l_suppkey") % 20)
+    named = _sequences(rows, "l_partkey", letter)
+    return named.select(F.concat(F.lit("Q"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("uniprot_id"), "sequence")

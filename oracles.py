@@ -159,6 +159,38 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT 'Combined_Protein_Network' AS network, uniprot_a AS source, uniprot_b AS target, all_atoms_count,
                'interacts_with' AS interaction FROM pc"""),
 }
+# The search: letters by rule, seeds of five letters on one diagonal, best stretch by running sums.
+_LETTERS = "'ACDEFGHIKLMNPQRSTVWY'"
+_LIKE = " ".join(f"WHEN '{c}' THEN {i}" for i, g in enumerate(("AGPST", "C", "DENQ", "FWY", "HKR", "ILMV")) for c in g)
+_RUN = "ORDER BY l_orderkey, l_linenumber, l_suppkey, l_returnflag"
+_CTES |= {
+    "sq": ((), f"""
+        SELECT l_partkey AS file_ord, string_agg(substr({_LETTERS}, CAST(l_suppkey % 20 + 1 AS INTEGER), 1), '' {_RUN}) AS s
+        FROM lineitem GROUP BY l_partkey"""),
+    "st": ((), f"""
+        SELECT 'Q' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS id,
+               string_agg(substr({_LETTERS}, CAST((l_suppkey + CASE WHEN l_returnflag = 'R' THEN 7 ELSE 0 END) % 20 + 1 AS INTEGER), 1), '' {_RUN}) AS s
+        FROM lineitem WHERE NOT (l_linenumber = 7 AND l_returnflag = 'N') GROUP BY l_partkey"""),
+    "sqk": (("sq",), "SELECT file_ord, i, substr(s, i, 5) AS k FROM (SELECT *, unnest(range(1, length(s) - 3)) AS i FROM sq)"),
+    "stk": (("st",), "SELECT min(id) OVER (PARTITION BY s) AS id, i, substr(s, i, 5) AS k FROM (SELECT *, unnest(range(1, length(s) - 3)) AS i FROM st)"),
+    "sdiag": (("sqk", "stk"), """
+        SELECT file_ord, id, d FROM (SELECT DISTINCT file_ord, id, b.i - a.i AS d, a.i FROM sqk a JOIN stk b USING (k)
+                                     WHERE len(list_distinct(string_split(k, ''))) >= 3) GROUP BY ALL HAVING count(*) >= 2"""),
+    "ssum": (("sdiag", "sq", "st"), f"""
+        SELECT file_ord, id, d, i, sum(CASE WHEN a = b THEN 6 WHEN CASE a {_LIKE} END = CASE b {_LIKE} END THEN 1 ELSE -2 END)
+                                   OVER (PARTITION BY file_ord, id, d ORDER BY i) AS c
+        FROM (SELECT file_ord, id, d, i, substr(q, i, 1) AS a, substr(t, i + d, 1) AS b
+              FROM (SELECT x.*, sq.s AS q, st.s AS t, unnest(range(greatest(1, 1 - d), least(length(sq.s), length(st.s) - d) + 1)) AS i
+                    FROM sdiag x JOIN sq USING (file_ord) JOIN st USING (id)))"""),
+    "shit": (("ssum",), """
+        SELECT file_ord, id AS hit_id, CAST(max(c - least(0, coalesce(low, 0))) AS BIGINT) AS score
+        FROM (SELECT *, min(c) OVER (PARTITION BY file_ord, id, d ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM ssum)
+        GROUP BY file_ord, id"""),
+    "shits": (("shit",), """
+        SELECT file_ord, hit_id, score, CAST(row_number() OVER (PARTITION BY file_ord ORDER BY score DESC, hit_id) AS INTEGER) AS rank
+        FROM shit JOIN sq USING (file_ord)
+        WHERE 0.1 * length(s) * (SELECT sum(length(s)) FROM st) * exp(-0.34488853761884875 * score) <= 1e-5"""),
+}
 for _name in ("pedges", "pcedges"):
     _CTES[_name.replace("edges", "nodes")] = ((_name, "summary"), f"""
         SELECT e.network, e.id, e.id AS name, coalesce(s.molecule_name, e.id) AS tooltip,
@@ -283,6 +315,13 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM q) q JOIN t ON q.g = t.g
                 GROUP BY q.id, t.id HAVING count(*) / any_value(q.n) >= 0.3) WHERE rn = 1""",
             q=_SHINGLES.format(id="item_id", table="benchmark"), t=_SHINGLES.format(id="doc_id", table="documents")),
+        "search_hits": _sql("shits", "SELECT file_ord, hit_id, rank, score FROM shits WHERE rank <= 8"),
+        "annotate_by_search": _sql("annotated shits", f"""
+            SELECT {_CHAIN_COLUMNS}, CASE WHEN cand AND hit_id IS NOT NULL THEN 'Matched UniProt: ' || hit_id ELSE molecule_name END AS molecule_name,
+                   CASE WHEN NOT cand THEN molecule_type WHEN hit_id IS NOT NULL OR all_amino THEN 'Protein' ELSE 'Nucleic Acid' END AS molecule_type,
+                   CASE WHEN cand AND hit_id IS NOT NULL THEN hit_id ELSE uniprot_id END AS uniprot_id
+            FROM (SELECT *, uniprot_id IS NULL AND molecule_type <> 'Nucleic Acid' AS cand FROM annotated)
+            LEFT JOIN (SELECT * FROM shits WHERE rank = 1) USING (file_ord)"""),
         "chain_pairs": _sql("chain", """
             SELECT a.file_ord, a.unique_chain_id AS chain_a, b.unique_chain_id AS chain_b
             FROM chain a JOIN chain b ON a.file_ord = b.file_ord AND a.chain_pos < b.chain_pos"""),

@@ -27,7 +27,8 @@ class Options:
     detailed_contacts: bool = True
     search: bool = True
     search_kmer: int = 5
-    search_min_share: float = 0.3
+    search_expect: float = 1e-5
+    search_targets: int = 8
     first_model_only: bool = False
     compat: bool = False
 

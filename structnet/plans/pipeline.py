@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from structnet.operators import annotate as an
 from structnet.operators import chains as ch
-from structnet.operators import contacts, networks, similarity
+from structnet.operators import contacts, networks, search
 from structnet.operators.staging import Staged, stage
 from structnet.plans.options import Options
 from structnet.plans.session import tune
@@ -36,7 +36,7 @@ _EMPTY_ATOMS = ("source string, model struct<block:bigint,row:bigint>, chain_id
                 "x double, y double, z double, atom_pos struct<block:bigint,row:bigint,line:bigint>")
 
 
-def search_hits(atoms: DataFrame, annotated: DataFrame, proteins: DataFrame, k: int, min_share: float) -> DataFrame:
+def search_hits(atoms: DataFrame, annotated: DataFrame, proteins: DataFrame, k: int, expect: float, best: int) -> DataFrame:
     """Best protein per chain that has no accession: ``file_ord, chain_pos, hit_id``."""
     candidates = an.search_candidates(annotated).select(*ch.CHAIN_KEY, "file_ord", "chain_pos")
     searched = atoms.join(candidates.select(*ch.CHAIN_KEY).distinct(), ch.CHAIN_KEY, "left_semi")
@@ -45,9 +45,8 @@ def search_hits(atoms: DataFrame, annotated: DataFrame, proteins: DataFrame, k:
     sequences = ch.chain_sequences(searched, block)
     queries = candidates.join(sequences, ch.CHAIN_KEY).select(F.struct("file_ord", "chain_pos").alias("query_id"),
                                                               "sequence")
-    found = similarity.best_matches(queries, proteins.select("uniprot_id", "sequence"), "query_id", "uniprot_id",
-                                    "sequence", lambda s: similarity.residue_kmers(s, k), min_share)
-    return found.select("query_id.file_ord", "query_id.chain_pos", "hit_id")
+    found = search.scored_hits(queries, proteins, "query_id", "uniprot_id", k=k, expect=expect, best=best)
+    return search.first_hits(found, "query_id").select("query_id.file_ord", "query_id.chain_pos", "hit_id")
 
 
 def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -77,7 +76,7 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
     annotated = stage(an.annotate(chains, lookups.read_xref(spark, o.cross_reference), proteins,
                                   lookups.sequence_headers(records)))
     if hits is None and o.search:
-        hits = search_hits(atoms, annotated, proteins, o.search_kmer, o.search_min_share)
+        hits = search_hits(atoms, annotated, proteins, o.search_kmer, o.search_expect, o.search_targets)
     if hits is None:
         hits = annotated.select("file_ord", "chain_pos", F.lit(None).cast("string").alias("hit_id")).limit(0)
     chains = stage(an.apply_hits(annotated, hits, ["file_ord", "chain_pos"]))

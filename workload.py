@@ -11,7 +11,7 @@ import fixtures as fx
 from structnet.functions import rules
 from structnet.operators import annotate as an
 from structnet.operators import chains as ch
-from structnet.operators import coloring, contacts, networks, similarity, spatial
+from structnet.operators import coloring, contacts, networks, search, similarity, spatial
 from structnet.operators.dedup import last_wins
 from structnet.operators.staging import stage
 from structnet.sources import identifiers, sinks
@@ -244,6 +244,23 @@ def best_match(spark, sf_dir):
     return similarity.best_matches(items, documents, "item_id", "doc_id", "text", similarity.word_shingles, 0.3)
 
 
+@query
+def search_hits(spark, sf_dir):
+    """The best eight relatives of every structure's sequence."""
+    return search.scored_hits(fx.structure_sequences(spark, sf_dir), fx.protein_sequences(spark, sf_dir), "file_ord", "uniprot_id")
+
+
+@query
+def annotate_by_search(spark, sf_dir):
+    """Annotation whose hits come from the search: every chain without accession is looked up by its structure's sequence."""
+    rows = annotated(spark, sf_dir)
+    chain = F.struct("file_ord", "chain_pos").alias("query_id")
+    wanted = an.search_candidates(rows).join(fx.structure_sequences(spark, sf_dir), "file_ord").select(chain, "sequence")
+    found = search.first_hits(search.scored_hits(wanted, fx.protein_sequences(spark, sf_dir), "query_id", "uniprot_id"), "query_id")
+    hit = found.select("query_id.file_ord", "query_id.chain_pos", "hit_id")
+    return an.apply_hits(rows, hit, ["file_ord", "chain_pos"]).select(*ANNOTATION)
+
+
 # --- contacts -------------------------------------------------------------
 
 @query
