@@ -76,6 +76,8 @@ class _Memo(dict):
         whole = Tokenizer.from_file(path)
         self.encode, self.merge = whole.encode, whole.model.tokenize
         self.letters, self.older = _byte_letters(), {}
+        self.blank = self.letters[32]
+        self.raw = [i.to_bytes(4, "little") for i in range(whole.get_vocab_size())]
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,7 +93,11 @@ class _Memo(dict):
 
     def _new(self, piece: str) -> bytes:
         if _WORD.fullmatch(piece):  # one word, so its merges are all there is to do
-            return b"".join([t.id.to_bytes(4, "little") for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))])
+            if piece.isascii():
+                shown = self.blank + piece[1:] if piece[0] == " " else piece
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.letters)
+            return b"".join([self.raw[t.id] for t in self.merge(shown)])
         if piece[-1] in _BLANK:  # a word follows, which the last blank is not part of
             return self.ids(piece + "a")[:-4]
         return self.ids(piece)
@@ -223,8 +229,8 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs(doc_id, text, ...)`` into token files under ``folder``, in ascending order of doc_id over all files.
 
-    Every text, null ones as empty, is followed by the id 0. Null ids come first; rows that share an id are ordered by a hash of their
-    text, and rows that repeat are all written, over several files if they are many. Other columns are ignored. An
+    Every text, null ones as empty, is followed by the id 0. Null ids come first; rows that share an id stay in the order they are
+    read in, and rows that repeat are all written, over several files if they are many. Other columns are ignored. An
     empty table gives no document. A file holds the documents of one range of ids, about ``file_bytes`` of text; a text
     is never cut over files, but over frames.
     """
@@ -232,8 +238,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str | None
     docs = texts(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
-    order = ["doc_id", "h", "row"]
-    rows = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = ["doc_id", "row"]
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -292,7 +298,8 @@ def read_documents(spark: SparkSession, folder: str, doc_ids: Iterable[int] | No
     arrow = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     docs = _scanned(spark, folder, found, "doc_id long, at long, n_tokens long, ids binary", arrow, 64)
     starts = file_starts(spark, folder).select("file", F.col("start").alias("of_file"))
-    return docs.join(starts, "file").select("doc_id", (F.col("of_file") + F.col("at")).alias("start"), "n_tokens", "ids")
+    # 16 bytes a file, and a file holds FILE_BYTES of text: 13 MB for 100 TB. A shuffle would carry the ids.
+    return docs.join(F.broadcast(starts), "file").select("doc_id", (F.col("of_file") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def new_folder(spark: SparkSession) -> str:
