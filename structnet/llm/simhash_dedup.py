@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +128,11 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 #: The keys of :func:`near_duplicates`: BANDS, each a hash of the least shingles by BAND_ROWS orders. Of pairs with similarity j a
 #: share of 1 - (1 - j ** BAND_ROWS) ** BANDS meets on a key, whatever kind of edit parts them: 0.9993 at 0.8, 0.99999 at 0.85.
 BANDS, BAND_ROWS = 24, 6
-#: What candidates differ by at most: bits of the SHAPE longs, a SimHash of the shingles. Pairs at the threshold differ by
+#: What a member and its buckets' smallest ones differ by at most: bits of the SHAPE longs, a SimHash of the shingles. Pairs at the threshold differ by
 #: 116 of 768 (deviation 10), those of four and five shingles by 144 (deviation 11).
-#: Nearer pairs are looked at first, as they are mostly links, which leave fewer groups.
-SHAPE, SHAPE_FARTHEST = 12, (92, 190)
+SHAPE, SHAPE_FARTHEST = 12, 190
+#: Counters of shingles that order them by rarity, and how much larger the sizes of a class of sets are than those of the one before.
+CELLS, CLASS_STEP = 1 << 22, 1.05
 #: Buckets' smallest members that a member is compared with before its groups are looked at: those that it shares most keys with.
 TRIES = 6
 #: Shingles that are hashed at a time.
@@ -191,14 +194,102 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return map_rows(both, similar, ["a", "b", "of_a", "of_b"], "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
+@lru_cache(maxsize=1024)
+def class_starts(most: int, step: float = CLASS_STEP) -> np.ndarray:
+    """The smallest size of each class of set sizes, up to ``most``."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * step))))
+    return np.array(out)
+
+
+def prefix_keys(shingles: np.ndarray, cells: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sides: two sets with a similarity of ``least`` or more have a key in common, on opposite sides.
+
+    Sets of n and m elements with that similarity share at least o = least / (1 + least) * (n + m) of them, so in any common order of all
+    elements their first n - o + 1 and m - o + 1 have one in common. The order is by ``cells``, counts by hash, so rare ones
+    come first: of sets that share a passage but are not as similar, the passage lies beyond these. How many places count depends on
+    both sizes, so keys name the classes of both: the smaller one's set is on side 0, the larger one's on side 1, of the same class on both.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(2, np.uint64), np.array([0, 1])
+    own = shingles[np.lexsort((shingles, cells[shingles % np.uint32(len(cells))]))].astype(np.uint64)
+    starts = class_starts(int(n / least) + 1)
+    mine = int(np.searchsorted(starts, n, "right")) - 1
+    exact = Fraction(str(least))
+    out, sides = [], []
+    for other in range(len(starts) - 1):
+        low = max(int(starts[other]), -(-n * exact.numerator // exact.denominator))
+        shared = exact / (1 + exact) * (n + low)  # with the smallest set of that class; more with any other
+        places = n - -(-shared.numerator // shared.denominator) + 1
+        if low < starts[other + 1] and places > 0:
+            keys = remixed(own[:places] | np.uint64(min(mine, other) << 16 | max(mine, other)) << np.uint64(32))
+            for side in {0, 1} if mine == other else {int(mine > other)}:
+                out.append(keys)
+                sides.append(np.full(len(keys), side))
+    return np.concatenate(out), np.concatenate(sides)
+
+
+_LINK = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("part", pa.int64())])
+
+
+def _rarity(some: DataFrame) -> np.ndarray:
+    """A count for each of CELLS hashes of shingles, as a byte: eight steps for each doubling from four on. Of fixed size whatever the input is."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles"):
+                np.add.at(counts, np.frombuffer(x.as_buffer(), np.uint32) % np.uint32(CELLS), 1)
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 50_000]), pa.array(counts[at[i:i + 50_000]])], ["cell", "n"])
+
+    rows = some.select("shingles").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 4")
+    found = rows.select(F.col("cell").cast("int"), F.least(F.floor(8 * F.log2("n")), F.lit(255)).cast("short").alias("level")).toArrow()
+    out = np.zeros(CELLS, np.uint8)
+    out[found["cell"].to_numpy()] = found["level"].to_numpy()
+    return out
+
+
+def _across(members: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Keys that connect different groups within buckets: key, side, node. No pair that is ``least`` similar shares none."""
+    member = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    some = written(member.join(mixed, "key", "left_semi").select("node", "part").distinct().join(sets, F.col("node") == F.col("row")).drop("row"))
+    cells = _rarity(some)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, part, x in zip(*(batch.column(c) for c in ("node", "part", "shingles")), strict=True):
+                own, side = prefix_keys(np.frombuffer(x.as_buffer(), np.uint32), cells, least)
+                columns = [own.view(np.int64), side.astype(np.int32), np.full(len(own), node.as_py()), np.full(len(own), part.as_py())]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=_LINK)
+
+    keyed = written(some.mapInArrow(keys, "key long, side int, node long, part long"))
+    return written(keyed.join(_mixed(keyed), "key", "left_semi").select("key", "side", "node"))
+
+
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """Keys whose two sides hold different groups, with the smallest member of each side (``hub``) and its group."""
+    on = lambda side, x: F.when(F.col("side") == side, x)
+    hubs = [F.min(on(1 - i, F.struct("node", "part"))).alias(f"hub_{i}") for i in (0, 1)]  # of the other side
+    ends = F.min("part").alias("low"), F.max("part").alias("high")
+    return keyed.groupBy("key").agg(*ends, *hubs).where("low <> high AND hub_0 IS NOT NULL AND hub_1 IS NOT NULL").select("key", "hub_0", "hub_1")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, row (a number), group (the smallest row number among its near duplicates), n_words, text_hash.
 
     Two rows are near duplicates if their sets of ``width``-word shingles are at least ``least`` similar; groups are what such
-    links connect. Candidates share the key of a MinHash band of their shingles, and their SimHash differs by SHAPE_FARTHEST bits at most.
-    First each member is compared with the smallest ones of its buckets, the TRIES that it shares most keys with; where that leaves a bucket with more than one group, its
-    members of different groups are compared, so no link between groups is lost and copies cost a few comparisons each.
-    Null and empty texts are one group; so are rows with equal word sequences.
+    links connect. Candidates share the key of a MinHash band of their shingles, which a pair misses with the probability stated at BANDS.
+    First each member is compared with the smallest ones of its buckets, the TRIES that it shares most keys with and whose SimHash differs by SHAPE_FARTHEST bits at most.
+    Where that leaves a bucket with more than one group, its members meet again on :func:`prefix_keys`, which no similar pair lacks and texts that
+    only share a passage do not have in common: first with the smallest member of each key, then members of groups that are still apart.
+    So no link between groups is lost, copies cost a few comparisons each, and a passage that many share makes no pairs.
+    Null and empty texts are one group; so are rows with equal word sequences. Null ids and rows that repeat are rows like any
+    other, other columns are ignored, an empty table gives none.
     """
 
     def described(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -228,7 +319,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     nodes = nodes.drop("keys")
     sides = [nodes.select(F.col("node").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in shape)) for x in "ab"]
     shapes = [[F.col(f"{x}_{n}") for n in shape] for x in "ab"]
-    near = differing(*shapes) <= SHAPE_FARTHEST[-1]
+    near = differing(*shapes) <= SHAPE_FARTHEST
     tries = members.where("node <> low").groupBy("node", "low").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "low"))  # a node has BANDS keys
     tries = written(tries.withColumn("later", nth > TRIES).where("not later or n = 2").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"), "later"))
@@ -243,13 +334,19 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     sets = written(sets.join(wanted, ["h1", "h2"]).groupBy("row").agg(F.first("shingles").alias("shingles")))
     links = written(_verified(star, sets, least))
 
-    for farthest in SHAPE_FARTHEST:
-        groups = written(components(links))
-        member = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-        mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        member = member.join(mixed, "key").join(nodes, "node")
-        sides = [member.select("key", F.col("node").alias(x), F.col("part").alias(f"{x}_part"), *(F.col(n).alias(f"{x}_{n}") for n in shape)) for x in "ab"]
-        across = sides[0].join(sides[1], "key").where(F.col("a_part") < F.col("b_part")).where(differing(*shapes) <= farthest).select("a", "b").distinct()
-        links = written(links.union(_verified(across, sets, least)))
-    groups = components(links)
+    groups = written(components(links))
+    keyed = _across(members, groups, sets, least)
+    for hubs_only in (True, False):  # first a key's members with its smallest, then what is left between groups
+        member = keyed.join(groups, "node", "left").select("key", "side", "node", F.coalesce("component", "node").alias("part"))
+        mixed = _mixed(member)
+        if hubs_only:
+            hub = F.when(F.col("side") == 0, F.col("hub_0")).otherwise(F.col("hub_1"))
+            pairs = member.join(mixed, "key").withColumn("hub", hub).where("part <> hub.part").select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
+        else:
+            member = member.join(mixed.select("key"), "key", "left_semi")
+            sides = [member.where(F.col("side") == i).select("key", F.col("node").alias(x), F.col("part").alias(f"{x}_part")) for i, x in enumerate("xy")]
+            pairs = sides[0].join(sides[1], "key").where("x_part <> y_part").select("x", "y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found = _verified(pairs.distinct(), sets, least)
+        groups = written(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
     return rows.join(groups, rows["first"] == groups["node"], "left").select("doc_id", "row", F.coalesce("component", "first").alias("group"), "n_words", "text_hash")

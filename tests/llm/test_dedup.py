@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import edge
+import numpy as np
 import pytest
 import xxhash
 
@@ -181,6 +183,48 @@ def test_crowd_of_near_duplicates(spark):
     assert len({x["group"] for x in got}) == 1
 
 
+@pytest.mark.parametrize("least", [0.8, 0.5, 0.95])
+def test_similar_sets_share_a_prefix_key(least):
+    """Every pair at the threshold or above shares a key, at sizes around class borders and with any order."""
+    r = np.random.default_rng(8)
+    cells = r.integers(0, 9, simhash_dedup.CELLS).astype(np.uint8)
+    exact = Fraction(str(least))
+    for _ in range(400):
+        n = int(r.integers(1, 140))
+        a = np.unique(r.integers(0, 1 << 32, n, np.uint64).astype(np.uint32))
+        n, gone = len(a), int(r.integers(0, n // 4 + 2))
+        kept = r.permutation(a)[: max(1, n - gone)]
+        new = r.integers(0, 1 << 32, int(r.integers(0, n // 4 + 2)), np.uint64).astype(np.uint32)
+        b = np.unique(np.concatenate([kept, new]))
+        shared = len(np.intersect1d(a, b))
+        keys = [{side: {int(k) for k, s in zip(*simhash_dedup.prefix_keys(x, cells, least), strict=True) if s == side} for side in (0, 1)} for x in (a, b)]
+        if Fraction(shared, len(a) + len(b) - shared) >= exact:
+            assert keys[0][0] & keys[1][1] or keys[0][1] & keys[1][0], (n, len(b), shared)
+
+
+def test_a_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts that share most of their words, but less than the threshold asks for, are compared a few times each."""
+    compared = {}
+    verified = simhash_dedup._verified
+
+    def counting(pairs, sets, least):
+        pairs = pairs.cache()
+        compared[n] = compared.get(n, 0) + pairs.count()
+        return verified(pairs, sets, least)
+
+    monkeypatch.setattr(simhash_dedup, "_verified", counting)
+    r = random.Random(2)
+    passage = [f"p{i}" for i in range(330)]
+    for n in (100, 200):
+        rows = [(i, " ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(70)])) for i in range(n)]
+        rows += [(1000 + i, rows[i][1] + " one more") for i in range(0, n, 10)]
+        group = defaultdict(set)
+        for x in simhash_dedup.near_duplicates(edge.documents(spark, rows)).collect():
+            group[x["group"]].add(x["doc_id"])
+        assert sorted(map(len, group.values())) == [1] * (n - n // 10) + [2] * (n // 10)
+    assert compared[200] <= 2.5 * compared[100] and compared[200] < 8 * 220, compared
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
