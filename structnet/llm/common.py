@@ -66,11 +66,11 @@ def text_hash(text: str) -> int:
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` named by ``kept(doc_id, text_hash)``, one of each, with all their columns."""
-    key = [F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))]
-    names = ["__llm_id", "__llm_hash"]
-    kept = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(names[0]), F.col("text_hash").alias(names[1]))
-    rows = docs.withColumns(dict(zip(names, key, strict=True))).join(kept, names, "left_semi")
+    """The rows of ``docs`` named by ``kept(doc_id, text_hash)``, one of each, with all their columns. A null id names rows without one."""
+    names = ["__llm_none", "__llm_id", "__llm_hash"]
+    parts = lambda text_hash: [F.isnull("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), text_hash]
+    kept = kept.select(*(c.alias(n) for c, n in zip(parts(F.col("text_hash")), names, strict=True)))
+    rows = docs.withColumns(dict(zip(names, parts(F.xxhash64(F.coalesce("text", F.lit("")))), strict=True))).join(kept, names, "left_semi")
     return rows.dropDuplicates(names).select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -105,7 +105,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     key = ["h1", "h2", "n"]
     differing = _differing(docs, rows.groupBy(*key).count().where("count > 1").select(*key))
     rows = rows.join(differing.withColumn("split", F.lit(True)), key, "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(""))
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"), (-F.col("row")).alias("row_neg")))
+    # The bits of a number turned round order backwards, and unlike its negative every number has them.
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("neg"), F.bitwise_not("row").alias("row_neg")))
     groups = rows.groupBy(*key, "part").agg(F.count("*").alias("group_size"), best.alias("best"))
     return rows.join(groups, [*key, "part"]).select(
-        "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.row_neg")).alias("kept"), "text_sha256", "n_chars", "text_hash", "row")
+        "doc_id", F.bitwise_not("best.neg").alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not("best.row_neg")).alias("kept"), "text_sha256", "n_chars", "text_hash", "row")

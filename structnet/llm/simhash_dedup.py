@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
@@ -203,8 +203,9 @@ def class_starts(most: int, step: float = CLASS_STEP) -> np.ndarray:
     return np.array(out)
 
 
-def prefix_keys(shingles: np.ndarray, cells: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and sides: two sets with a similarity of ``least`` or more have a key in common, on opposite sides.
+def prefix_keys(shingles: np.ndarray, cells: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sides, and how many elements each key's and all after it are: two sets with a similarity of ``least`` or more have a
+    key in common, on opposite sides, from which on both hold as many elements as they must share.
 
     Sets of n and m elements with that similarity share at least o = least / (1 + least) * (n + m) of them, so in any common order of all
     elements their first n - o + 1 and m - o + 1 have one in common. The order is by ``cells``, counts by hash, so rare ones
@@ -213,12 +214,12 @@ def prefix_keys(shingles: np.ndarray, cells: np.ndarray, least: float) -> tuple[
     """
     n = len(shingles)
     if not n:
-        return np.zeros(2, np.uint64), np.array([0, 1])
+        return np.zeros(2, np.uint64), np.array([0, 1]), np.zeros(2, np.int64)
     own = shingles[np.lexsort((shingles, cells[shingles % np.uint32(len(cells))]))].astype(np.uint64)
     starts = class_starts(int(n / least) + 1)
     mine = int(np.searchsorted(starts, n, "right")) - 1
     exact = Fraction(str(least))
-    out, sides = [], []
+    out, sides, rest = [], [], []
     for other in range(len(starts) - 1):
         low = max(int(starts[other]), -(-n * exact.numerator // exact.denominator))
         shared = exact / (1 + exact) * (n + low)  # with the smallest set of that class; more with any other
@@ -228,10 +229,11 @@ def prefix_keys(shingles: np.ndarray, cells: np.ndarray, least: float) -> tuple[
             for side in {0, 1} if mine == other else {int(mine > other)}:
                 out.append(keys)
                 sides.append(np.full(len(keys), side))
-    return np.concatenate(out), np.concatenate(sides)
+                rest.append(n - np.arange(len(keys)))
+    return np.concatenate(out), np.concatenate(sides), np.concatenate(rest)
 
 
-_LINK = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("part", pa.int64())])
+_LINK = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("rest", pa.int32()), ("size", pa.int32()), ("node", pa.int64()), ("part", pa.int64())])
 
 
 def _rarity(some: DataFrame) -> np.ndarray:
@@ -254,7 +256,7 @@ def _rarity(some: DataFrame) -> np.ndarray:
 
 
 def _across(members: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Keys that connect different groups within buckets: key, side, node. No pair that is ``least`` similar shares none."""
+    """Keys that connect different groups within buckets: key, side, rest, size, node. No pair that is ``least`` similar shares none."""
     member = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     some = written(member.join(mixed, "key", "left_semi").select("node", "part").distinct().join(sets, F.col("node") == F.col("row")).drop("row"))
@@ -263,18 +265,20 @@ def _across(members: DataFrame, groups: DataFrame, sets: DataFrame, least: float
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, part, x in zip(*(batch.column(c) for c in ("node", "part", "shingles")), strict=True):
-                own, side = prefix_keys(np.frombuffer(x.as_buffer(), np.uint32), cells, least)
-                columns = [own.view(np.int64), side.astype(np.int32), np.full(len(own), node.as_py()), np.full(len(own), part.as_py())]
+                shingles = np.frombuffer(x.as_buffer(), np.uint32)
+                own, side, rest = prefix_keys(shingles, cells, least)
+                fixed = [np.full(len(own), v, t) for v, t in ((len(shingles), np.int32), (node.as_py(), np.int64), (part.as_py(), np.int64))]
+                columns = [own.view(np.int64), side.astype(np.int32), rest.astype(np.int32), *fixed]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=_LINK)
 
-    keyed = written(some.mapInArrow(keys, "key long, side int, node long, part long"))
-    return written(keyed.join(_mixed(keyed), "key", "left_semi").select("key", "side", "node"))
+    keyed = written(some.mapInArrow(keys, "key long, side int, rest int, size int, node long, part long"))
+    return written(keyed.join(_mixed(keyed), "key", "left_semi").drop("part"))
 
 
-def _mixed(keyed: DataFrame) -> DataFrame:
-    """Keys whose two sides hold different groups, with the smallest member of each side (``hub``) and its group."""
+def _mixed(keyed: DataFrame, hub: Callable[[Column], Column] = F.min) -> DataFrame:
+    """Keys whose two sides hold different groups, with a member of each side (``hub``, the smallest or the largest) and its group."""
     on = lambda side, x: F.when(F.col("side") == side, x)
-    hubs = [F.min(on(1 - i, F.struct("node", "part"))).alias(f"hub_{i}") for i in (0, 1)]  # of the other side
+    hubs = [hub(on(1 - i, F.struct("node", "part"))).alias(f"hub_{i}") for i in (0, 1)]  # of the other side
     ends = F.min("part").alias("low"), F.max("part").alias("high")
     return keyed.groupBy("key").agg(*ends, *hubs).where("low <> high AND hub_0 IS NOT NULL AND hub_1 IS NOT NULL").select("key", "hub_0", "hub_1")
 
@@ -286,7 +290,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     links connect. Candidates share the key of a MinHash band of their shingles, which a pair misses with the probability stated at BANDS.
     First each member is compared with the smallest ones of its buckets, the TRIES that it shares most keys with and whose SimHash differs by SHAPE_FARTHEST bits at most.
     Where that leaves a bucket with more than one group, its members meet again on :func:`prefix_keys`, which no similar pair lacks and texts that
-    only share a passage do not have in common: first with the smallest member of each key, then members of groups that are still apart.
+    only share a passage do not have in common: first with the smallest and the largest member of each key, then members of groups that are still apart.
     So no link between groups is lost, copies cost a few comparisons each, and a passage that many share makes no pairs.
     Null and empty texts are one group; so are rows with equal word sequences. Null ids and rows that repeat are rows like any
     other, other columns are ignored, an empty table gives none.
@@ -336,16 +340,18 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
 
     groups = written(components(links))
     keyed = _across(members, groups, sets, least)
-    for hubs_only in (True, False):  # first a key's members with its smallest, then what is left between groups
-        member = keyed.join(groups, "node", "left").select("key", "side", "node", F.coalesce("component", "node").alias("part"))
-        mixed = _mixed(member)
-        if hubs_only:
+    share = Fraction(str(least)) / (1 + Fraction(str(least)))
+    for hubs in (F.min, F.max, None):  # first a key's members with its smallest and its largest, then what is left between groups
+        member = keyed.join(groups, "node", "left").select("key", "side", "rest", "size", "node", F.coalesce("component", "node").alias("part"))
+        mixed = _mixed(member, hubs or F.min)
+        if hubs:
             hub = F.when(F.col("side") == 0, F.col("hub_0")).otherwise(F.col("hub_1"))
             pairs = member.join(mixed, "key").withColumn("hub", hub).where("part <> hub.part").select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
         else:
             member = member.join(mixed.select("key"), "key", "left_semi")
-            sides = [member.where(F.col("side") == i).select("key", F.col("node").alias(x), F.col("part").alias(f"{x}_part")) for i, x in enumerate("xy")]
-            pairs = sides[0].join(sides[1], "key").where("x_part <> y_part").select("x", "y")
+            sides = [member.where(F.col("side") == i).select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "part", "rest", "size"))) for i, x in enumerate("xy")]
+            enough = F.least("x_rest", "y_rest").cast("long") * share.denominator >= (F.col("x_size") + F.col("y_size")).cast("long") * share.numerator
+            pairs = sides[0].join(sides[1], "key").where(enough & (F.col("x_part") != F.col("y_part"))).select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = _verified(pairs.distinct(), sets, least)
         groups = written(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))

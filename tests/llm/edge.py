@@ -15,7 +15,7 @@ def texts() -> list[tuple]:
     near = prose[7].split()
     near[100] = "changed"
     out = [(1, None), (2, ""), (3, " \t\n\r\x0b\x0c "), (None, "no id at all"), (4, long), (5, long + "."), (6, "same text"), (7, "same  text"), (8, "sametext"), (9, "same text"), (9, "same text"),
-           (10, "a" * 5000), (11, "line one\nline one\nline onf\n\nline one"), (12, prose[7] + "\n"), (13, " ".join(near)), (14, "x <|endoftext|> y"), (15, "﻿    K ſ"), (None, None)]
+           (10, "a" * 5000), (11, "line one\nline one\nline onf\n\nline one"), (12, prose[7] + "\n"), (13, " ".join(near)), (14, "x <|endoftext|> y"), (-(1 << 63), "same\ttext"), ((1 << 63) - 1, "same  text"), (15, "﻿    K ſ"), (None, None)]
     return out + [(20 + i, t) for i, t in enumerate(prose)]
 
 
