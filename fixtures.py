@@ -6,6 +6,7 @@ frames are lazy projections and joins over the whole tables.
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,7 +57,7 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("atom_name"),
         F.when(supp % 10 == 0, "H").otherwise("C").alias("element"),
         F.round("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"),
-        F.round(F.col("l_tax") * 100).alias("z"), line.alias("atom_pos"))
+        F.round(F.col("l_tax") * 100).alias("z"), line.alias("atom_pos"), F.year("l_shipdate").cast("string").alias("year"), supp.alias("supplier"))
 
 
 def xref_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,3 +122,35 @@ def protein_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = F.when(F.col("l_returnflag") == "R", (F.col("l_suppkey") + 7) % 20).otherwise(F.col("l_suppkey") % 20)
     named = _sequences(rows, "l_partkey", letter)
     return named.select(F.concat(F.lit("Q"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("uniprot_id"), "sequence")
+
+
+def written_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Structure files made of all line items, one for each year: ``source, file_path, file_ord``.
+
+    ``kind`` is ``pdb`` (each line number a model) or ``cif``. They lie in the session's shared folder.
+    """
+    item, text = F.col, F.format_string
+    at = atoms(spark, sf_dir).select("chain_id", "residue_number", "residue_name", "atom_name", "element", "x", "y", "z", item("atom_pos").alias("model"), "year")
+    head = at.select("year").distinct()
+    name = F.substring("year", 2, 3)
+    if kind == "pdb":
+        line = text("ATOM  %5d  %-3s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.lit(1), "atom_name", "residue_name", "chain_id", "residue_number", "x", "y", "z", F.lit(1.0), F.lit(0.0), "element")
+        starts = [head.select("year", F.lit(-1).alias("model"), F.lit(0).alias("ord"), text("HEADER    LINE ITEMS                              01-JAN-00   9%s", name).alias("line")),
+                  at.select("year", "model").distinct().select("year", "model", F.lit(0).alias("ord"), text("MODEL     %4d", "model").alias("line"))]
+    else:
+        line = text("ATOM %s \"%s'\" %s %s %d %.3f %.3f %.3f %d", "element", "atom_name", "residue_name", "chain_id", "residue_number", "x", "y", "z", "model")
+        items = ["group_PDB", "type_symbol", "label_atom_id", "label_comp_id", "auth_asym_id", "auth_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "pdbx_PDB_model_num"]
+        top = ["_audit.revision 1", "loop_", "_note.text", "'ATOM not one'", "_struct.title", ";loop_", "_atom_site.id", "ATOM is text", ";", "loop_", *(f"_atom_site.{i}" for i in items)]
+        lines = F.posexplode(F.concat(F.array(F.concat(F.lit("data_9"), name)), F.array(*map(F.lit, top)))).alias("ord", "line")
+        starts = [head.select("year", F.lit(-1).alias("model"), lines), head.select("year", F.lit(99).alias("model"), F.posexplode(F.array(F.lit("_cell.length_a 1.0"), F.lit("data_SECOND"))).alias("ord", "line"))]
+    rows = at.select("year", "model", F.lit(1).alias("ord"), line.alias("line"))
+    for start in starts:
+        rows = rows.unionByName(start)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+    folder = f"{shared.rstrip('/')}/structnet-files-{uuid.uuid4().hex}"
+    ordered = rows.repartition("year").sortWithinPartitions("year", "model", "ord", "line")
+    # Lines without quotes or separators: the CSV writer can name the suffix, which the text writer cannot.
+    plain = {"header": "false", "quote": "", "sep": "\u0001", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "extension": kind}
+    ordered.select("year", "line").write.partitionBy("year").options(**plain).csv(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("source"))
+    return files.select("source", F.col("source").alias("file_path"), F.col("source").alias("file_ord"))

@@ -26,7 +26,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                     ELSE CASE l_suppkey % 2 WHEN 0 THEN 'DA' ELSE 'DT' END END AS residue_name,
                CASE l_returnflag WHEN 'A' THEN 'CA' WHEN 'N' THEN 'N' ELSE 'C' END AS atom_name,
                CASE WHEN l_suppkey % 10 = 0 THEN 'H' ELSE 'C' END AS element,
-               round(l_quantity) AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z
+               round(l_quantity) AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z,
+               '9' || substr(CAST(year(l_shipdate) AS VARCHAR), 2, 3) AS content_id
         FROM lineitem"""),
     "heavy": (("fx_atom",), "SELECT * FROM fx_atom WHERE element NOT IN ('H', 'D')"),
     "chain": (("heavy",), f"""
@@ -134,7 +135,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                chain_b AS target, all_atoms_count, 'interacts_with' AS interaction FROM inter"""),
     "cnodes": (("final", "cedges"), """
         SELECT 'Chain_Interaction_Network_' || pdb_id AS network, unique_chain_id AS id, unique_chain_id AS name,
-               molecule_name AS tooltip, molecule_type AS color_group
+               molecule_name AS tooltip, molecule_type AS color_group, molecule_name
         FROM final WHERE 'Chain_Interaction_Network_' || pdb_id IN (SELECT network FROM cedges)"""),
     "c2p": (("final",), "SELECT unique_chain_id, uniprot_id FROM final WHERE uniprot_id IS NOT NULL"),
     "summary": (("final",), """
@@ -194,7 +195,7 @@ _CTES |= {
 for _name in ("pedges", "pcedges"):
     _CTES[_name.replace("edges", "nodes")] = ((_name, "summary"), f"""
         SELECT e.network, e.id, e.id AS name, coalesce(s.molecule_name, e.id) AS tooltip,
-               coalesce(s.color_group, 'Multi') AS color_group
+               coalesce(s.color_group, 'Multi') AS color_group, coalesce(s.molecule_name, e.id) AS molecule_name, e.id AS label
         FROM (SELECT network, source AS id FROM {_name} UNION SELECT network, target FROM {_name}) e
         LEFT JOIN summary s ON s.uniprot_id = e.id""")
 
@@ -233,7 +234,8 @@ def _sql(uses: str, body: str, **extra: str) -> str:
 _CHAIN_COLUMNS = "file_ord, pdb_id, chain_pos, chain_id, unique_chain_id"
 _ANNOTATION = f"{_CHAIN_COLUMNS}, molecule_name, molecule_type, uniprot_id"
 _EDGES = "SELECT network, source, target, all_atoms_count, interaction FROM "
-_NODES = "SELECT network, id, name, tooltip, color_group FROM "
+_NODES = "SELECT network, id, name, tooltip, color_group, molecule_name FROM "
+_PROTEIN_NODES = _NODES.replace(" FROM", ", label FROM")
 _ONE = "CASE residue_name WHEN 'ALA' THEN 'A' WHEN 'GLY' THEN 'G' WHEN 'LEU' THEN 'L' WHEN 'SER' THEN 'S' " \
        "WHEN 'VAL' THEN 'V' ELSE 'X' END"
 _SHINGLES = r"""
@@ -241,6 +243,10 @@ _SHINGLES = r"""
     FROM (SELECT {id} AS id, list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '') AS w FROM {table})"""
 
 
+_SCAN = f"WITH fx_atom AS ({_CTES['fx_atom'][1]})" + """
+    SELECT content_id, chain_id, residue_number, residue_name, {atom} AS atom_name, element, x, y, z FROM fx_atom"""
+
+
 def _json_rows(rows: str, part: int) -> str:
     return f"""
         SELECT network, {part} AS part, key,
@@ -271,6 +277,15 @@ def oracle_sql() -> dict[str, str]:
         "cif_records": _sql("fx_atom", """
             SELECT file_ord AS source, element, atom_name || '''' AS atom_name, residue_name, chain_id, residue_number,
                    x, y, z FROM fx_atom"""),
+        "pdb_scan": _SCAN.format(atom="atom_name"),
+        "cif_scan": _SCAN.format(atom="atom_name || ''''"),
+        "content_ids": """
+            SELECT '9' || substr(CAST(year(l_shipdate) AS VARCHAR), 2, 3) AS content_id, count(*) AS n_atoms,
+                   count(DISTINCT l_linenumber) AS n_models, kind
+            FROM lineitem, (VALUES ('pdb'), ('cif')) k(kind) GROUP BY ALL""",
+        "rejected_files": """
+            SELECT '/nowhere/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.cif' ELSE '.html' END AS file_path,
+                   CASE WHEN page_id % 2 = 0 THEN 'missing, unreadable or without atoms' ELSE 'suffix' END AS reason FROM pages""",
         "xref_last_wins": _sql("xref", "SELECT map_key, uniprot_id FROM xref"),
         "protein_name_last_wins": _sql("names", "SELECT uniprot_id, protein_name FROM names"),
         "seqres_last_wins": _sql("seqres", "SELECT map_key, info FROM seqres"),
@@ -301,6 +316,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM lineitem) WHERE rn = 1""",
         "clean_header": _sql("cleaned", "SELECT map_key, molecule_name, molecule_type FROM cleaned"),
         "annotate_chains": _sql("annotated", f"SELECT {_ANNOTATION} FROM annotated"),
+        "annotate_wanted": _sql("annotated", f"SELECT {_ANNOTATION} FROM annotated"),
         "annotation_preview": _sql("annotated", """
             SELECT pdb_id, chain_id, molecule_name, molecule_type, uniprot_id FROM annotated
             WHERE file_ord = (SELECT min(file_ord) FROM annotated)"""),
@@ -336,14 +352,30 @@ def oracle_sql() -> dict[str, str]:
         **{name: _sql("inter", """
             SELECT '/structures/' || lower(pdb_id) || '.pdb' AS file_path, chain_a, chain_b, all_atoms_count,
                    interaction_type FROM inter""") for name in ("chain_interactions", "chain_interactions_compat")},
+        "compat_repeats": _sql("chain heavy", """
+            SELECT p.file_ord, id || ':' || p.a AS chain_a, id || ':' || p.b AS chain_b, n.n AS all_atoms_count,
+                   CASE WHEN amino_a AND amino_b THEN 'Protein-Protein' WHEN amino_a OR amino_b THEN 'Protein-Nucleic Acid'
+                        ELSE 'Nucleic Acid-Nucleic Acid' END AS interaction_type
+            FROM (SELECT x.file_ord, x.id, x.chain_id AS a, y.chain_id AS b, x.all_amino AS amino_a, y.all_amino AS amino_b
+                  FROM named x JOIN named y ON x.file_ord = y.file_ord AND x.chain_pos < y.chain_pos) p
+            JOIN counts n USING (id, a, b)
+            WHERE NOT amino_a OR NOT amino_b OR n.ca >= 2""",
+            named="SELECT *, 'R' || CAST(file_ord // 10 AS VARCHAR) AS id FROM chain",
+            firsts="SELECT id, chain_id, min(file_ord) AS file_ord FROM named GROUP BY ALL",
+            own="SELECT f.id, h.chain_id, h.atom_name, h.x, h.y, h.z FROM firsts f JOIN heavy h ON h.file_ord = f.file_ord AND h.chain_id = f.chain_id",
+            counts="""
+                SELECT id, s.chain_id AS a, t.chain_id AS b, count(*) FILTER (d <= 25) AS n,
+                       count(*) FILTER (s.atom_name = 'CA' AND t.atom_name = 'CA') AS ca
+                FROM (SELECT s, t, s.id AS id, (s.x-t.x)*(s.x-t.x) + (s.y-t.y)*(s.y-t.y) + (s.z-t.z)*(s.z-t.z) AS d
+                      FROM own s JOIN own t ON s.id = t.id AND s.chain_id < t.chain_id) WHERE d <= 225 GROUP BY ALL HAVING count(*) FILTER (d <= 25) > 0"""),
         "prefix_join": _sql("inter fx_struct", """
             SELECT s.pdb_id AS structure_id, chain_a, chain_b, all_atoms_count
             FROM fx_struct s JOIN inter i ON starts_with(i.chain_a, s.pdb_id)"""),
-        "atom_contacts": _sql("inter near5", """
+        **dict.fromkeys(("atom_contacts", "selected_contacts"), _sql("inter near5", """
             SELECT i.pdb_id AS "PDB_ID", i.id_a AS "Chain_A", n.residue_a AS "Residue_A", n.atom_a AS "Atom_A",
                    i.id_b AS "Chain_B", n.residue_b AS "Residue_B", n.atom_b AS "Atom_B", round(n.d, 2) AS "Distance",
                    i.uniprot_a AS "UniProt_A", i.uniprot_b AS "UniProt_B", i.interaction_type AS "Interaction_Type"
-            FROM inter i JOIN near5 n USING (file_ord, chain_pos_a, chain_pos_b)"""),
+            FROM inter i JOIN near5 n USING (file_ord, chain_pos_a, chain_pos_b)""")),
         "chain_edges": _sql("cedges", _EDGES + "cedges"),
         "chain_nodes": _sql("cnodes", _NODES + "cnodes"),
         "combined_chain_network": _sql("inter", """
@@ -361,14 +393,30 @@ def oracle_sql() -> dict[str, str]:
         "structures_per_protein": _sql("final", """
             SELECT DISTINCT uniprot_id, pdb_id FROM final WHERE uniprot_id IS NOT NULL"""),
         "protein_edges": _sql("pedges", _EDGES + "pedges"),
+        "crowded_protein_edges": _sql("", """
+            SELECT 'Protein_Network_S' || g AS network, ua AS source, ub AS target, n AS all_atoms_count, 'interacts_with' AS interaction
+            FROM (SELECT c.*, a.u AS ua, b.u AS ub, row_number() OVER (PARTITION BY c.g, least(a.u, b.u), greatest(a.u, b.u) ORDER BY c.ca, c.cb) AS rn
+                  FROM counts c JOIN chains a ON a.g = c.g AND a.c = c.ca JOIN chains b ON b.g = c.g AND b.c = c.cb
+                  WHERE a.u <> b.u AND (NOT a.amino OR NOT b.amino OR c.near_ca >= 10)) WHERE rn = 1""",
+            points="""
+                SELECT l_suppkey AS g, l_linenumber AS c, l_returnflag = 'A' AS is_ca, round(l_quantity) AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z,
+                       l_linenumber <= 4 OR (l_linenumber = 5 AND l_suppkey % 2 = 0) AS amino, l_linenumber <> 5 OR l_suppkey % 2 = 0 AS polymer
+                FROM lineitem WHERE l_suppkey % 10 <> 0""",
+            chains="""
+                SELECT g, c, bool_and(amino) AS amino, CASE WHEN c <= 6 THEN 'P' || lpad(CAST((g + 3 * c) % 20 AS VARCHAR), 5, '0') END AS u
+                FROM points GROUP BY g, c HAVING bool_or(polymer)""",
+            counts="""
+                SELECT g, ca, cb, count(*) FILTER (d <= 25) AS n, count(*) FILTER (both_ca) AS near_ca
+                FROM (SELECT a.g, a.c AS ca, b.c AS cb, a.is_ca AND b.is_ca AS both_ca, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d
+                      FROM points a JOIN points b ON a.g = b.g AND a.c < b.c) WHERE d <= 225 GROUP BY ALL HAVING count(*) FILTER (d <= 25) > 0"""),
         "protein_edges_sum": _sql("pp", """
             SELECT 'Protein_Network_' || pdb_id AS network, uniprot_a AS source, uniprot_b AS target,
                    CAST(total AS BIGINT) AS all_atoms_count, 'interacts_with' AS interaction FROM pp"""),
-        "protein_nodes": _sql("pnodes", _NODES + "pnodes"),
+        "protein_nodes": _sql("pnodes", _PROTEIN_NODES + "pnodes"),
         "combined_protein_network": _sql("pcedges", _EDGES + "pcedges"),
         "combined_protein_network_parallel": _sql("pedges", """
             SELECT 'Combined_Protein_Network' AS network, source, target, all_atoms_count, interaction FROM pedges"""),
-        "combined_protein_nodes": _sql("pcnodes", _NODES + "pcnodes"),
+        "combined_protein_nodes": _sql("pcnodes", _PROTEIN_NODES + "pcnodes"),
         "color_assignment": _sql("groups", _COLORED),
         "structure_colors": _sql("fx_struct", _COLORED, groups="""
             SELECT 'Combined_Protein_Network' AS network, pdb_id AS color_group FROM fx_struct"""),
@@ -381,7 +429,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT network, 0 AS part, '' AS key,
                    '{{"data":{{"name":"' || network || '"}},"elements":{{"nodes":[' AS line FROM cedges
             UNION ALL {_json_rows('''SELECT network, id AS key, '{"data":{"id":"' || id || '","name":"' || name
-                || '","tooltip":"' || tooltip || '","color_group":"' || color_group || '"}}' AS line FROM cnodes''', 1)}
+                || '","tooltip":"' || tooltip || '","color_group":"' || color_group || '","molecule_name":"' || molecule_name || '"}}' AS line FROM cnodes''', 1)}
             UNION ALL SELECT DISTINCT network, 2, '', '],"edges":[' FROM cedges
             UNION ALL {_json_rows('''SELECT network, source || ' ' || target || ' ' || all_atoms_count || ' 1' AS key,
                 '{"data":{"source":"' || source || '","target":"' || target || '","interaction":"interacts_with",'

@@ -9,6 +9,16 @@ from structnet.functions import constants as K
 from structnet.functions import rules
 
 
+def wanted(rows: DataFrame, chains: DataFrame) -> DataFrame:
+    """Lookup rows (``map_key, ...``) whose key some chain has, for lookups far larger than the chains.
+
+    Taken before last-wins, so nothing else of the lookup is aggregated. Where the keys are few they are broadcast, and the lookup is filtered
+    as it is read; otherwise both sides are spread by key, which last-wins then finds done.
+    """
+    keys = chains.select(rules.lookup_key(F.col("pdb_id"), F.col("chain_id")).alias("map_key")).distinct()
+    return rows.join(keys, "map_key", "left_semi")
+
+
 def annotate(chains: DataFrame, xref: DataFrame, names: DataFrame, seqres: DataFrame) -> DataFrame:
     """Add ``molecule_name, molecule_type, uniprot_id``.
 

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from structnet.functions import constants as K
 from structnet.functions import rules
 from structnet.operators.chains import chain_atoms, first_occurrence
-from structnet.operators.spatial import XYZ, merge_points, radius_pair_count, radius_pairs
-from structnet.operators.staging import stage
+from structnet.operators.spatial import XYZ, merge_points, radius_counts, radius_pair_count, radius_pairs
 
 INTERACTION_COLUMNS = ["file_ord", "file_path", "pdb_id", "chain_pos_a", "chain_pos_b", "chain_a", "chain_b",
                        "all_atoms_count", "interaction_type"]
@@ -67,34 +66,70 @@ def all_atom_counts(points: DataFrame, radius: float = K.ALL_ATOMS_RADIUS) -> Da
 
 def chain_interactions(atoms: DataFrame, chains: DataFrame, ca_radius: float = K.CA_RADIUS,
                        all_atoms_radius: float = K.ALL_ATOMS_RADIUS,
-                       min_ca_pairs: int = K.MIN_CA_PAIRS) -> DataFrame:
+                       min_ca_pairs: int = K.MIN_CA_PAIRS, crowded: int | None = None) -> DataFrame:
     """Touching chains per structure with their atom contact count.
 
     A pair with a nucleic acid needs one atom contact. Any other pair needs
     ``min_ca_pairs`` close C-alpha pairs as well. ``chains`` holds one model
-    per file.
+    per file. ``crowded`` as in ``spatial.radius_counts``.
     """
-    known = chains.filter(F.coalesce("molecule_type", F.lit(K.UNKNOWN)) != K.UNKNOWN)
-    # Both radii use each point on two sides of a join: read and shuffle the atoms once, not four times.
-    points = stage(contact_points(chain_atoms(atoms, known, "molecule_type")))
+    known = _known(chains)
+    points = contact_points(chain_atoms(atoms, known, "molecule_type"))
+    counted = radius_counts(points, ["file_ord"], "chain_pos", {
+        "all_atoms_count": (all_atoms_radius, F.col("atoms")),
+        "ca_count": (ca_radius, F.when(~F.col("nucleic"), F.col("ca_atoms")))}, crowded=crowded).filter("all_atoms_count > 0")
+    return (_with_ends(counted, known)
+            .filter((F.col("name_a") != F.col("name_b")) & (_nucleic() | (F.col("ca_count") >= min_ca_pairs)))
+            .withColumn("interaction_type", rules.interaction_type(F.col("type_a"), F.col("type_b")))
+            .select(*INTERACTION_COLUMNS))
+
+
+def _known(chains: DataFrame) -> DataFrame:
+    return chains.filter(F.coalesce("molecule_type", F.lit(K.UNKNOWN)) != K.UNKNOWN)
 
-    pair = ["file_ord", "chain_pos_a", "chain_pos_b"]
-    gate = (ca_contact_counts(points, ca_radius).filter(F.col("ca_count") >= min_ca_pairs)
-            .select(*pair, F.lit(True).alias("close")))
-    counted = all_atom_counts(points, all_atoms_radius).join(gate, pair, "left")
 
+def _nucleic() -> Column:
+    return (F.col("type_a") == K.NUCLEIC) | (F.col("type_b") == K.NUCLEIC)
+
+
+def _with_ends(pairs: DataFrame, chains: DataFrame) -> DataFrame:
+    """Names, types and accessions of both chains of each pair; the structure's own columns once."""
     def ends(tag: str, *more: str) -> DataFrame:
         named = {"chain_pos": f"chain_pos_{tag}", "chain_id": f"name_{tag}", "unique_chain_id": f"chain_{tag}",
-                 "molecule_type": f"type_{tag}"}
-        return known.select("file_ord", *more, *[F.col(c).alias(n) for c, n in named.items()])
-
-    kind = rules.interaction_type(F.col("type_a"), F.col("type_b"))
-    nucleic = (F.col("type_a") == K.NUCLEIC) | (F.col("type_b") == K.NUCLEIC)
-    return (counted.join(ends("a", "file_path", "pdb_id"), ["file_ord", "chain_pos_a"])
-            .join(ends("b"), ["file_ord", "chain_pos_b"])
-            .filter((F.col("name_a") != F.col("name_b")) & (nucleic | F.col("close")))
-            .withColumn("interaction_type", kind)
-            .select(*INTERACTION_COLUMNS))
+                 "molecule_type": f"type_{tag}", "uniprot_id": f"accession_{tag}"}
+        return chains.select("file_ord", *more, *[F.col(c).alias(n) for c, n in named.items() if c in chains.columns])
+
+    return pairs.join(ends("a", "file_path", "pdb_id"), ["file_ord", "chain_pos_a"]).join(ends("b"), ["file_ord", "chain_pos_b"])
+
+
+def structure_contacts(atoms: DataFrame, chains: DataFrame, ca_radius: float = K.CA_RADIUS, radius: float = K.EXPORT_RADIUS,
+                       min_ca_pairs: int = K.MIN_CA_PAIRS, all_atoms_radius: float = K.ALL_ATOMS_RADIUS) -> DataFrame:
+    """Every close atom pair of the touching chains of each structure, one row each, as :func:`atom_contacts` lists them.
+
+    For structures whose chain names are their own, which all are unless models or files are merged (compat). No contact is counted
+    first: the gate is a join of C-alpha atoms alone, chains that pass it with none and meet no nucleic acid leave before
+    the atoms are compared, and pairs leave before they get their names.
+    """
+    known = _known(chains)
+    pair = ["file_ord", "chain_pos_a", "chain_pos_b"]
+    located = chain_atoms(atoms, known, "molecule_type")
+    gate = (ca_contact_counts(contact_points(located), ca_radius).filter(F.col("ca_count") >= min_ca_pairs).select(*pair, F.lit(True).alias("close")))
+    passed = gate.select("file_ord", F.explode(F.array("chain_pos_a", "chain_pos_b")).alias("chain_pos"), F.lit(True).alias("passed")).distinct()
+    with_nucleic = known.filter(F.col("molecule_type") == K.NUCLEIC).select("file_ord", F.lit(True).alias("has_nucleic")).distinct()
+    taken = (known.join(passed, ["file_ord", "chain_pos"], "left").join(with_nucleic, "file_ord", "left")
+             .filter(F.col("passed") | F.col("has_nucleic")))
+    label = rules.residue_label(F.col("residue_number"), F.col("residue_name"))
+    points = (chain_atoms(atoms, taken, "molecule_type").withColumn("residue", label)
+              .select("file_ord", "chain_pos", (F.col("molecule_type") == K.NUCLEIC).alias("nucleic"), "residue", "atom_name", *XYZ))
+    near = radius_pairs(points.dropna(subset=list(XYZ)), radius, ["file_ord"], "chain_pos", ["nucleic", "residue", "atom_name"])
+    met = near.join(gate, pair, "left").filter(F.col("nucleic_a") | F.col("nucleic_b") | F.col("close"))
+    if all_atoms_radius < radius:  # a pair that only meets beyond the radius of interactions is none
+        met = met.join(near.filter(F.col("d2") <= all_atoms_radius ** 2).select(*pair).distinct(), pair, "left_semi")
+    return (_with_ends(met, known).filter(F.col("name_a") != F.col("name_b"))
+            .select(F.col("pdb_id").alias("PDB_ID"), F.col("name_a").alias("Chain_A"), F.col("residue_a").alias("Residue_A"), F.col("atom_name_a").alias("Atom_A"),
+                    F.col("name_b").alias("Chain_B"), F.col("residue_b").alias("Residue_B"), F.col("atom_name_b").alias("Atom_B"),
+                    rules.round2(F.sqrt("d2")).alias("Distance"), F.col("accession_a").alias("UniProt_A"), F.col("accession_b").alias("UniProt_B"),
+                    rules.interaction_type(F.col("type_a"), F.col("type_b")).alias("Interaction_Type")))
 
 
 def chain_interactions_compat(atoms: DataFrame, chains: DataFrame, ca_radius: float = K.CA_RADIUS,
@@ -108,15 +143,10 @@ def chain_interactions_compat(atoms: DataFrame, chains: DataFrame, ca_radius: fl
     join of the touching names with the chain occurrences.
     """
     first = chains.join(first_occurrence(chains), ["unique_chain_id", "file_ord", "chain_pos"], "left_semi")
-    points = stage(contact_points(chain_atoms(atoms, first, "unique_chain_id", "pdb_id"),
-                                  ["pdb_id", "unique_chain_id"]))
-    near = radius_pair_count(points, all_atoms_radius, ["pdb_id"], "unique_chain_id",
-                             name="all_atoms_count", weight="atoms")
-    ca = radius_pair_count(points.filter("ca_atoms > 0"), ca_radius, ["pdb_id"], "unique_chain_id",
-                           name="ca_count", weight="ca_atoms")
-    pair = ["pdb_id", "unique_chain_id_a", "unique_chain_id_b"]
-    counted = near.join(ca, pair, "left").withColumnsRenamed(
-        {"unique_chain_id_a": "name_1", "unique_chain_id_b": "name_2"})
+    points = contact_points(chain_atoms(atoms, first, "unique_chain_id", "pdb_id"), ["pdb_id", "unique_chain_id"])
+    levels = {"all_atoms_count": (all_atoms_radius, F.col("atoms")), "ca_count": (ca_radius, F.col("ca_atoms"))}
+    counted = (radius_counts(points, ["pdb_id"], "unique_chain_id", levels).filter("all_atoms_count > 0")
+               .withColumnsRenamed({"unique_chain_id_a": "name_1", "unique_chain_id_b": "name_2"}))
 
     def occurrence(tag: str) -> DataFrame:
         return chains.select("file_ord", "file_path", F.col("unique_chain_id").alias(f"name_{tag}"),
@@ -185,9 +215,7 @@ def atom_contacts(atoms: DataFrame, chains: DataFrame, selected: DataFrame,
     shown = (chains.drop("uniprot_id").join(per_name, ["file_ord", "chain_id", "chain_pos"]))
     label = rules.residue_label(F.col("residue_number"), F.col("residue_name"))
     carry = ["residue", "atom_name", "uniprot_id", *(["atom_pos"] if with_order else [])]
-    # Both sides of the join read this table; even files give its tasks even work, a large structure has several.
-    located = stage(chain_atoms(atoms, shown, "uniprot_id").withColumn("residue", label)
-                    .select("file_ord", "chain_id", *carry, *XYZ).hint("rebalance", "file_ord"))
+    located = chain_atoms(atoms, shown, "uniprot_id").withColumn("residue", label).select("file_ord", "chain_id", *carry, *XYZ)
     near = radius_pairs(located, radius, ["file_ord"], "chain_id", carry)
 
     keyed = (part.withColumn("low", F.least("chain_id_a", "chain_id_b"))

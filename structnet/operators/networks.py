@@ -14,7 +14,8 @@ from structnet.functions import rules
 from structnet.operators.dedup import first_wins, last_wins
 
 EDGE_COLUMNS = ["network", "source", "target", "all_atoms_count", "interaction"]
-NODE_COLUMNS = ["network", "id", "name", "tooltip", "color_group"]
+NODE_COLUMNS = ["network", "id", "name", "tooltip", "color_group", "molecule_name"]
+PROTEIN_NODE_COLUMNS = [*NODE_COLUMNS, "label"]
 
 
 # --- chains ---------------------------------------------------------------
@@ -39,7 +40,7 @@ def _chain_nodes(chains: DataFrame, network: Column) -> DataFrame:
     tooltip = F.coalesce("molecule_name", F.lit(K.UNKNOWN))
     return chains.select(network.alias("network"), F.col("unique_chain_id").alias("id"),
                          F.col("unique_chain_id").alias("name"), tooltip.alias("tooltip"),
-                         F.coalesce("molecule_type", F.lit(K.UNKNOWN)).alias("color_group"))
+                         F.coalesce("molecule_type", F.lit(K.UNKNOWN)).alias("color_group"), tooltip.alias("molecule_name"))
 
 
 def nonempty(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -149,4 +150,5 @@ def protein_nodes(edges: DataFrame, chains: DataFrame) -> DataFrame:
     return ends.join(summary, "id", "left").select(
         "network", "id", F.col("id").alias("name"),
         F.coalesce("molecule_name", "id").alias("tooltip"),
-        F.coalesce("color_group", F.lit(K.MULTI)).alias("color_group"))
+        F.coalesce("color_group", F.lit(K.MULTI)).alias("color_group"),
+        F.coalesce("molecule_name", "id").alias("molecule_name"), F.col("id").alias("label"))

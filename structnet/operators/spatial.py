@@ -80,6 +80,68 @@ def radius_pair_count(points: DataFrame, radius: float, group: Sequence[str], me
     return pairs.groupBy(*keys).agg(F.sum(F.col(f"{weight}_a") * F.col(f"{weight}_b")).alias(name))
 
 
+#: Cells are halved at most so often along each side, which takes them from four radii to one.
+_DEEPEST = 2
+
+
+def radius_counts(points: DataFrame, group: Sequence[str], member: str, levels: dict[str, tuple[float, Column]],
+                  coords: Sequence[str] = XYZ, cell_factor: float = 4.0, crowded: int | None = None) -> DataFrame:
+    """Close point pairs per (group, member_a, member_b), counted for several radii by one cell join.
+
+    ``levels`` maps a result column to a radius and the weight that a point has there; points with a weight of NULL or 0
+    take no part. Every level has cells of its own size, which are part of the key, so all levels share one exchange for
+    each side and one aggregate. Pairs that are close at no level are absent; a level's count is 0 where it has none.
+
+    With ``crowded``, cells of more points are cut in 8 or 64 parts by a count of all cells, so that the comparisons per point and the
+    largest part follow the density: sparse regions keep few copies, packed ones compare few points. The cut changes no result.
+    """
+    cells = [f"_cell_{c}" for c in coords]
+    parts = [F.struct(F.lit(i).alias("level"), weight.cast("long").alias("weight"), F.lit(radius * cell_factor).alias("edge"), F.lit(radius * (1 + _SLACK)).alias("reach"))
+             for i, (radius, weight) in enumerate(levels.values())]
+    rows = (points.dropna(subset=list(coords)).select(*group, member, *coords, F.explode(F.array(*parts)).alias("_l"))
+            .select(*group, member, *coords, "_l.*").where("weight > 0"))
+
+    def side(tag: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{tag}") for c in (member, *coords, "weight")]
+
+    home = rows.select(*group, "level", *side("b"), *[F.floor(F.col(c) / F.col("edge")).alias(g) for c, g in zip(coords, cells)])
+    spread = rows.select(*group, "level", "edge", "reach", *side("a"))
+    for c, g in zip(coords, cells):
+        at = F.col(f"{c}_a")
+        spread = spread.withColumn(g, F.explode(F.sequence(F.floor((at - F.col("reach")) / F.col("edge")), F.floor((at + F.col("reach")) / F.col("edge")))))
+    keys = [*group, "level", *cells]
+    if crowded is not None:
+        home, spread, parts = _cut(home, spread, keys, coords, cells, levels, cell_factor, crowded)
+        keys += parts
+    d2 = reduce(lambda s, t: s + t, [(F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in coords])
+    square = F.element_at(F.array(*[F.lit(radius * radius) for radius, _ in levels.values()]), F.col("level") + 1)
+    met = (spread.drop("edge", "reach").join(home, keys)
+           .filter((F.col(f"{member}_a") < F.col(f"{member}_b")) & (d2 <= square)))
+    product = F.col("weight_a") * F.col("weight_b")
+    return met.groupBy(*group, f"{member}_a", f"{member}_b").agg(
+        *[F.sum(F.when(F.col("level") == i, product).otherwise(0)).alias(name) for i, name in enumerate(levels)])
+
+
+def _cut(home: DataFrame, spread: DataFrame, keys: list[str], coords: Sequence[str], cells: list[str],
+         levels: dict[str, tuple[float, Column]], cell_factor: float, crowded: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the part of the cell that a point is in, or that its search cube touches."""
+    depth = F.least(F.ceil(F.log(F.col("count") / crowded) / F.log(F.lit(8.0))), F.lit(_DEEPEST)).cast("int")
+    packed = home.groupBy(*keys).count().where(F.col("count") > crowded).select(*keys, F.pow(F.lit(2.0), depth).alias("_cuts"))
+    cuts = F.coalesce("_cuts", F.lit(1.0))
+    edge = F.element_at(F.array(*[F.lit(radius * cell_factor) for radius, _ in levels.values()]), F.col("level") + 1)
+    parts = [f"_part_{c}" for c in coords]
+
+    def part(at: Column, cell: str) -> Column:  # grows with the place, so what is close never falls outside the cube's parts
+        return F.least(F.greatest(F.floor((at - F.col(cell) * edge) * cuts / edge), F.lit(0)), cuts - 1).cast("int")
+
+    home = home.join(packed, keys, "left").withColumns({p: part(F.col(f"{c}_b"), g) for p, c, g in zip(parts, coords, cells)}).drop("_cuts")
+    spread = spread.join(packed, keys, "left")
+    for p, c, g in zip(parts, coords, cells):
+        at = F.col(f"{c}_a")
+        spread = spread.withColumn(p, F.explode(F.sequence(part(at - F.col("reach"), g), part(at + F.col("reach"), g))))
+    return home, spread.drop("_cuts"), parts
+
+
 def merge_points(points: DataFrame, keys: Sequence[str], coords: Sequence[str] = XYZ, **weights: Column) -> DataFrame:
     """One row per distinct ``keys``, each weight counting the rows on which its condition holds.
 

@@ -30,6 +30,7 @@ class Options:
     search_expect: float = 1e-5
     search_targets: int = 8
     first_model_only: bool = False
+    folder_per_structure: bool = False
     compat: bool = False
 
     @classmethod

@@ -73,8 +73,9 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
 
     names = lookups.read_fasta(spark, o.protein_names)
     proteins = lookups.protein_names(names)
-    annotated = stage(an.annotate(chains, lookups.read_xref(spark, o.cross_reference), proteins,
-                                  lookups.sequence_headers(records)))
+    keep = lambda rows: an.wanted(rows, chains)
+    annotated = stage(an.annotate(chains, lookups.read_xref(spark, o.cross_reference, keep), proteins,
+                                  lookups.sequence_headers(records, keep)))
     if hits is None and o.search:
         hits = search_hits(atoms, annotated, proteins, o.search_kmer, o.search_expect, o.search_targets)
     if hits is None:
@@ -88,8 +89,12 @@ def run(spark: SparkSession, options: Options, hits: DataFrame | None = None) ->
 
     if o.detailed_contacts:
         placed = chains.select("file_ord", "pdb_id").distinct()
-        choose = contacts.interactions_by_prefix if o.compat else contacts.interactions_by_id
-        products["contacts"] = contacts.atom_contacts(atoms, chains, choose(placed, interactions), o.export_radius)
+        if o.compat:
+            selected = contacts.interactions_by_prefix(placed, interactions)
+            products["contacts"] = contacts.atom_contacts(atoms, chains, selected, o.export_radius)
+        else:
+            products["contacts"] = contacts.structure_contacts(atoms, chains, o.ca_radius, o.export_radius, o.min_ca_pairs, o.all_atoms_radius)
+        products["contact_counts"] = sinks.contact_counts(placed, products["contacts"])
     if o.chain_per_structure:
         edges = networks.chain_edges(interactions)
         products["chain_edges"], products["chain_nodes"] = edges, networks.chain_nodes(chains, edges)
@@ -113,14 +118,14 @@ def write(products: dict[str, DataFrame], options: Options, run_id: str | None =
     """Write the products under ``<output>/<run_id>`` and return that path."""
     path = f"{options.output.rstrip('/')}/{run_id or sinks.new_run_id()}"
     if "contacts" in products:
-        sinks.write_contacts(products["contacts"], path)
+        sinks.write_contacts(products["contacts"], path, options.folder_per_structure)
     for name in ("chain", "combined_chain", "protein", "combined_protein"):
         if f"{name}_edges" in products:
             nodes, edges = products[f"{name}_nodes"], products[f"{name}_edges"]
             sinks.write_network(nodes, edges, path, f"{name}_network")
             if graph_json:
                 sinks.write_graph_json(nodes, edges, path, f"{name}_network")
-    for name in ("rejected", "skipped_atoms", "malformed_names"):
+    for name in sorted({"rejected", "skipped_atoms", "malformed_names", "contact_counts"} & set(products)):
         flat = products[name].select(*(F.to_json(c).alias(c) if isinstance(f.dataType, StructType) else F.col(c) for c, f in zip(products[name].columns, products[name].schema, strict=True)))
-        flat.write.option("header", True).csv(f"{path}/{name}")
+        flat.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
     return path

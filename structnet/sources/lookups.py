@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,17 @@ def row_order() -> Column:
     return F.struct(scanned_path().alias("path"), file_order().alias("row"))
 
 
-def read_xref(spark: SparkSession, path: str) -> DataFrame:
-    """``map_key, uniprot_id`` of a tab-separated file; short rows are skipped, the last row of a key wins."""
+def read_xref(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``map_key, uniprot_id`` of a tab-separated file; short rows are skipped, the last row of a key wins.
+
+    ``keep`` may leave out keys that nobody asks for, before the last row of each is looked for.
+    """
     fields = F.split("value", "\t")
     rows = (spark.read.text(path).select(row_order().alias("at"), fields.alias("f"))
             .filter(F.size("f") >= 3)
             .select("at", rules.lookup_key(F.trim(F.col("f")[0]), F.trim(F.col("f")[1])).alias("map_key"),
                     F.trim(F.regexp_replace(F.col("f")[2], "\r", "")).alias("uniprot_id")))
-    return last_wins(rows, ["map_key"], ["at"], ["uniprot_id"])
+    return last_wins(keep(rows), ["map_key"], ["at"], ["uniprot_id"])
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -63,8 +68,8 @@ def protein_names(records: DataFrame, strict: bool = False) -> DataFrame:
     return last_wins(rows, ["uniprot_id"], ["at"], ["protein_name", "sequence"])
 
 
-def sequence_headers(records: DataFrame) -> DataFrame:
-    """``map_key, info, sequence`` of records ``>id_chain info``; last wins.
+def sequence_headers(records: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``map_key, info, sequence`` of records ``>id_chain info``; last wins, ``keep`` as in :func:`read_xref`.
 
     Only ids with exactly one underscore make a key; other records are left out.
     """
@@ -73,4 +78,4 @@ def sequence_headers(records: DataFrame) -> DataFrame:
     rows = (records.withColumn("p", parts).filter(F.size("p") == 2)
             .select("at", rules.lookup_key(F.col("p")[0], F.col("p")[1]).alias("map_key"),
                     info.alias("info"), "sequence"))
-    return last_wins(rows, ["map_key"], ["at"], ["info", "sequence"])
+    return last_wins(keep(rows), ["map_key"], ["at"], ["info", "sequence"])

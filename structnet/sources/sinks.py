@@ -1,8 +1,8 @@
 """What a run leaves behind.
 
-Every run writes under ``<output>/<run_id>``: contacts as CSV folders per
-structure, networks as Parquet tables partitioned by network, and on demand
-each network as graph JSON.
+Every run writes under ``<output>/<run_id>``: contacts as CSV, networks as Parquet tables sorted by network, and on
+demand each network as graph JSON. How many files there are follows from the amount of data, not from the number of
+structures or networks, and a run that is repeated under the same id replaces what it had written.
 """
 
 from __future__ import annotations
@@ -17,21 +17,30 @@ def new_run_id() -> str:
     return datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
 
 
-def write_contacts(contacts: DataFrame, run_path: str) -> None:
-    """One CSV folder per structure; a missing accession is an empty cell."""
-    (_gathered(contacts.withColumn("structure", F.col("PDB_ID")), "structure")
-     .write.partitionBy("structure").option("header", True).option("emptyValue", "").csv(
-        f"{run_path}/detailed_interactions"))
+def contact_counts(structures: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``PDB_ID, n_contacts`` of every structure, 0 for one without contacts."""
+    counted = contacts.groupBy("PDB_ID").agg(F.count("*").alias("n_contacts"))
+    listed = structures.select(F.col("pdb_id").alias("PDB_ID")).distinct()
+    return listed.join(counted, "PDB_ID", "left").select("PDB_ID", F.coalesce("n_contacts", F.lit(0).cast("long")).alias("n_contacts"))
+
+
+def write_contacts(contacts: DataFrame, run_path: str, per_structure: bool = False) -> None:
+    """CSV sorted by structure, or one folder for each; a missing accession is an empty cell."""
+    rows = _sorted(contacts, "PDB_ID")
+    if per_structure:
+        rows = contacts.withColumn("structure", F.col("PDB_ID")).hint("rebalance", "structure")
+    writer = rows.write.mode("overwrite").option("header", True).option("emptyValue", "")
+    (writer.partitionBy("structure") if per_structure else writer).csv(f"{run_path}/detailed_interactions")
 
 
 def write_network(nodes: DataFrame, edges: DataFrame, run_path: str, name: str) -> None:
-    _gathered(nodes, "network").write.partitionBy("network").parquet(f"{run_path}/{name}/nodes")
-    _gathered(edges, "network").write.partitionBy("network").parquet(f"{run_path}/{name}/edges")
+    """Rows of a network lie together, and the files' statistics tell which hold it."""
+    _sorted(nodes, "network", "id").write.mode("overwrite").parquet(f"{run_path}/{name}/nodes")
+    _sorted(edges, "network", "source", "target").write.mode("overwrite").parquet(f"{run_path}/{name}/edges")
 
 
-def _gathered(rows: DataFrame, column: str) -> DataFrame:
-    """Rows of a folder in few tasks, so that it gets few files; a large folder is split over several."""
-    return rows.hint("rebalance", column)
+def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     head = F.concat(F.lit('{"data":'), F.to_json(F.struct(F.col("network").alias("name"))),
                     F.lit(',"elements":{"nodes":['))
-    node_data = F.struct("id", "name", "tooltip", "color_group")
+    node_data = F.struct("id", "name", "tooltip", "color_group", *(c for c in ("molecule_name", "label") if c in nodes.columns))
     node_rows = (nodes.groupBy("network", "id").agg(F.min(node_data).alias("data"))
                  .select("network", F.lit(1).alias("part"), F.col("id").alias("key"),
                          F.to_json(F.struct("data")).alias("line")))
@@ -70,8 +79,23 @@ def _with_commas(rows: DataFrame) -> DataFrame:
             .select("network", "part", "key", F.concat(F.coalesce("lead", F.lit(",")), "line").alias("line")))
 
 
-def write_graph_json(nodes: DataFrame, edges: DataFrame, run_path: str, name: str) -> None:
-    """Text folders per network; its part files in name order are one document."""
+#: Lines of a network up to which its document is put together in one row.
+WHOLE_LINES = 50_000
+
+
+def write_graph_json(nodes: DataFrame, edges: DataFrame, run_path: str, name: str, whole_lines: int = WHOLE_LINES) -> None:
+    """Under ``documents`` one line of text per network, which is its whole document; under ``large`` a folder for each network of
+    more than ``whole_lines`` lines, whose part files in name order are one document.
+
+    So small networks share files, and no large one is gathered into a row.
+    """
     keys = ["network", "part", "key"]
-    (graph_lines(nodes, edges).repartitionByRange(*keys).sortWithinPartitions(*keys)
-     .select("network", "line").write.partitionBy("network").text(f"{run_path}/{name}/graph_json"))
+    sizes = nodes.groupBy("network").count().union(edges.groupBy("network").count()).groupBy("network").agg(F.sum("count").alias("n"))
+    large = sizes.where(F.col("n") > whole_lines).select("network")
+    lines = graph_lines(nodes, edges)
+    pieces = F.sort_array(F.collect_list(F.struct("part", "key", "line")))
+    small = (lines.join(large, "network", "left_anti").groupBy("network")
+             .agg(F.array_join(F.transform(pieces, lambda p: p["line"]), "").alias("document")))
+    _sorted(small, "network").select("document").write.mode("overwrite").text(f"{run_path}/{name}/graph_json/documents")
+    (lines.join(large, "network", "left_semi").repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .select("network", "line").write.mode("overwrite").partitionBy("network").text(f"{run_path}/{name}/graph_json/large"))

@@ -115,8 +115,8 @@ def test_graph_json(spark, tmp_path):
         [("P1", 'P"2', 3), ("P1", 'P"2', 3), ("P2", "P3", 1)],
         "uniprot_a string, uniprot_b string, all_atoms_count long"))
     nodes = networks.protein_nodes(edges, chains(spark))
-    sinks.write_graph_json(nodes, edges, str(tmp_path), "g")
-    folder = tmp_path / "g" / "graph_json" / "network=Combined_Protein_Network"
+    sinks.write_graph_json(nodes, edges, str(tmp_path), "g", whole_lines=2)
+    folder = tmp_path / "g" / "graph_json" / "large" / "network=Combined_Protein_Network"
     text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
     graph = json.loads(text)
     assert graph["data"] == {"name": "Combined_Protein_Network"}

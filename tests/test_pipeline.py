@@ -10,6 +10,7 @@ import pytest
 from samples import write_inputs
 from structnet.plans.options import Options
 from structnet.plans.pipeline import run, write
+from structnet.sources import sinks
 
 
 def parse(path):
@@ -110,18 +111,46 @@ def test_protein_networks(products):
 def test_written_run(products):
     options, p = products
     path = write(p, options, "run-1")
-    assert path.endswith("/out/run-1")
+    assert path.endswith("/out/run-1") and write(p, options, "run-1") == path  # once more replaces all
     import pathlib
     folder = pathlib.Path(path)
-    files = list((folder / "detailed_interactions" / "structure=2XYZ").glob("part-*.csv"))
-    lines = [row for f in files for row in csv.DictReader(f.open())]
-    assert lines and lines[0]["UniProt_A"] == "" and lines[0]["Interaction_Type"] == "Protein-Nucleic Acid"
-    assert list(lines[0]) == ["PDB_ID", "Chain_A", "Residue_A", "Atom_A", "Chain_B", "Residue_B", "Atom_B", "Distance",
-                              "UniProt_A", "UniProt_B", "Interaction_Type"]
-    text = "".join(f.read_text() for f in sorted(
-        (folder / "chain_network" / "graph_json" / "network=Chain_Interaction_Network_1ABC").glob("part-*")))
-    graph = json.loads(text)
-    assert {n["data"]["id"] for n in graph["elements"]["nodes"]} == {"1ABC:A", "1ABC:B"}
+    lines = [row for f in (folder / "detailed_interactions").glob("part-*.csv") for row in csv.DictReader(f.open())]
+    assert len(lines) == p["contacts"].count()
+    own = [r for r in lines if r["PDB_ID"] == "2XYZ"]
+    assert own and own[0]["UniProt_A"] == "" and own[0]["Interaction_Type"] == "Protein-Nucleic Acid"
+    assert list(own[0]) == ["PDB_ID", "Chain_A", "Residue_A", "Atom_A", "Chain_B", "Residue_B", "Atom_B", "Distance",
+                            "UniProt_A", "UniProt_B", "Interaction_Type"]
+    documents = [json.loads(x) for f in (folder / "chain_network" / "graph_json" / "documents").glob("part-*") for x in f.read_text().splitlines()]
+    by_name = {d["data"]["name"]: d["elements"] for d in documents}
+    assert set(by_name) == {r.network for r in p["chain_edges"].select("network").collect()}
+    nodes = {n["data"]["id"]: n["data"] for n in by_name["Chain_Interaction_Network_1ABC"]["nodes"]}
+    assert set(nodes) == {"1ABC:A", "1ABC:B"} and nodes["1ABC:B"]["molecule_name"] == "Unknown Protein"
+    protein = [json.loads(x) for f in (folder / "combined_protein_network" / "graph_json" / "documents").glob("part-*") for x in f.read_text().splitlines()]
+    assert {n["data"]["label"] for d in protein for n in d["elements"]["nodes"]} == {"P00002", "P00003", "P00009"}
+    counts = {r["PDB_ID"]: int(r["n_contacts"]) for f in (folder / "contact_counts").glob("part-*.csv") for r in csv.DictReader(f.open())}
+    assert counts["1ABC"] == sum(r["PDB_ID"] == "1ABC" for r in lines) and set(counts) == {"1ABC", "3DEF", "2XYZ", "TWO_MODELS"}
+
+
+def test_written_networks_by_size(spark, tmp_path):
+    """Small networks share files, a large one is a folder whose files are one document."""
+    edges = [(f"N{i:03}", f"a{j}", f"b{j}", 1, "interacts_with") for i in range(60) for j in range(3 if i else 400)]
+    nodes = sorted({(n, x) for n, a, b, *_ in edges for x in (a, b)})
+    e = spark.createDataFrame(edges, "network string, source string, target string, all_atoms_count long, interaction string")
+    n = spark.createDataFrame([(k, x, x, "t", "g", "m") for k, x in nodes], "network string, id string, name string, tooltip string, color_group string, molecule_name string")
+    sinks.write_graph_json(n, e, str(tmp_path), "net", whole_lines=100)
+    files = list((tmp_path / "net" / "graph_json" / "documents").glob("part-*"))
+    documents = [json.loads(x) for f in files for x in f.read_text().splitlines()]
+    assert len(files) <= 8 and sorted(d["data"]["name"] for d in documents) == [f"N{i:03}" for i in range(1, 60)]
+    large = list((tmp_path / "net" / "graph_json" / "large").iterdir())
+    folder, = (f for f in large if f.is_dir())
+    whole = json.loads("".join(f.read_text() for f in sorted(folder.glob("part-*"))))
+    assert folder.name == "network=N000" and len(whole["elements"]["edges"]) == 400 and len(whole["elements"]["nodes"]) == 800
+
+
+def test_structures_without_contacts_are_counted(spark):
+    structures = spark.createDataFrame([("A",), ("B",), ("B",)], "pdb_id string")
+    contacts = spark.createDataFrame([("A",), ("A",)], "PDB_ID string")
+    assert {tuple(r) for r in sinks.contact_counts(structures, contacts).collect()} == {("A", 2), ("B", 0)}
 
 
 def test_compat_models_and_toggles(spark, setup):

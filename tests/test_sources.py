@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samples import cif_row, loop_rows, pdb_line, write_inputs
+from structnet.operators import annotate
 from structnet.operators import chains as ch
 from structnet.sources import identifiers, lookups, structures
 from structnet.plans.pipeline import read_structures
@@ -254,3 +255,16 @@ def test_one_bad_atom_costs_one_atom(spark, tmp_path):
     assert {r.source.rsplit("/", 1)[1]: r.n_atoms for r in structures.skipped_atoms(atoms).collect()} == {"some.pdb": 1, "none.pdb": 1}
     got = [r.reason for r in structures.rejected_files(manifest, atoms).orderBy("file_ord").collect()]
     assert got == ["unreadable coordinates", "missing, unreadable or without atoms", "suffix", "suffix"]
+
+
+def test_lookups_are_cut_down_before_last_wins(spark, tmp_path):
+    """Only keys that some chain has are aggregated, with the same rows for these as from the whole lookup."""
+    rows = "".join(f"{i % 9999:04}\tA\tP{i:06}\n" for i in range(30_000))
+    (tmp_path / "x.tsv").write_text(rows)
+    chains = spark.createDataFrame([("0007", "A"), ("0007", "A"), ("9998", "a"), ("NOPE", "B"), (None, "A")], "pdb_id string, chain_id string")
+    whole = {r.map_key: r.uniprot_id for r in lookups.read_xref(spark, str(tmp_path / "x.tsv")).collect()}
+    cut = lookups.read_xref(spark, str(tmp_path / "x.tsv"), lambda r: annotate.wanted(r, chains))
+    assert {r.map_key: r.uniprot_id for r in cut.collect()} == {k: whole[k] for k in ("0007_A", "9998_A")}
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Aggregate" in x or "LeftSemi" in x]
+    assert "Aggregate" in lines[0] and "LeftSemi" in lines[1], plan  # the join lies below the aggregate of the lookup

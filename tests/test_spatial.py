@@ -62,6 +62,33 @@ def test_one_group_with_one_dense_cell(spark):
     assert counted(spark, points, 2.0)["g", 0, 1] == brute([p for p in points if p[2] < 5], 2.0)["g", 0, 1]
 
 
+@pytest.mark.parametrize("crowded", [None, 1, 5, 40])
+def test_crowded_cells_are_cut(spark, crowded):
+    """Sparse and packed groups, points on the borders of cells and parts: counts of two radii do not depend on the cut."""
+    rng = np.random.default_rng(11)
+    packed = np.round(rng.normal(0, 4, (300, 3)), 1).tolist()
+    lattice = [[2.5 * i, 2.5 * j, -2.5 * k] for i in range(5) for j in range(5) for k in range(5)]
+    sparse = rng.uniform(-200, 200, (100, 3)).tolist()
+    points = [(g, i % 4, *map(float, p)) for g, some in (("packed", packed), ("lattice", lattice), ("sparse", sparse)) for i, p in enumerate(some)]
+    df = spark.createDataFrame(points, COLUMNS)
+    levels = {"near": (2.5, F.lit(1)), "far": (7.5, F.when(F.col("x") > 0, 1))}
+    got = spatial.radius_counts(df, ["g"], "m", levels, crowded=crowded).collect()
+    near, far = brute(points, 2.5), brute([p for p in points if p[2] > 0], 7.5)
+    assert {(r.g, r.m_a, r.m_b): (r.near, r.far) for r in got} == {k: (near.get(k, 0), far.get(k, 0)) for k in {*near, *far}}
+
+
+def test_cuts_bound_the_largest_part(spark):
+    """A packed cell is spread over parts that hold few points, a sparse one stays whole."""
+    rng = np.random.default_rng(5)
+    points = [("g", i % 3, *map(float, p)) for i, p in enumerate(rng.uniform(0, 19.9, (4000, 3)).tolist())] + [("h", 1, 1.0, 1.0, 1.0), ("h", 2, 2.0, 2.0, 2.0)]
+    df = spark.createDataFrame(points, COLUMNS).select("g", F.lit(0).alias("level"), *(F.col(c).alias(f"{c}_b") for c in "xyz"), *(F.floor(F.col(c) / 20).alias(f"_cell_{c}") for c in "xyz"), F.lit(5.0).alias("reach"))
+    spread = df.withColumnsRenamed({f"{c}_b": f"{c}_a" for c in "xyz"})
+    keys = ["g", "level", "_cell_x", "_cell_y", "_cell_z"]
+    home, _, parts = spatial._cut(df, spread, keys, spatial.XYZ, keys[2:], {"n": (5.0, F.lit(1))}, 4.0, 100)
+    sizes = {(r.g, r["count"]) for r in home.groupBy(*keys, *parts).count().collect()}
+    assert max(n for g, n in sizes if g == "g") < 130 and ("h", 2) in sizes
+
+
 def test_partitioning_does_not_matter(spark):
     rng = np.random.default_rng(3)
     points = [("g", i % 3, *p) for i, p in enumerate(rng.uniform(0, 30, (90, 3)).tolist())]

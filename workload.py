@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import fixtures as fx
+from structnet.functions import constants as K
 from structnet.functions import rules
 from structnet.operators import annotate as an
 from structnet.operators import chains as ch
 from structnet.operators import coloring, contacts, networks, search, similarity, spatial
 from structnet.operators.dedup import last_wins
-from structnet.operators.staging import stage
+from structnet.plans.pipeline import read_structures
 from structnet.sources import identifiers, sinks
 from structnet.sources import structures as st
+from structnet.sources.manifest import structure_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -39,11 +41,6 @@ def heavy(spark, sf_dir):
     return ch.heavy_atoms(fx.atoms(spark, sf_dir))
 
 
-def staged_atoms(spark, sf_dir):
-    """Heavy atoms as a table of even files, for queries that go over them more than once."""
-    return stage(heavy(spark, sf_dir).hint("rebalance", "source"))
-
-
 def chains(spark, sf_dir, atoms=None):
     atoms = heavy(spark, sf_dir) if atoms is None else atoms
     return ch.place_chains(ch.chain_table(atoms), fx.structures(spark, sf_dir), F.col("first_pos"))
@@ -74,9 +71,9 @@ def final(spark, sf_dir, atoms=None):
 
 
 def annotated_atoms(spark, sf_dir):
-    """Atoms and annotated chains, both written once."""
-    atoms = staged_atoms(spark, sf_dir)
-    return atoms, stage(final(spark, sf_dir, atoms))
+    """Atoms and annotated chains. Nothing is written: what both sides of a join shuffle alike, Spark shuffles once."""
+    atoms = heavy(spark, sf_dir)
+    return atoms, final(spark, sf_dir, atoms)
 
 
 def located(spark, sf_dir):
@@ -135,6 +132,47 @@ def cif_records(spark, sf_dir):
         t[8].cast("double").alias("z"))
 
 
+def _scanned(spark, sf_dir, kind):
+    """Atoms and ids that the scan gives for files written from all line items."""
+    return read_structures(spark, fx.written_files(spark, sf_dir, kind))
+
+
+def _scan(spark, sf_dir, kind):
+    atoms, ids = _scanned(spark, sf_dir, kind)
+    return atoms.join(ids, "source").select("content_id", "chain_id", "residue_number", "residue_name", "atom_name", "element", "x", "y", "z")
+
+
+@query
+def pdb_scan(spark, sf_dir):
+    """PDB files of several models, read back."""
+    return _scan(spark, sf_dir, "pdb")
+
+
+@query
+def cif_scan(spark, sf_dir):
+    """mmCIF files whose atom loop follows other loops and text fields, read back."""
+    return _scan(spark, sf_dir, "cif")
+
+
+@query
+def content_ids(spark, sf_dir):
+    """Ids inside the files of both kinds with their number of atoms and models."""
+    parts = [atoms.join(ids, "source").groupBy("content_id").agg(F.count("*").alias("n_atoms"), F.countDistinct("model").alias("n_models")).withColumn("kind", F.lit(kind))
+             for kind in ("pdb", "cif") for atoms, ids in [_scanned(spark, sf_dir, kind)]]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def rejected_files(spark, sf_dir):
+    """Why pages and files that are not there give no structure, beside files that do."""
+    files = fx.written_files(spark, sf_dir, "cif")
+    pages = fx.table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("/nowhere/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".cif").otherwise(".html"))
+    manifest = files.unionByName(pages.select(name.alias("source"), name.alias("file_path"), name.alias("file_ord")))
+    atoms, _ = read_structures(spark, structure_files(manifest))
+    return st.rejected_files(manifest, atoms).select("file_path", "reason")
+
+
 @query
 def xref_last_wins(spark, sf_dir):
     return xref(spark, sf_dir)
@@ -186,7 +224,7 @@ def unnest_chain(spark, sf_dir):
 
 @query
 def chain_sequence(spark, sf_dir):
-    return ch.chain_sequences(heavy(spark, sf_dir)).select(F.col("source").alias("file_ord"), "chain_id", "sequence")
+    return ch.chain_sequences(heavy(spark, sf_dir).withColumn("atom_pos", F.col("residue_number")), F.floor(F.col("residue_pos") / 16)).select(F.col("source").alias("file_ord"), "chain_id", "sequence")
 
 
 @query
@@ -221,6 +259,15 @@ def annotate_chains(spark, sf_dir):
     return annotated(spark, sf_dir).select(*ANNOTATION)
 
 
+@query
+def annotate_wanted(spark, sf_dir):
+    """The same annotation from lookups that are cut down to the chains' keys first."""
+    rows = chains(spark, sf_dir)
+    cross = last_wins(an.wanted(fx.xref_rows(spark, sf_dir), rows), ["map_key"], ["ord", "sub_ord", "flag"], ["uniprot_id"])
+    headers = last_wins(an.wanted(fx.header_rows(spark, sf_dir), rows), ["map_key"], ["ord", "sub_ord", "length"], ["info"])
+    return an.annotate(rows, cross, names(spark, sf_dir), headers).select(*ANNOTATION)
+
+
 @query
 def annotation_preview(spark, sf_dir):
     return an.preview(annotated(spark, sf_dir))
@@ -304,6 +351,17 @@ def chain_interactions_compat(spark, sf_dir):
     return found.select("file_path", "chain_a", "chain_b", "all_atoms_count", "interaction_type")
 
 
+@query
+def compat_repeats(spark, sf_dir):
+    """Compat where names repeat: every ten structures share an id, and each pair has the coordinates of the first."""
+    atoms = heavy(spark, sf_dir)
+    shared = fx.structures(spark, sf_dir).withColumn("pdb_id", F.concat(F.lit("R"), F.floor(F.col("file_ord") / 10).cast("string")))
+    placed = ch.place_chains(ch.chain_table(atoms), shared, F.col("first_pos"))
+    typed = placed.withColumn("molecule_type", F.when(F.col("all_amino"), K.PROTEIN).otherwise(K.NUCLEIC))
+    found = contacts.chain_interactions_compat(atoms, typed, min_ca_pairs=2)
+    return found.select("file_ord", "chain_a", "chain_b", "all_atoms_count", "interaction_type")
+
+
 @query
 def prefix_join(spark, sf_dir):
     selected = contacts.interactions_by_prefix(fx.structures(spark, sf_dir), interactions(spark, sf_dir))
@@ -312,9 +370,14 @@ def prefix_join(spark, sf_dir):
 
 @query
 def atom_contacts(spark, sf_dir):
+    return contacts.structure_contacts(*annotated_atoms(spark, sf_dir))
+
+
+@query
+def selected_contacts(spark, sf_dir):
+    """The same listing by way of a table of interactions, as an export by structure id goes."""
     atoms, all_chains = annotated_atoms(spark, sf_dir)
-    found = stage(contacts.chain_interactions(atoms, all_chains))
-    selected = contacts.interactions_by_id(fx.structures(spark, sf_dir), found)
+    selected = contacts.interactions_by_id(fx.structures(spark, sf_dir), contacts.chain_interactions(atoms, all_chains))
     return contacts.atom_contacts(atoms, all_chains, selected)
 
 
@@ -322,7 +385,7 @@ def atom_contacts(spark, sf_dir):
 
 def _chain_network(spark, sf_dir):
     atoms, all_chains = annotated_atoms(spark, sf_dir)
-    edges = stage(networks.chain_edges(contacts.chain_interactions(atoms, all_chains)))
+    edges = (networks.chain_edges(contacts.chain_interactions(atoms, all_chains)))
     return networks.chain_nodes(all_chains, edges).select(*networks.NODE_COLUMNS), edges
 
 
@@ -339,7 +402,7 @@ def chain_nodes(spark, sf_dir):
 @query
 def combined_chain_network(spark, sf_dir):
     atoms, all_chains = annotated_atoms(spark, sf_dir)
-    edges = stage(networks.combined_chain_edges(contacts.chain_interactions(atoms, all_chains)))
+    edges = (networks.combined_chain_edges(contacts.chain_interactions(atoms, all_chains)))
     nodes = networks.combined_chain_nodes(all_chains, edges).select(*networks.NODE_COLUMNS)
     empty = F.lit(None).cast("string")
     return (nodes.select("network", F.lit("node").alias("kind"), "id", "tooltip", "color_group",
@@ -393,6 +456,18 @@ def protein_edges(spark, sf_dir):
     return networks.protein_edges(_pairs(spark, sf_dir))
 
 
+@query
+def crowded_protein_edges(spark, sf_dir):
+    """Protein networks behind the gate of ten C-alpha pairs: a supplier's items are one structure of seven large chains."""
+    atoms = heavy(spark, sf_dir).withColumn("source", F.col("supplier"))
+    table = ch.chain_table(atoms)
+    files = table.select("source").distinct().select("source", F.col("source").alias("file_ord"), F.concat(F.lit("S"), F.col("source").cast("string")).alias("pdb_id"), F.lit("").alias("file_path"))
+    rows = ch.place_chains(table, files, F.col("first_pos")).withColumns({
+        "molecule_type": F.when(F.col("all_amino"), K.PROTEIN).otherwise(K.NUCLEIC), "molecule_name": F.col("chain_id"),
+        "uniprot_id": F.when(F.col("chain_pos") <= 6, fx.accession((F.col("file_ord") + 3 * F.col("chain_pos")) % 20))})
+    return networks.protein_edges(networks.protein_pairs(contacts.chain_interactions(atoms, rows, crowded=64), rows))
+
+
 @query
 def protein_edges_sum(spark, sf_dir):
     return networks.protein_edges(_pairs(spark, sf_dir, agg="sum"))
@@ -431,7 +506,7 @@ def color_assignment(spark, sf_dir):
     atoms, all_chains = annotated_atoms(spark, sf_dir)
     edges = networks.chain_edges(contacts.chain_interactions(atoms, all_chains))
     nodes = networks.chain_nodes(all_chains, edges)
-    pairs = stage(networks.protein_pairs(_loose_interactions(atoms, all_chains), all_chains))
+    pairs = (networks.protein_pairs(_loose_interactions(atoms, all_chains), all_chains))
     single = networks.protein_nodes(networks.protein_edges(pairs), all_chains)
     combined = networks.protein_nodes(networks.combined_protein_edges(pairs), all_chains)
     groups = [n.select("network", "color_group") for n in (nodes, single, combined)]
@@ -450,7 +525,7 @@ def structure_colors(spark, sf_dir):
 def style_name(spark, sf_dir):
     atoms, all_chains = annotated_atoms(spark, sf_dir)
     chain = networks.chain_edges(contacts.chain_interactions(atoms, all_chains))
-    pairs = stage(networks.protein_pairs(_loose_interactions(atoms, all_chains), all_chains))
+    pairs = (networks.protein_pairs(_loose_interactions(atoms, all_chains), all_chains))
     edges = [e.select("network") for e in
              (chain, networks.protein_edges(pairs), networks.combined_protein_edges(pairs))]
     return coloring.style_names(edges[0].unionByName(edges[1]).unionByName(edges[2]))
