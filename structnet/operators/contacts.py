@@ -93,11 +93,11 @@ def _nucleic() -> Column:
 
 
 def _with_ends(pairs: DataFrame, chains: DataFrame) -> DataFrame:
-    """Names, types and accessions of both chains of each pair; the structure's own columns once."""
+    """Names and types of both chains of each pair; the structure's own columns once."""
     def ends(tag: str, *more: str) -> DataFrame:
         named = {"chain_pos": f"chain_pos_{tag}", "chain_id": f"name_{tag}", "unique_chain_id": f"chain_{tag}",
-                 "molecule_type": f"type_{tag}", "uniprot_id": f"accession_{tag}"}
-        return chains.select("file_ord", *more, *[F.col(c).alias(n) for c, n in named.items() if c in chains.columns])
+                 "molecule_type": f"type_{tag}"}
+        return chains.select("file_ord", *more, *[F.col(c).alias(n) for c, n in named.items()])
 
     return pairs.join(ends("a", "file_path", "pdb_id"), ["file_ord", "chain_pos_a"]).join(ends("b"), ["file_ord", "chain_pos_b"])
 
@@ -107,29 +107,25 @@ def structure_contacts(atoms: DataFrame, chains: DataFrame, ca_radius: float = K
     """Every close atom pair of the touching chains of each structure, one row each, as :func:`atom_contacts` lists them.
 
     For structures whose chain names are their own, which all are unless models or files are merged (compat). No contact is counted
-    first: the gate is a join of C-alpha atoms alone, chains that pass it with none and meet no nucleic acid leave before
-    the atoms are compared, and pairs leave before they get their names.
+    first: the gate is a join of C-alpha atoms alone, and cuts down the pairs of one join of all atoms.
     """
     known = _known(chains)
     pair = ["file_ord", "chain_pos_a", "chain_pos_b"]
-    located = chain_atoms(atoms, known, "molecule_type")
-    gate = (ca_contact_counts(contact_points(located), ca_radius).filter(F.col("ca_count") >= min_ca_pairs).select(*pair, F.lit(True).alias("close")))
-    passed = gate.select("file_ord", F.explode(F.array("chain_pos_a", "chain_pos_b")).alias("chain_pos"), F.lit(True).alias("passed")).distinct()
-    with_nucleic = known.filter(F.col("molecule_type") == K.NUCLEIC).select("file_ord", F.lit(True).alias("has_nucleic")).distinct()
-    taken = (known.join(passed, ["file_ord", "chain_pos"], "left").join(with_nucleic, "file_ord", "left")
-             .filter(F.col("passed") | F.col("has_nucleic")))
     label = rules.residue_label(F.col("residue_number"), F.col("residue_name"))
-    points = (chain_atoms(atoms, taken, "molecule_type").withColumn("residue", label)
-              .select("file_ord", "chain_pos", (F.col("molecule_type") == K.NUCLEIC).alias("nucleic"), "residue", "atom_name", *XYZ))
-    near = radius_pairs(points.dropna(subset=list(XYZ)), radius, ["file_ord"], "chain_pos", ["nucleic", "residue", "atom_name"])
-    met = near.join(gate, pair, "left").filter(F.col("nucleic_a") | F.col("nucleic_b") | F.col("close"))
+    located = (chain_atoms(atoms, known, "pdb_id", "molecule_type", "uniprot_id").withColumn("residue", label)
+               .select("file_ord", "pdb_id", "chain_pos", "chain_id", "molecule_type", "uniprot_id", "residue", "atom_name", *XYZ).dropna(subset=list(XYZ)))
+    gate = (ca_contact_counts(contact_points(located), ca_radius).filter(F.col("ca_count") >= min_ca_pairs).select(*pair, F.lit(True).alias("close")))
+    carry = ["chain_id", "molecule_type", "uniprot_id", "residue", "atom_name"]
+    near = (radius_pairs(located, radius, ["file_ord", "pdb_id"], "chain_pos", carry).filter("chain_id_a <> chain_id_b")
+            .withColumnsRenamed({"molecule_type_a": "type_a", "molecule_type_b": "type_b"}))
+    met = near.join(gate, pair, "left").filter(_nucleic() | F.col("close"))
     if all_atoms_radius < radius:  # a pair that only meets beyond the radius of interactions is none
         met = met.join(near.filter(F.col("d2") <= all_atoms_radius ** 2).select(*pair).distinct(), pair, "left_semi")
-    return (_with_ends(met, known).filter(F.col("name_a") != F.col("name_b"))
-            .select(F.col("pdb_id").alias("PDB_ID"), F.col("name_a").alias("Chain_A"), F.col("residue_a").alias("Residue_A"), F.col("atom_name_a").alias("Atom_A"),
-                    F.col("name_b").alias("Chain_B"), F.col("residue_b").alias("Residue_B"), F.col("atom_name_b").alias("Atom_B"),
-                    rules.round2(F.sqrt("d2")).alias("Distance"), F.col("accession_a").alias("UniProt_A"), F.col("accession_b").alias("UniProt_B"),
-                    rules.interaction_type(F.col("type_a"), F.col("type_b")).alias("Interaction_Type")))
+    return met.select(
+        F.col("pdb_id").alias("PDB_ID"), F.col("chain_id_a").alias("Chain_A"), F.col("residue_a").alias("Residue_A"), F.col("atom_name_a").alias("Atom_A"),
+        F.col("chain_id_b").alias("Chain_B"), F.col("residue_b").alias("Residue_B"), F.col("atom_name_b").alias("Atom_B"),
+        rules.round2(F.sqrt("d2")).alias("Distance"), F.col("uniprot_id_a").alias("UniProt_A"), F.col("uniprot_id_b").alias("UniProt_B"),
+        rules.interaction_type(F.col("type_a"), F.col("type_b")).alias("Interaction_Type"))
 
 
 def chain_interactions_compat(atoms: DataFrame, chains: DataFrame, ca_radius: float = K.CA_RADIUS,
