@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import workload
-from structnet.operators import spatial
+from structnet.operators import chains as ch
+from structnet.operators import contacts, spatial
 
 COLUMNS = "g string, m int, x double, y double, z double"
 
@@ -89,6 +90,33 @@ def test_cuts_bound_the_largest_part(spark):
     assert max(n for g, n in sizes if g == "g") < 130 and ("h", 2) in sizes
 
 
+@pytest.mark.parametrize("crowded", [None, 5])
+def test_small_groups_meet_in_one_cell(spark, crowded):
+    """Counts and pairs do not depend on which groups are whole; a whole group's points are one row on each side."""
+    rng = np.random.default_rng(13)
+    points = [(g, i % 4, *map(float, p)) for g, width in (("a", 8), ("b", 40), ("c", 300)) for i, p in enumerate(np.round(rng.uniform(-width, width, (80, 3)), 1).tolist())]
+    df = spark.createDataFrame(points, COLUMNS)
+    levels = {"near": (2.5, F.lit(1)), "far": (7.5, F.when(F.col("x") > 0, 1))}
+    near, far = brute(points, 2.5), brute([p for p in points if p[2] > 0], 7.5)
+    for some in (["a"], ["a", "c"], ["a", "b", "c"]):
+        flagged = df.withColumn("whole", F.col("g").isin(some))
+        got = spatial.radius_counts(flagged, ["g"], "m", levels, crowded=crowded, whole="whole").collect()
+        assert {(r.g, r.m_a, r.m_b): (r.near, r.far) for r in got} == {k: (near.get(k, 0), far.get(k, 0)) for k in {*near, *far}}
+        pairs = spatial.radius_pair_count(flagged, 7.5, ["g"], "m", whole="whole").collect()
+        assert {(r.g, r.m_a, r.m_b): r.n_pairs for r in pairs} == brute(points, 7.5)
+
+
+def test_small_structures_are_not_copied(spark):
+    """The chains of a structure know its size, and a small structure's atoms are shuffled once a side, not once a cell and radius."""
+    atoms, rows = workload.annotated_atoms(spark, "/root/testdata/sf0.001")
+    sizes = rows.groupBy("file_ord").agg(F.max("source_atoms").alias("size"), F.sum("n_atoms").alias("n"))
+    assert sizes.where("size <> n").count() == 0 and sizes.count() > 0
+    points = contacts.contact_points(ch.chain_atoms(atoms, contacts._sized(rows)[0], "molecule_type", "whole"))
+    assert points.where("whole").count() == points.join(sizes.where(F.col("size") <= contacts.SMALL), "file_ord").count() > 0
+    plan = contacts.chain_interactions(atoms, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "whole" in plan
+
+
 def test_partitioning_does_not_matter(spark):
     rng = np.random.default_rng(3)
     points = [("g", i % 3, *p) for i, p in enumerate(rng.uniform(0, 30, (90, 3)).tolist())]
