@@ -15,10 +15,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structnet.functions import constants as K
+from structnet.operators.staging import stage
 
 #: Groups of like residues, by size, charge and ring.
 LIKE = ("AGPST", "C", "DENQ", "FWY", "HKR", "ILMV")
@@ -81,6 +82,12 @@ class Scoring:
         out[:n, :n] = self.table
         return out
 
+    def seeds(self, query: str, target: str, diagonal: int, k: int, min_letters: int) -> int:
+        """Places of the diagonal where a k-mer that may seed is the same in both."""
+        start, stop = max(0, -diagonal), min(len(query), len(target) - diagonal)
+        same = (query[i:i + k] for i in range(start, stop - k + 1) if query[i:i + k] == target[i + diagonal:i + diagonal + k])
+        return sum(K.UNKNOWN_LETTER not in x and len(set(x)) >= min_letters for x in same)
+
     def codes(self, sequence: str) -> np.ndarray:
         return self._codes[np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)]
 
@@ -98,11 +105,71 @@ class Scoring:
         return self.scale * query_length * residues * math.exp(-self.decay * score)
 
 
-def _seeds(texts: DataFrame, key: str, k: int, min_letters: int, place: str) -> DataFrame:
-    """The k-mers of every sequence with their places, without those that hold an unknown or too few different letters."""
-    pieces = F.expr(f"CASE WHEN length(sequence) >= {k} THEN transform(sequence(1, length(sequence) - {k - 1}), i -> substring(sequence, i, {k})) END")
-    rows = texts.select(key, F.posexplode(pieces).alias(place, "kmer"))
-    return rows.where(~F.col("kmer").contains(K.UNKNOWN_LETTER)).where(F.size(F.array_distinct(F.split("kmer", ""))) >= min_letters)
+#: Residues from a seed on that are compared where the seeds meet; five bits of each, a word for each bit.
+AHEAD, _BITS = 64, 5
+#: Residues that are cut into seeds at a time.
+_PART = 1 << 18
+
+
+def _windows(bits: np.ndarray) -> np.ndarray:
+    """For every place a word whose bit i is that of the place i further on."""
+    words = np.concatenate([bits.astype(np.uint64), np.zeros(AHEAD, np.uint64)])
+    for step in (1, 2, 4, 8, 16, 32):
+        words[:-step] |= words[step:] << np.uint64(step)
+    return words[:len(bits)]
+
+
+def _seeds(texts: DataFrame, key: str, k: int, min_letters: int, tag: str, end: int) -> DataFrame:
+    """The k-mers of every sequence with their places, without those that hold an unknown or too few different letters.
+
+    ``key, seed`` (five bits a letter, so equal k-mers have equal ones), ``<tag>_at``, ``<tag>_length``, and what follows: ``<tag>_0`` to
+    ``<tag>_4``, the bits of the next AHEAD letters, beyond the end those of ``end``; ``<tag>_ok``, which of these places seed.
+    """
+    words = [f"{tag}_{i}" for i in range(_BITS)]
+    columns = {"seed": pa.int64(), f"{tag}_at": pa.int32(), f"{tag}_length": pa.int32(), **dict.fromkeys([*words, f"{tag}_ok"], pa.int64())}
+
+    def cut(keys: pa.Array, sequences: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.array([len(s) for s in sequences])
+        gap = np.full(AHEAD, -1, np.int64)
+        flat = np.concatenate([x for s in sequences for x in (s, gap)])
+        starts = np.cumsum(lengths + AHEAD) - lengths - AHEAD
+        owner = np.repeat(np.arange(len(sequences)), lengths + AHEAD)
+        views = np.lib.stride_tricks.sliding_window_view(flat, k)
+        ordered = np.sort(views, axis=1)
+        good = (views >= 0).all(1) & (views != ord(K.UNKNOWN_LETTER)).all(1) & ((ordered[:, 1:] != ordered[:, :-1]).sum(1) + 1 >= min_letters)
+        good = np.concatenate([good, np.zeros(k - 1, bool)])
+        codes = np.where(flat < 0, end, flat) & ((1 << _BITS) - 1)
+        seed = np.zeros(len(flat), np.uint64)
+        for i in range(k):
+            seed[:len(flat) - i] = seed[:len(flat) - i] * np.uint64((1 << _BITS) | 1 if k * _BITS > 64 else 1 << _BITS) + codes[i:].astype(np.uint64)
+        at = np.flatnonzero(good)
+        planes = [_windows(codes >> i & 1)[at].view(np.int64) for i in range(_BITS)]
+        found = [seed[at].view(np.int64), (at - starts[owner[at]]).astype(np.int32), lengths[owner[at]].astype(np.int32), *planes, _windows(good)[at].view(np.int64)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(owner[at])), *map(pa.array, found)], [key, *columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, size = 0, [], 0
+            for i, text in enumerate(batch.column("sequence")):
+                held.append(np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64))
+                size += len(held[-1]) + AHEAD
+                if size >= _PART or i + 1 == batch.num_rows:
+                    yield cut(batch.column(key).slice(first, len(held)), held)
+                    first, held, size = i + 1, [], 0
+
+    kinds = ", ".join(f"{c} {'int' if x == pa.int32() else 'long'}" for c, x in columns.items())
+    return texts.select(key, "sequence").mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, {kinds}")
+
+
+def _met_ahead(k: int) -> Column:
+    """How many k-mers are the same from here on, as far as the words of both sides reach, or more if letters share their five bits."""
+    other = F.lit(0).cast("long")
+    for i in range(_BITS):
+        other = other.bitwiseOR(F.col(f"q_{i}").bitwiseXOR(F.col(f"t_{i}")))
+    same, runs = F.bitwise_not(other), F.col("q_ok")
+    for i in range(k):
+        runs = runs.bitwiseAND(F.shiftrightunsigned(same, i) if i else same)
+    return F.bit_count(runs)
 
 
 def scored_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id: str, sequence: str = "sequence", scoring: Scoring | None = None,
@@ -113,20 +180,27 @@ def scored_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id
     ``min_letters`` different letters seed nothing, as runs of one letter meet everywhere. Null sequences have no hits;
     queries of equal sequence are searched once, targets too, whose smallest id stands for them.
 
-    The seeds join is spread by k-mer, candidates by pair of texts; sequences travel once per candidate pair, after the seeds are counted.
+    The seeds join is spread by k-mer. A seed carries the AHEAD letters that follow it, so where two seeds meet it is seen at once how many more
+    there are on the diagonal: of a pair with a sequence no longer than that, the first seed sees all, and seeds that meet by
+    chance, whose number grows with both tables, go no further. Seeds of pairs of longer sequences are counted per diagonal. Candidates
+    are spread by pair of texts; sequences travel once per candidate pair, where the seeds are counted again, letter by letter.
     """
     scoring = scoring or Scoring.of_groups()
-    digest = F.sha2("sequence", 256).alias("digest")
+    digest = F.substring(F.unhex(F.sha2("sequence", 256)), 1, 16).alias("digest")
     keyed = queries.select(F.col(query_id).alias("id"), F.col(sequence).alias("sequence")).dropna(subset=["sequence"]).select("id", "sequence", digest)
     known = targets.select(F.col(target_id).alias("id"), F.col(sequence).alias("sequence")).dropna(subset=["sequence"]).select("id", "sequence", digest)
+    keyed, known = stage(keyed), stage(known)  # used by the seeds, the scores and the result
     q_texts = keyed.groupBy("digest").agg(F.min("sequence").alias("sequence"))
     t_texts = known.groupBy("digest").agg(F.min("sequence").alias("sequence"), F.min("id").alias("hit_id"))
     residues = known.agg(F.sum(F.length("sequence")).alias("residues"), F.lit(1).alias("one"))
 
-    q_seeds = _seeds(q_texts, "digest", k, min_letters, "q_at").withColumnRenamed("digest", "query")
-    t_seeds = _seeds(t_texts, "hit_id", k, min_letters, "t_at")
-    pairs = (q_seeds.join(t_seeds, "kmer").groupBy("query", "hit_id", (F.col("t_at") - F.col("q_at")).alias("diagonal"))
-             .agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
+    q_seeds = _seeds(q_texts.withColumnRenamed("digest", "query"), "query", k, min_letters, "q", 31)
+    t_seeds = _seeds(t_texts, "hit_id", k, min_letters, "t", 30).drop("t_ok")
+    short = F.least("q_length", "t_length") <= AHEAD
+    # What cuts seeds tells Spark no size, and it would broadcast them by that of the texts.
+    seen = q_seeds.join(t_seeds.hint("merge"), "seed").where(~short | (_met_ahead(k) >= min_seeds))
+    pairs = (seen.groupBy("query", "hit_id", (F.col("t_at") - F.col("q_at")).alias("diagonal"))
+             .agg(F.count("*").alias("n"), F.bool_or(short).alias("short")).where(F.col("short") | (F.col("n") >= min_seeds))
              .groupBy("query", "hit_id").agg(F.collect_list("diagonal").alias("diagonals")))  # at most as many as both sequences have places
     met = (pairs.join(q_texts.select(F.col("digest").alias("query"), F.col("sequence").alias("of_query")), "query")
            .join(t_texts.select("hit_id", F.col("sequence").alias("of_target")), "hit_id"))
@@ -134,12 +208,17 @@ def scored_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for of_query, of_target, diagonals in zip(*(batch.column(c) for c in ("of_query", "of_target", "diagonals")), strict=True):
-                a, b = scoring.codes(of_query.as_py()), scoring.codes(of_target.as_py())
-                scores.append(max(scoring.best_stretch(a, b, d) for d in diagonals.as_py()))
-            lengths = [len(x.as_py()) for x in batch.column("of_query")]
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("hit_id"), pa.array(scores, pa.int64()), pa.array(lengths, pa.int64())], ["query", "hit_id", "score", "length"])
+            scores, rows = [], []
+            for row, (x, y, diagonals) in enumerate(zip(*(batch.column(c) for c in ("of_query", "of_target", "diagonals")), strict=True)):
+                of_query, of_target = x.as_py(), y.as_py()
+                places = [d for d in diagonals.as_py() if scoring.seeds(of_query, of_target, d, k, min_letters) >= min_seeds]
+                if places:
+                    a, b = scoring.codes(of_query), scoring.codes(of_target)
+                    scores.append(max(scoring.best_stretch(a, b, d) for d in places))
+                    rows.append(row)
+            some = batch.take(pa.array(rows, pa.int64()))
+            lengths = [len(x.as_py()) for x in some.column("of_query")]
+            yield pa.RecordBatch.from_arrays([some.column("query"), some.column("hit_id"), pa.array(scores, pa.int64()), pa.array(lengths, pa.int64())], ["query", "hit_id", "score", "length"])
 
     rated = met.mapInArrow(scored, f"query {shown['query']}, hit_id {shown['hit_id']}, score long, length long")
     chance = F.lit(scoring.scale) * F.col("length") * F.col("residues") * F.exp(-F.lit(scoring.decay) * F.col("score"))

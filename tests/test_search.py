@@ -84,3 +84,26 @@ def test_nothing_to_search(spark):
     none = spark.createDataFrame([], "q int, sequence string")
     assert search.scored_hits(none, some, "q", "t").collect() == []
     assert search.scored_hits(spark.createDataFrame([(1, "ACDEFGHIKL" * 4)], "q int, sequence string"), some.limit(0), "q", "t").collect() == []
+
+
+def test_seeds_seen_ahead_are_all_of_them(spark):
+    """Lengths around the words' reach, seeds far apart, letters beyond the alphabet: the same hits as letter by letter."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice(LETTERS) for _ in range(n))
+    a, b = word(8), word(8)
+    targets = [(f"T{i:03}", a + word(gap) + b + word(end)) for i, (gap, end) in enumerate((g, e) for g in (0, 1, 40, 47, 48, 49, 50, 60, 90) for e in (0, 1, 30))]
+    queries = [(i, a + word(gap) + b + word(20 * (i % 2))) for i, gap in enumerate([0, 1, 40, 47, 48, 49, 50, 60, 90] * 2)] + [(30, a[:5] + "é" + b[:4] + "ÿ" * 3), (31, a + "x" * 40 + b), (32, a[:5])]
+    more = {"expect": 1e6, "best": 1000}
+    q, t = spark.createDataFrame(queries, "q int, sequence string"), spark.createDataFrame(targets, "t string, sequence string")
+    got = {tuple(x) for x in search.scored_hits(q, t, "q", "t", **more).collect()}
+    assert got == brute(queries, targets, Scoring.of_groups(), **more) and len(got) > 100
+
+
+def test_seeds_that_meet_by_chance_go_no_further(spark):
+    """Sequences with one seed in common each: none of the meetings is shuffled."""
+    r = random.Random(3)
+    sides = [(c, [(i, "".join(r.choice(some) for _ in range(12)) + "MKVLW" + "".join(r.choice(some) for _ in range(12))) for i in range(300)], end)
+             for c, some, end in (("query", "ACDEF", 31), ("target", "GHINP", 30))]
+    q, t = (search._seeds(spark.createDataFrame(rows, f"{c} long, sequence string"), c, 5, 3, c[0], end) for c, rows, end in sides)
+    met = q.join(t.drop("t_ok"), "seed")
+    assert met.count() == 90_000 and met.where(search._met_ahead(5) >= 2).count() == 0
