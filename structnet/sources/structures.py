@@ -248,6 +248,28 @@ def _loop_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                         pa.array(np.full(len(rows), loops[parity].blocks if loops[parity] else 0, np.int32)), shared, some.column("value")], schema=_FOUND)
 
 
+#: The columns that are read, lower-cased as the marks are.
+_ITEMS = ["pdbx_pdb_model_num", "auth_asym_id", "label_asym_id", "auth_seq_id", "label_seq_id", "pdbx_pdb_ins_code", "label_comp_id", "auth_comp_id",
+          "label_atom_id", "auth_atom_id", "type_symbol", "cartn_x", "cartn_y", "cartn_z"]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The read columns of rows of tokens. Their places are looked up once for each list of names in a batch, not once a row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, tokens = batch.column("names").dictionary_encode(), batch.column("tokens")
+        lists = [n.split("\n") for n in names.dictionary.to_pylist()]
+        places = np.array([[own.index(n) if n in own else -1 for n in _ITEMS] for own in lists])[names.indices.to_numpy()]
+        starts = tokens.offsets.to_numpy()
+        cells = []
+        for at in places.T:
+            missing = (at < 0) | (at >= starts[1:] - starts[:-1])
+            cell = tokens.values.take(pa.array(starts[:-1] + at, mask=missing))
+            cells.append(pc.if_else(pc.is_in(cell, value_set=pa.array([".", "?"], cell.type)), pa.scalar(None, cell.type), cell))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source", "block", "row")), *cells], ["source", "block", "row", *_ITEMS])
+
+
 #: Stands for the items of the loop that was open where the split began.
 _BEFORE = "..."
 
@@ -266,12 +288,11 @@ def cif_atoms(lines: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     goes_on = F.get("items", F.lit(0)) == _BEFORE
     own = F.when(F.col("items").isNull(), F.col("before")).when(goes_on, F.concat("before", F.slice("items", 2, 1000))).otherwise(F.col("items"))
     rows = found.join(before, ["source", "block", "parity"]).withColumn("items", own).filter((F.size("items") > 0) & (F.col("blocks") + F.col("more_blocks") <= 1))
-    rows = rows.withColumn("tokens", cif_tokens(F.col("value")))
+    shown = rows.select("source", "block", "row", F.concat_ws("\n", "items").alias("names"), cif_tokens(F.col("value")).alias("tokens"))
+    rows = shown.mapInArrow(_cells, "source string, block long, row long, " + ", ".join(f"{n} string" for n in _ITEMS))
 
     def item(*names: str) -> Column:
-        found = [F.try_element_at("tokens", F.nullif(F.array_position("items", n), F.lit(0)).cast("int"))
-                 for n in names]
-        return F.coalesce(*[F.when(~v.isin(".", "?"), v) for v in found])
+        return F.coalesce(*names)
 
     number = F.coalesce(item("pdbx_pdb_model_num").try_cast("long"), F.lit(1).cast("long"))
     return rows.select(

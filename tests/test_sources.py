@@ -268,3 +268,14 @@ def test_lookups_are_cut_down_before_last_wins(spark, tmp_path):
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     lines = [x for x in plan.splitlines() if "Aggregate" in x or "LeftSemi" in x]
     assert "Aggregate" in lines[0] and "LeftSemi" in lines[1], plan  # the join lies below the aggregate of the lookup
+
+
+def test_cif_columns_are_not_looked_up_by_row(spark):
+    """Two loops with columns in another order, rows that are too short: the same cells, without a search of names in each row."""
+    text = ["data_X", "loop_", "_atom_site.Cartn_x", "_atom_site.type_symbol", "_atom_site.auth_asym_id", "1.5 c A", "2.5 .", "?", "#",
+            "loop_", "_atom_site.label_asym_id", "_atom_site.Cartn_x", "B 3.5"]
+    rows = [("/x.cif", (0, i), line) for i, line in enumerate(text)]
+    lines = spark.createDataFrame(rows, "source string, at struct<block:long,row:long>, value string").coalesce(1)
+    atoms = structures.cif_atoms(lines)
+    assert sorted((r.chain_id, r.element, r.x) for r in atoms.collect() if r.x) == [("", "", 2.5), ("A", "C", 1.5), ("B", "", 3.5)]
+    assert "array_position" not in atoms._jdf.queryExecution().optimizedPlan().toString()
