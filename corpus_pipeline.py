@@ -22,8 +22,11 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the most words, then the smallest doc_id."""
-    groups = simhash_dedup.near_duplicates(docs)
+    """One document of each group of near duplicates: the one with the most words, then the smallest doc_id.
+
+    Groups are linked by deletion-variant signatures at 2 bits, as in op7, and by texts that are 0.8 similar, which these miss.
+    """
+    groups = simhash_dedup.near_duplicates(docs, radius=2)
     best = F.max(F.struct("n_words", F.bitwise_not("doc_id").alias("neg"), "text_hash"))
     kept = groups.groupBy("group").agg(best.alias("best"))
     return only(docs, kept.select(F.bitwise_not("best.neg").alias("doc_id"), "best.text_hash"))

@@ -283,7 +283,24 @@ def _mixed(keyed: DataFrame, hub: Callable[[Column], Column] = F.min) -> DataFra
     return keyed.groupBy("key").agg(*ends, *hubs).where("low <> high AND hub_0 IS NOT NULL AND hub_1 IS NOT NULL").select("key", "hub_0", "hub_1")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+def _alike(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges that tie the nodes whose fingerprints ``fp`` are linked, by deletion variants, to the smallest node of each component."""
+    linked = components(near_links(nodes, radius)).withColumnsRenamed({"node": "fp"})
+    near = written(nodes.select("node", "fp").join(linked, "fp", "left").select("node", F.coalesce("component", "fp").alias("near")))
+    lows = near.groupBy("near").agg(F.min("node").alias("low"))
+    return near.join(lows, "near").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+
+
+def _merged(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """``groups(node, component)`` after links ``(a, b)``. Only groups that a link joins are looked at again, not every node of them."""
+    part = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+    tops = found.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    tops = written(components(tops))
+    moved = groups.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return written(moved.select("node", F.coalesce("top", "component").alias("component")).union(tops.join(groups.select("node"), "node", "left_anti").select("node", "component")))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, row (a number), group (the smallest row number among its near duplicates), n_words, text_hash.
 
     Two rows are near duplicates if their sets of ``width``-word shingles are at least ``least`` similar; groups are what such
@@ -292,6 +309,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     Where that leaves a bucket with more than one group, its members meet again on :func:`prefix_keys`, which no similar pair lacks and texts that
     only share a passage do not have in common: first with the smallest and the largest member of each key, then members of groups that are still apart.
     So no link between groups is lost, copies cost a few comparisons each, and a passage that many share makes no pairs.
+    With ``radius``, rows whose :func:`fingerprint` differs by as many bits or fewer are near duplicates too, as in :func:`near_groups`: deletion-variant
+    signatures find these links first, all of them.
     Null and empty texts are one group; so are rows with equal word sequences. Null ids and rows that repeat are rows like any
     other, other columns are ignored, an empty table gives none.
     """
@@ -300,7 +319,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
         for doc_id, text in rows:
             words = words_of(text)
             own = np.unique(shingle_hashes(words, width, 5))
-            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), band_keys(own), *majorities(own, SHAPE)
+            fp = 0 if radius is None else signed(majority(shingle_hashes(words, 3)))
+            yield doc_id, text_hash(text), *sequence_hashes(words), len(words), fp, band_keys(own), *majorities(own, SHAPE)
 
     def set_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in rows:
@@ -309,18 +329,19 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
 
     shape = [f"s{i}" for i in range(SHAPE)]
     docs = texts(docs)
-    longs = [(x, pa.int64()) for x in ("doc_id", "text_hash", "h1", "h2", "n_words")]
+    longs = [(x, pa.int64()) for x in ("doc_id", "text_hash", "h1", "h2", "n_words", "fp")]
     arrow = pa.schema([*longs, ("keys", pa.list_(pa.int64())), *((x, pa.int64()) for x in shape)])
-    rows = map_rows(docs, described, ["doc_id", "text"], "doc_id long, text_hash long, h1 long, h2 long, n_words long, keys array<long>, " + ", ".join(f"{x} long" for x in shape), arrow)
+    rows = map_rows(docs, described, ["doc_id", "text"], "doc_id long, text_hash long, h1 long, h2 long, n_words long, fp long, keys array<long>, " + ", ".join(f"{x} long" for x in shape), arrow)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
     equal = rows.groupBy("h1", "h2").agg(F.min("row").alias("first"))
     rows = written(rows.join(equal, ["h1", "h2"]))
-    nodes = rows.where("row = first").select(F.col("row").alias("node"), "keys", *shape)
+    nodes = rows.where("row = first").select(F.col("row").alias("node"), "fp", "keys", *shape)
+    alike = None if radius is None else _alike(nodes, radius)
 
     bucket = Window.partitionBy("key")
     members = nodes.select("node", F.explode("keys").alias("key")).withColumn("low", F.min("node").over(bucket)).withColumn("n", F.count("*").over(bucket))
     members = written(members.where("n > 1"))
-    nodes = nodes.drop("keys")
+    nodes = nodes.drop("keys", "fp")
     sides = [nodes.select(F.col("node").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in shape)) for x in "ab"]
     shapes = [[F.col(f"{x}_{n}") for n in shape] for x in "ab"]
     near = differing(*shapes) <= SHAPE_FARTHEST
@@ -338,7 +359,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     sets = written(sets.join(wanted, ["h1", "h2"]).groupBy("row").agg(F.first("shingles").alias("shingles")))
     links = written(_verified(star, sets, least))
 
-    groups = written(components(links))
+    groups = written(components(links if alike is None else links.union(alike)))
     keyed = _across(members, groups, sets, least)
     share = Fraction(str(least)) / (1 + Fraction(str(least)))
     for hubs in (F.min, F.max, None):  # first a key's members with its smallest and its largest, then what is left between groups
@@ -354,5 +375,5 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
             pairs = sides[0].join(sides[1], "key").where(enough & (F.col("x_part") != F.col("y_part"))).select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = _verified(pairs.distinct(), sets, least)
-        groups = written(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
+        groups = _merged(groups, found)
     return rows.join(groups, rows["first"] == groups["node"], "left").select("doc_id", "row", F.coalesce("component", "first").alias("group"), "n_words", "text_hash")
