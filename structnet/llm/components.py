@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structnet.llm.common import written
+from structnet.llm.common import written_rows
 
 
 def _linked(edges: DataFrame) -> DataFrame:
@@ -26,19 +26,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(low.select("a", F.col("low").alias("b"))).distinct()
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node is tied to one smaller node that is tied to none. Takes distinct edges with a > b."""
+    ends = edges.select("a", F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    return ends.groupBy("a").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 OR ups = 1 AND n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs to ``(node, component)``, component being the smallest node that is reachable.
 
-    Nodes without an edge are not listed; loops are ignored. Every round is written to the checkpoint folder. The
-    joins are between edges and one row per node, so that adaptive execution may split a hot node's edges.
+    Nodes without an edge are not listed; loops are ignored. Every round is written to the checkpoint folder; there is none once all edges
+    lead to the smallest node of a component. The joins are between edges and one row per node, so that adaptive execution may split a hot node's edges.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:  # stars do not change any more
-            break
-        seen = now
-        edges = written(_small_star(_large_star(edges)))
+    edges = written_rows(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _is_forest(edges):
+        edges = written_rows(_small_star(_large_star(edges)))
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

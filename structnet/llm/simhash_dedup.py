@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from structnet.llm.common import map_rows, signed, spread, text_hash, texts, written
+from structnet.llm.common import map_rows, signed, spread, text_hash, texts, written, written_rows
 from structnet.llm.components import components
 
 SEED = 42
@@ -135,6 +135,8 @@ SHAPE, SHAPE_FARTHEST = 12, 190
 CELLS, CLASS_STEP = 1 << 22, 1.05
 #: Buckets' smallest members that a member is compared with before its groups are looked at: those that it shares most keys with.
 TRIES = 6
+#: Longs that mark a set in the last round: a bit each for whether an odd number of its shingles falls there.
+MARKS = 8
 #: Shingles that are hashed at a time.
 PART = 1 << 14
 
@@ -255,8 +257,28 @@ def _rarity(some: DataFrame) -> np.ndarray:
     return out
 
 
-def _across(members: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Keys that connect different groups within buckets: key, side, rest, size, node. No pair that is ``least`` similar shares none."""
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """MARKS longs. Each shingle that only one of two sets has changes one bit, so they differ by as many bits as the sets by shingles, or by fewer."""
+    odd = np.bincount(remixed(shingles.astype(np.uint64)) % np.uint64(64 * MARKS), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _marks(some: DataFrame) -> DataFrame:
+    """``parities`` of every node: node, m0 to the last."""
+
+    def marked(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for node, x in rows:
+            yield node, *parities(np.frombuffer(x, np.uint32)).tolist()
+
+    names = ["node", *(f"m{i}" for i in range(MARKS))]
+    return map_rows(some, marked, ["node", "shingles"], ", ".join(f"{n} long" for n in names), pa.schema([(n, pa.int64()) for n in names]))
+
+
+def _across(members: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Keys that connect different groups within buckets: key, side, rest, size, node. No pair that is ``least`` similar shares none.
+
+    And the nodes' :func:`parities`.
+    """
     member = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     some = written(member.join(mixed, "key", "left_semi").select("node", "part").distinct().join(sets, F.col("node") == F.col("row")).drop("row"))
@@ -272,7 +294,7 @@ def _across(members: DataFrame, groups: DataFrame, sets: DataFrame, least: float
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=_LINK)
 
     keyed = written(some.mapInArrow(keys, "key long, side int, rest int, size int, node long, part long"))
-    return written(keyed.join(_mixed(keyed), "key", "left_semi").drop("part"))
+    return written(keyed.join(_mixed(keyed), "key", "left_semi").drop("part")), _marks(some)
 
 
 def _mixed(keyed: DataFrame, hub: Callable[[Column], Column] = F.min) -> DataFrame:
@@ -286,7 +308,7 @@ def _mixed(keyed: DataFrame, hub: Callable[[Column], Column] = F.min) -> DataFra
 def _alike(nodes: DataFrame, radius: int) -> DataFrame:
     """Edges that tie the nodes whose fingerprints ``fp`` are linked, by deletion variants, to the smallest node of each component."""
     linked = components(near_links(nodes, radius)).withColumnsRenamed({"node": "fp"})
-    near = written(nodes.select("node", "fp").join(linked, "fp", "left").select("node", F.coalesce("component", "fp").alias("near")))
+    near = written_rows(nodes.select("node", "fp").join(linked, "fp", "left").select("node", F.coalesce("component", "fp").alias("near")))
     lows = near.groupBy("near").agg(F.min("node").alias("low"))
     return near.join(lows, "near").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
 
@@ -295,9 +317,9 @@ def _merged(groups: DataFrame, found: DataFrame) -> DataFrame:
     """``groups(node, component)`` after links ``(a, b)``. Only groups that a link joins are looked at again, not every node of them."""
     part = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
     tops = found.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
-    tops = written(components(tops))
+    tops = written_rows(components(tops))
     moved = groups.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-    return written(moved.select("node", F.coalesce("top", "component").alias("component")).union(tops.join(groups.select("node"), "node", "left_anti").select("node", "component")))
+    return written_rows(moved.select("node", F.coalesce("top", "component").alias("component")).union(tops.join(groups.select("node"), "node", "left_anti").select("node", "component")))
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int | None = None) -> DataFrame:
@@ -307,7 +329,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, radius:
     links connect. Candidates share the key of a MinHash band of their shingles, which a pair misses with the probability stated at BANDS.
     First each member is compared with the smallest ones of its buckets, the TRIES that it shares most keys with and whose SimHash differs by SHAPE_FARTHEST bits at most.
     Where that leaves a bucket with more than one group, its members meet again on :func:`prefix_keys`, which no similar pair lacks and texts that
-    only share a passage do not have in common: first with the smallest and the largest member of each key, then members of groups that are still apart.
+    only share a passage do not have in common: first with the smallest and the largest member of each key, then members of groups that are still apart,
+    unless the :func:`parities` of their sets differ by more than similar sets do.
     So no link between groups is lost, copies cost a few comparisons each, and a passage that many share makes no pairs.
     With ``radius``, rows whose :func:`fingerprint` differs by as many bits or fewer are near duplicates too, as in :func:`near_groups`: deletion-variant
     signatures find these links first, all of them.
@@ -347,9 +370,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, radius:
     near = differing(*shapes) <= SHAPE_FARTHEST
     tries = members.where("node <> low").groupBy("node", "low").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "low"))  # a node has BANDS keys
-    tries = written(tries.withColumn("later", nth > TRIES).where("not later or n = 2").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"), "later"))
+    tries = written_rows(tries.withColumn("later", nth > TRIES).where("not later or n = 2").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"), "later"))
     star = tries.where("not later").select("a", "b").distinct()
-    star = written(star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"))
+    star = written_rows(star.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b"))
     ends = F.explode(F.array("a", "b")).alias("row")
     wanted = star.select(ends).union(tries.where("later").select(ends)).union(members.where("n > 2").select("node")).distinct()
 
@@ -357,10 +380,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, radius:
     some = docs.alias("d").join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = map_rows(some, set_of, ["text"], "h1 long, h2 long, shingles binary", pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.binary())]), size=500)
     sets = written(sets.join(wanted, ["h1", "h2"]).groupBy("row").agg(F.first("shingles").alias("shingles")))
-    links = written(_verified(star, sets, least))
+    links = written_rows(_verified(star, sets, least))
 
-    groups = written(components(links if alike is None else links.union(alike)))
-    keyed = _across(members, groups, sets, least)
+    groups = written_rows(components(links if alike is None else links.union(alike)))
+    keyed, marks = _across(members, groups, sets, least)
     share = Fraction(str(least)) / (1 + Fraction(str(least)))
     for hubs in (F.min, F.max, None):  # first a key's members with its smallest and its largest, then what is left between groups
         member = keyed.join(groups, "node", "left").select("key", "side", "rest", "size", "node", F.coalesce("component", "node").alias("part"))
@@ -369,9 +392,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, radius:
             hub = F.when(F.col("side") == 0, F.col("hub_0")).otherwise(F.col("hub_1"))
             pairs = member.join(mixed, "key").withColumn("hub", hub).where("part <> hub.part").select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
         else:
-            member = member.join(mixed.select("key"), "key", "left_semi")
-            sides = [member.where(F.col("side") == i).select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "part", "rest", "size"))) for i, x in enumerate("xy")]
-            enough = F.least("x_rest", "y_rest").cast("long") * share.denominator >= (F.col("x_size") + F.col("y_size")).cast("long") * share.numerator
+            member = member.join(mixed.select("key"), "key", "left_semi").join(marks, "node")
+            bits = [f"m{i}" for i in range(MARKS)]
+            sides = [member.where(F.col("side") == i).select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "part", "rest", "size", *bits))) for i, x in enumerate("xy")]
+            both = (F.col("x_size") + F.col("y_size")).cast("long")
+            enough = F.least("x_rest", "y_rest").cast("long") * share.denominator >= both * share.numerator
+            apart = differing(*([F.col(f"{x}_{n}") for n in bits] for x in "xy"))  # what they do not share, or less
+            enough = enough & (apart.cast("long") * share.denominator <= both * (share.denominator - 2 * share.numerator))
             pairs = sides[0].join(sides[1], "key").where(enough & (F.col("x_part") != F.col("y_part"))).select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = _verified(pairs.distinct(), sets, least)
