@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import workload
-from structnet.operators import spatial
+from structnet.operators import annotate, spatial
+from structnet.operators.dedup import first_wins, last_wins
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,28 @@ def test_small_groups_give_what_cells_give(spark, radius):
     counts = [sorted(spatial.radius_counts(points, ["g"], "m", levels, small=small).collect()) for small in (False, True)]
     pairs = [sorted(spatial.radius_pairs(points, radius, ["g"], "m", ["w"], small=small).collect()) for small in (False, True)]
     assert counts[0] == counts[1] and pairs[0] == pairs[1] and counts[0] and pairs[0]
+
+
+def test_low_hits_are_dropped_before_the_aggregate(spark):
+    """A hit without a score does not hide a good one."""
+    rows = [(1, "A", None), (1, "B", 95.0), (1, "C", 99.0), (2, "D", 89.0), (3, "E", None), (4, "G", 90.0), (4, "F", 90.0)]
+    found = annotate.best_hits(spark.createDataFrame(rows, "k int, hit_id string, score double"), ["k"], 90)
+    assert sorted(map(tuple, found.collect())) == [(1, "C"), (4, "F")]
+
+
+def test_rows_that_tie_go_by_their_values(spark):
+    rows = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 4, "z"), (2, None, "c"), (2, 1, None)], "k int, o int, v string")
+    assert sorted(map(tuple, last_wins(rows, ["k"], ["o"], ["v"]).collect())) == [(1, "b"), (2, None)]
+    assert sorted(map(tuple, first_wins(rows, ["k"], ["o"], ["v"]).collect())) == [(1, "z"), (2, "c")]
+
+
+def test_style_names_search_contacts_once(spark):
+    """Both gates read the staged interactions."""
+    plan = workload.queries()["style_name"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "_cell_x" not in plan
+
+
+def test_gate_comes_before_the_atom_pairs(spark):
+    """Small structures get the list of their close chains while they are one row each, so that no pair is joined."""
+    plan = workload.queries()["atom_contacts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_whole") < plan.index("Join LeftOuter")
