@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import workload
-from structnet.operators import annotate, spatial
+from structnet.operators import annotate, chains, contacts, keys, spatial
 from structnet.operators.dedup import first_wins, last_wins
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,30 @@ def test_gate_comes_before_the_atom_pairs(spark):
     """Small structures get the list of their close chains while they are one row each, so that no pair is joined."""
     plan = workload.queries()["atom_contacts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(_whole") < plan.index("Join LeftOuter")
+
+
+def spreads(df) -> list[str]:
+    """Keys of every exchange by hash, the first one first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("hashpartitioning(")[1] for line in plan.split("\n") if "hashpartitioning(" in line]
+
+
+@pytest.mark.parametrize("name", ["annotate_chains", "xref_last_wins", "seqres_last_wins"])
+def test_lookup_keys_sort_by_their_hash(spark, name):
+    """Keys share their first bytes, so a sort by the key alone compares whole rows; the hash goes first wherever a lookup is spread."""
+    keyed = [s for s in spreads(workload.queries()[name](spark, SF)) if "map_key" in s]
+    assert 0 < len(keyed) <= 3 and not any(s.startswith("map_key#") for s in keyed)
+
+
+def test_names_of_the_first_chain(spark):
+    rows = [(2, 1, "X:A", "late"), (1, 5, "X:A", "second"), (1, 4, "X:A", None), (3, 1, "Y:A", "own"), (4, 1, None, "none")]
+    found = chains.first_of_name(spark.createDataFrame(rows, "file_ord int, chain_pos int, unique_chain_id string, v string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 4, "X:A", None), (3, 1, "Y:A", "own")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hash_join_is_a_join(spark, how):
+    a = spark.createDataFrame([("x", 1, 1), ("x", 2, 2), (None, 1, 3), ("y", None, 4)], "k string, n int, v int")
+    b = spark.createDataFrame([("x", 1, 7), ("x", 1, 8), (None, 1, 9)], "k string, n int, w int")
+    got, want = keys.hash_join(a, b, ["k", "n"], how), a.join(b, ["k", "n"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
