@@ -77,6 +77,34 @@ def test_lookup_keys_sort_by_their_hash(spark, name):
     assert 0 < len(keyed) <= 3 and not any(s.startswith("map_key#") for s in keyed)
 
 
+@pytest.mark.parametrize("name", ["combined_chain_network", "chain_nodes", "protein_nodes", "combined_protein_nodes", "combined_protein_network_parallel"])
+def test_atoms_of_small_structures_are_spread_by_file(spark, name, monkeypatch):
+    """Where all structures are small, their atoms meet the chains by file and stay there: no join by chain."""
+    found = []
+    whole = contacts._by_source
+    monkeypatch.setattr(contacts, "_by_source", lambda *a: found.append(whole(*a)) or found[-1])
+    workload.queries()[name](spark, SF)
+    spread = [s for s in spreads(found[0]) if not s.startswith("source#")]
+    assert len(found) == 1 and not spread
+
+
+def test_by_file_gives_what_by_chain_gives(spark, monkeypatch):
+    """A file of two models that is listed twice, equal chain names, an unknown chain, atoms without coordinates or of no chain."""
+    draw = random.Random(7)
+    place = [(s, m, c) for s in (1, 2) for m in (1, 2) for c in "ABC"]
+    rows = [(*draw.choice(place), draw.choice(["CA", "N", None]), *(float(draw.randrange(9)) if draw.random() < 0.97 else None for _ in "xyz")) for _ in range(300)]
+    rows += [(2, 1, "HOH", "CA", 1.0, 1.0, 1.0), (3, 1, "A", "CA", 1.0, 1.0, 1.0), (1, 1, None, "CA", 1.0, 1.0, 1.0)]
+    atoms = spark.createDataFrame(rows, "source long, model int, chain_id string, atom_name string, x double, y double, z double")
+    kinds = {"A": "Protein", "B": "Nucleic Acid", "C": "Protein"}
+    listed = [(s, m, c, f"{f}:{m}", m * 10 + ord(c), kinds[c] if (s, m, c) != (1, 2, "C") else "Unknown", f"/{f}", f"I{s}", f"I{s}:{c}", 250)
+              for s, m, c in place for f in ((s, s + 10) if s == 1 else (s,))]
+    chains = spark.createDataFrame(listed, "source long, model int, chain_id string, file_ord string, chain_pos int, molecule_type string, file_path string, pdb_id string, unique_chain_id string, source_atoms long")
+    more = ["ca_count", "type_a", "type_b"]
+    by_file = contacts.chain_interactions(atoms, chains, min_ca_pairs=1, more=more)
+    by_chain = contacts.chain_interactions(atoms, chains.drop("source_atoms"), min_ca_pairs=1, more=more)
+    assert by_file.columns == by_chain.columns and sorted(by_file.collect()) == sorted(by_chain.collect()) and by_file.count() > 10
+
+
 def test_names_of_the_first_chain(spark):
     rows = [(2, 1, "X:A", "late"), (1, 5, "X:A", "second"), (1, 4, "X:A", None), (3, 1, "Y:A", "own"), (4, 1, None, "none")]
     found = chains.first_of_name(spark.createDataFrame(rows, "file_ord int, chain_pos int, unique_chain_id string, v string"))
