@@ -20,10 +20,10 @@ def read_structures(spark: SparkSession, files: DataFrame, compat: bool = False,
     """Raw atoms and content ids of the listed files, as tables that are written batch by batch."""
     atoms, ids = Staged(spark, _EMPTY_ATOMS), Staged(spark, "source string, content_id string")
     for batch in batches(files, batch_files):
-        chunks, lines = structures.scan_pdb(spark, batch), structures.scan_cif(spark, batch)
-        if chunks is not None:
-            atoms.add(structures.pdb_atoms(chunks))
-            ids.add(structures.pdb_header_ids(chunks))
+        records, lines = structures.scan_pdb(spark, batch), structures.scan_cif(spark, batch)
+        if records is not None:
+            atoms.add(structures.pdb_atoms(records, stage(structures.pdb_splits(records))))
+            ids.add(structures.pdb_header_ids(records))
         if lines is not None:
             splits = stage(structures.cif_splits(lines))
             atoms.add(structures.cif_atoms(lines, splits))

@@ -35,10 +35,9 @@ def path_key(path: Column) -> Column:
     return F.when(local.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), local).otherwise(here)
 
 
-def scanned_path() -> Column:
+def scanned_path(uri: str = "_metadata.file_path") -> Column:
     """``path_key`` of the file a row was read from (the URI is percent-encoded)."""
-    encoded = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
-    return path_key(F.url_decode(encoded))
+    return path_key(F.url_decode(F.regexp_replace(uri, r"\+", "%2B")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -112,11 +111,12 @@ def read_listed(spark: SparkSession, batch: Batch, suffixes: tuple[str, ...], li
         if not folders:
             return None
         rows = reader.text(folders)
-    rows = rows.select(scanned_path().alias("source"), file_order().alias("at"), F.regexp_replace("value", "\r", "").alias("value"))
-    if len(batch.folders) == 1:
-        return rows
-    listed = spark.createDataFrame([(p,) for p in batch.listed], "source string")
-    return rows.join(F.broadcast(listed), "source", "left_semi")  # at most the paths of a batch
+    # Paths are made once per file, not once per line. The files are those that the driver plans to read.
+    files = spark.createDataFrame([(f, _bare(f)) for f in rows.inputFiles()], "uri string, key string").select("key", scanned_path("uri").alias("source"))
+    if len(batch.folders) > 1:
+        files = files.join(spark.createDataFrame([(p,) for p in batch.listed], "source string"), "source", "left_semi")
+    rows = rows.select(F.regexp_replace("_metadata.file_path", _SCHEME, "/").alias("key"), file_order().alias("at"), F.replace("value", F.lit("\r"), F.lit("")).alias("value"))
+    return rows.join(F.broadcast(files), "key").select("source", "at", "value")
 
 
 def _readable(spark: SparkSession, folder: str) -> bool:

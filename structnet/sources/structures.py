@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structnet.functions import rules
@@ -25,14 +25,11 @@ PDB_SUFFIXES, CIF_SUFFIXES = (".pdb",), (".cif", ".mmcif")
 # --- PDB ------------------------------------------------------------------
 
 def scan_pdb(spark: SparkSession, batch: Batch) -> DataFrame | None:
-    """One row per model chunk of the batch's PDB files: ``source, chunk, text``; None if it has no such file.
+    """Lines of the batch's PDB files with their position: ``source, at, value``; None if it has no such file.
 
-    A line break followed by ``MODEL`` separates rows, so a row holds at most
-    one model, whose size the format limits, and the number of models does
-    not matter. ``chunk`` orders the models of a file.
+    A row is a line, so neither the number of models nor the size of one matters. A task holds whole splits, each in order.
     """
-    rows = read_listed(spark, batch, PDB_SUFFIXES, "\nMODEL ")
-    return None if rows is None else rows.withColumnsRenamed({"at": "chunk", "value": "text"})
+    return read_listed(spark, batch, PDB_SUFFIXES, "\n")
 
 
 def guessed_element(padded_name: Column) -> Column:
@@ -76,21 +73,56 @@ def pdb_fields(line: Column) -> dict[str, Column]:
     }
 
 
-def pdb_atoms(chunks: DataFrame) -> DataFrame:
-    lines = chunks.select("source", "chunk", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    records = lines.filter(F.upper(F.substring("value", 1, 6)).isin("ATOM", "ATOM  ", "HETATM"))
-    return records.select(
-        "source", F.col("chunk").alias("model"),
+def _starts_model() -> Column:
+    return F.startswith("value", F.lit("MODEL "))
+
+
+def pdb_splits(lines: DataFrame) -> DataFrame:
+    """One row per split of a file: ``source, block, before``, the number of ``MODEL`` lines before the split."""
+    own = lines.groupBy("source", F.col("at.block").alias("block")).agg(F.count_if(_starts_model()).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select("source", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("before"))
+
+
+_NUMBERED = pa.schema([("source", pa.string()), ("block", pa.int64()), ("row", pa.int64()), ("number", pa.int64()), ("value", pa.string())])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines but those that start a model, with the number of such lines before them in their split."""
+    key, seen = None, 0
+    for now, part in _splits(batches):
+        if now != key:
+            key, seen = now, 0
+        starts = pc.starts_with(part.column("value"), "MODEL ").to_numpy(zero_copy_only=False)
+        number = seen + np.cumsum(starts)
+        seen = int(number[-1])
+        rows = [*(part.column(c) for c in ("source", "block", "row")), pa.array(number, pa.int64()), part.column("value")]
+        yield pa.RecordBatch.from_arrays(rows, schema=_NUMBERED).filter(pa.array(~starts))
+
+
+def pdb_atoms(lines: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """The atom records. ``model`` counts the ``MODEL`` lines of the file before them, so it is 0 where there are none.
+
+    ``splits`` is :func:`pdb_splits` of the same lines.
+    """
+    splits = pdb_splits(lines) if splits is None else splits
+    record = F.upper(F.substring("value", 1, 6)).isin("ATOM", "ATOM  ", "HETATM")
+    flat = lines.filter(record | _starts_model()).select("source", F.col("at.block").alias("block"), F.col("at.row").alias("row"), "value")
+    found = flat.mapInArrow(_numbered, "source string, block long, row long, number long, value string")
+    rows = found.join(F.broadcast(splits), ["source", "block"])  # as many as the scan has splits, which the driver plans one by one
+    none = F.lit(0).cast("long")
+    return rows.select(
+        "source", F.struct(none.alias("block"), (F.col("before") + F.col("number")).alias("row")).alias("model"),
         *[c.alias(n) for n, c in pdb_fields(F.col("value")).items()],
-        F.struct("chunk.block", "chunk.row", F.col("line").cast("long").alias("line")).alias("atom_pos")
+        F.struct("block", "row", none.alias("line")).alias("atom_pos")
     ).select(*ATOM_COLUMNS)
 
 
-def pdb_header_ids(chunks: DataFrame) -> DataFrame:
+def pdb_header_ids(lines: DataFrame) -> DataFrame:
     """Per file the last token of its first ``HEADER`` line, upper case."""
-    found = F.regexp_extract("text", r"(?m)^HEADER.*?(\S+)[ \t]*$", 1)
-    return (chunks.withColumn("found", F.upper(found)).filter("found <> ''")
-            .groupBy("source").agg(F.min_by("found", "chunk").alias("content_id")))
+    found = F.regexp_extract("value", r"(?m)^HEADER.*?(\S+)[ \t]*$", 1)
+    return (lines.filter(F.startswith("value", F.lit("HEADER"))).withColumn("found", F.upper(found)).filter("found <> ''")
+            .groupBy("source").agg(F.min_by("found", "at").alias("content_id")))
 
 
 # --- mmCIF ----------------------------------------------------------------

@@ -279,3 +279,24 @@ def test_cif_columns_are_not_looked_up_by_row(spark):
     atoms = structures.cif_atoms(lines)
     assert sorted((r.chain_id, r.element, r.x) for r in atoms.collect() if r.x) == [("", "", 2.5), ("A", "C", 1.5), ("B", "", 3.5)]
     assert "array_position" not in atoms._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_pdb_model_is_many_rows(spark, tmp_path):
+    """Rows are lines, however many atoms a model has, and models that go over several splits keep their number."""
+    line = pdb_line(1, "CA", "ALA", "A", 1, 1, 2, 3)
+    models = [["HEADER", line, line], *[[f"MODEL     {n:4}", *[line] * n, "ENDMDL"] for n in (200, 1, 300)]]
+    for name, rest in (("a", models), ("b", models[1:])):
+        (tmp_path / f"{name}.pdb").write_text("\r\n".join(x for m in rest for x in m) + "\r\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        lines = structures.scan_pdb(spark, whole(tmp_path))
+        assert lines.select(F.max(F.length(lines.columns[-1]))).first()[0] == 78
+        assert structures.pdb_splits(lines).count() > 20
+        atoms = structures.pdb_atoms(lines)
+        assert len({(r.source, r.atom_pos) for r in atoms.collect()}) == 1004
+        found = {n: [r["count"] for r in atoms.filter(F.col("source").endswith(f"{n}.pdb")).groupBy("model").count().orderBy("model").collect()] for n in "ab"}
+        assert found == {"a": [2, 200, 1, 300], "b": [200, 1, 300]}
+        assert structures.pdb_header_ids(lines).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
