@@ -9,7 +9,7 @@ estimated by the extreme value law of ungapped scores, with the parameter ``deca
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -105,8 +105,10 @@ class Scoring:
         return self.scale * query_length * residues * math.exp(-self.decay * score)
 
 
-#: Residues from a seed on that are compared where the seeds meet; five bits of each, a word for each bit.
+#: Residues that are compared where seeds meet, those from the seed on, or the whole of a sequence of no more; five bits of each, a word for each bit.
 AHEAD, _BITS = 64, 5
+#: The expectation of the best possible score may be so much larger, so that rounding never loses a hit.
+_SLACK = 1e-6
 #: Residues that are cut into seeds at a time.
 _PART = 1 << 18
 
@@ -122,11 +124,12 @@ def _windows(bits: np.ndarray) -> np.ndarray:
 def _seeds(texts: DataFrame, key: str, k: int, min_letters: int, tag: str, end: int) -> DataFrame:
     """The k-mers of every sequence with their places, without those that hold an unknown or too few different letters.
 
-    ``key, seed`` (five bits a letter, so equal k-mers have equal ones), ``<tag>_at``, ``<tag>_length``, and what follows: ``<tag>_0`` to
-    ``<tag>_4``, the bits of the next AHEAD letters, beyond the end those of ``end``; ``<tag>_ok``, which of these places seed.
+    ``key, seed`` (five bits a letter, so equal k-mers have equal ones), ``<tag>_at``, ``<tag>_length``, and letters: ``<tag>_0`` to
+    ``<tag>_4``, the bits of AHEAD letters from the seed on, or from the start of a sequence of no more than AHEAD, beyond the end those of
+    ``end``; ``<tag>_ok``, which of these places seed; ``<tag>_from``, where among them the seed is.
     """
     words = [f"{tag}_{i}" for i in range(_BITS)]
-    columns = {"seed": pa.int64(), f"{tag}_at": pa.int32(), f"{tag}_length": pa.int32(), **dict.fromkeys([*words, f"{tag}_ok"], pa.int64())}
+    columns = {"seed": pa.int64(), f"{tag}_at": pa.int32(), f"{tag}_length": pa.int32(), f"{tag}_from": pa.int32(), **dict.fromkeys([*words, f"{tag}_ok"], pa.int64())}
 
     def cut(keys: pa.Array, sequences: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(s) for s in sequences])
@@ -143,8 +146,9 @@ def _seeds(texts: DataFrame, key: str, k: int, min_letters: int, tag: str, end:
         for i in range(k):
             seed[:len(flat) - i] = seed[:len(flat) - i] * np.uint64((1 << _BITS) | 1 if k * _BITS > 64 else 1 << _BITS) + codes[i:].astype(np.uint64)
         at = np.flatnonzero(good)
-        planes = [_windows(codes >> i & 1)[at].view(np.int64) for i in range(_BITS)]
-        found = [seed[at].view(np.int64), (at - starts[owner[at]]).astype(np.int32), lengths[owner[at]].astype(np.int32), *planes, _windows(good)[at].view(np.int64)]
+        base = np.where(lengths[owner[at]] <= AHEAD, starts[owner[at]], at)
+        planes = [_windows(codes >> i & 1)[base].view(np.int64) for i in range(_BITS)]
+        found = [seed[at].view(np.int64), (at - starts[owner[at]]).astype(np.int32), lengths[owner[at]].astype(np.int32), (at - base).astype(np.int32), *planes, _windows(good)[base].view(np.int64)]
         return pa.RecordBatch.from_arrays([keys.take(pa.array(owner[at])), *map(pa.array, found)], [key, *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +165,48 @@ def _seeds(texts: DataFrame, key: str, k: int, min_letters: int, tag: str, end:
     return texts.select(key, "sequence").mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, {kinds}")
 
 
-def _met_ahead(k: int) -> Column:
-    """How many k-mers are the same from here on, as far as the words of both sides reach, or more if letters share their five bits."""
+def _shifted(word: str, places: Column) -> Column:
+    return F.call_function("shiftrightunsigned", F.col(word), places)
+
+
+def _same(q_from: Column, t_from: Column) -> Column:
+    """Bit i is set if the letters i places further than these are the same, or share their five bits."""
     other = F.lit(0).cast("long")
     for i in range(_BITS):
-        other = other.bitwiseOR(F.col(f"q_{i}").bitwiseXOR(F.col(f"t_{i}")))
-    same, runs = F.bitwise_not(other), F.col("q_ok")
+        other = other.bitwiseOR(_shifted(f"q_{i}", q_from).bitwiseXOR(_shifted(f"t_{i}", t_from)))
+    return F.bitwise_not(other)
+
+
+def _met_ahead(k: int, same: Column | None = None) -> Column:
+    """How many k-mers are the same from here on, as far as the words of both sides reach, or more if letters share their five bits."""
+    same = _same(F.col("q_from"), F.col("t_from")) if same is None else same
+    runs = _shifted("q_ok", F.col("q_from"))
     for i in range(k):
         runs = runs.bitwiseAND(F.shiftrightunsigned(same, i) if i else same)
     return F.bit_count(runs)
 
 
+def _with(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that filters find ready. As a plain expression it is copied to each of its places in them, which makes code too long to be compiled."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _likely(met: DataFrame, scoring: Scoring, chance: Callable[[Column, Column], Column], expect: float) -> DataFrame:
+    """Without the diagonals of two sequences in words as a whole whose score, whatever their stretch, is expected more than ``expect`` times.
+
+    Letters that differ score no more than the best of unlike letters, others no more than the best of all.
+    """
+    table = np.array(scoring.table)
+    unlike = max(0, scoring.unknown, int(table[~np.eye(len(table), dtype=bool)].max(initial=0)))
+    alike = max(unlike, int(table.max(initial=0)))
+    q_from, t_from = F.greatest(F.col("q_at") - F.col("t_at"), F.lit(0)), F.greatest(F.col("t_at") - F.col("q_at"), F.lit(0))
+    places = F.least(F.col("q_length") - q_from, F.col("t_length") - t_from)
+    within = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(AHEAD) - places)
+    known = _with(met, "equal", F.bit_count(_same(q_from, t_from).bitwiseAND(within)))
+    most = F.col("equal") * (alike - unlike) + places * unlike
+    return known.where((F.greatest("q_length", "t_length") > AHEAD) | (chance(F.col("q_length"), most) <= expect * (1 + _SLACK)))
+
+
 def scored_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id: str, sequence: str = "sequence", scoring: Scoring | None = None,
                 k: int = 5, min_seeds: int = 2, min_letters: int = 3, expect: float = 1e-5, best: int = 8) -> DataFrame:
     """``query_id, hit_id, rank, score``: the ``best`` targets of every query by score, ties by smaller id.
@@ -180,9 +215,10 @@ def scored_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id
     ``min_letters`` different letters seed nothing, as runs of one letter meet everywhere. Null sequences have no hits;
     queries of equal sequence are searched once, targets too, whose smallest id stands for them.
 
-    The seeds join is spread by k-mer. A seed carries the AHEAD letters that follow it, so where two seeds meet it is seen at once how many more
-    there are on the diagonal: of a pair with a sequence no longer than that, the first seed sees all, and seeds that meet by
-    chance, whose number grows with both tables, go no further. Seeds of pairs of longer sequences are counted per diagonal. Candidates
+    The seeds join is spread by k-mer. A seed carries the AHEAD letters that follow it, or its whole sequence if that is no longer, so where two
+    seeds meet it is seen at once how many more there are on the diagonal, and which score none of its stretches exceeds. Of a pair with a
+    sequence no longer than AHEAD, the first seed sees all; seeds that meet by chance, whose number grows with both tables, go no further, nor
+    do diagonals whose best possible score is expected too often. Seeds of pairs of longer sequences are counted per diagonal. Candidates
     are spread by pair of texts; sequences travel once per candidate pair, where the seeds are counted again, letter by letter.
     """
     scoring = scoring or Scoring.of_groups()
@@ -192,13 +228,18 @@ def scored_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id
     keyed, known = stage(keyed), stage(known)  # used by the seeds, the scores and the result
     q_texts = keyed.groupBy("digest").agg(F.min("sequence").alias("sequence"))
     t_texts = known.groupBy("digest").agg(F.min("sequence").alias("sequence"), F.min("id").alias("hit_id"))
-    residues = known.agg(F.sum(F.length("sequence")).alias("residues"), F.lit(1).alias("one"))
+    residues = known.agg(F.sum(F.length("sequence"))).first()[0] or 0
+
+    def chance(length: Column, score: Column) -> Column:
+        return F.lit(scoring.scale) * length * F.lit(residues) * F.exp(-F.lit(scoring.decay) * score)
+
 
     q_seeds = _seeds(q_texts.withColumnRenamed("digest", "query"), "query", k, min_letters, "q", 31)
     t_seeds = _seeds(t_texts, "hit_id", k, min_letters, "t", 30).drop("t_ok")
     short = F.least("q_length", "t_length") <= AHEAD
     # What cuts seeds tells Spark no size, and it would broadcast them by that of the texts.
-    seen = q_seeds.join(t_seeds.hint("merge"), "seed").where(~short | (_met_ahead(k) >= min_seeds))
+    met = _with(q_seeds.join(t_seeds.hint("merge"), "seed"), "same", _same(F.col("q_from"), F.col("t_from")))
+    seen = _likely(met.where(~short | (_met_ahead(k, F.col("same")) >= min_seeds)), scoring, chance, expect)
     pairs = (seen.groupBy("query", "hit_id", (F.col("t_at") - F.col("q_at")).alias("diagonal"))
              .agg(F.count("*").alias("n"), F.bool_or(short).alias("short")).where(F.col("short") | (F.col("n") >= min_seeds))
              .groupBy("query", "hit_id").agg(F.collect_list("diagonal").alias("diagonals")))  # at most as many as both sequences have places
@@ -221,8 +262,7 @@ def scored_hits(queries: DataFrame, targets: DataFrame, query_id: str, target_id
             yield pa.RecordBatch.from_arrays([some.column("query"), some.column("hit_id"), pa.array(scores, pa.int64()), pa.array(lengths, pa.int64())], ["query", "hit_id", "score", "length"])
 
     rated = met.mapInArrow(scored, f"query {shown['query']}, hit_id {shown['hit_id']}, score long, length long")
-    chance = F.lit(scoring.scale) * F.col("length") * F.col("residues") * F.exp(-F.lit(scoring.decay) * F.col("score"))
-    good = rated.withColumn("one", F.lit(1)).join(F.broadcast(residues), "one").where(chance <= expect)  # a single row
+    good = rated.where(chance(F.col("length"), F.col("score")) <= expect)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "hit_id")
     ranked = good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     return (keyed.select(F.col("id").alias(query_id), F.col("digest").alias("query")).join(ranked, "query")

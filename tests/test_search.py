@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import workload
 from structnet.operators import search
 from structnet.operators.search import Scoring
 
@@ -107,3 +108,45 @@ def test_seeds_that_meet_by_chance_go_no_further(spark):
     q, t = (search._seeds(spark.createDataFrame(rows, f"{c} long, sequence string"), c, 5, 3, c[0], end) for c, rows, end in sides)
     met = q.join(t.drop("t_ok"), "seed")
     assert met.count() == 90_000 and met.where(search._met_ahead(5) >= 2).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [(24, 36), (40, 63), (60, 68)])
+def test_unlikely_diagonals_go_no_further(spark, lengths):
+    """Pairs with two seeds in common and nothing else are not shuffled if no stretch of theirs can be a hit; the hits are the same as letter by letter."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice(LETTERS) for _ in range(n))
+    base = [word(r.randint(*lengths)) for _ in range(12)]
+    changed = lambda s, n: "".join(r.choice(LETTERS) if r.random() < n else c for c in s)
+    planted = lambda n: word(r.randrange(n - 6)) + "MKVLWR" + word(n)
+    queries = [(i, changed(base[i % 12][i % 5:], 0.05 * (i % 6))) for i in range(60)] + [(100 + i, planted(12)) for i in range(60)]
+    targets = [(f"T{i:03}", changed(base[i % 12], 0.06 * (i % 7))) for i in range(60)] + [(f"U{i:03}", planted(12)) for i in range(60)]
+    scoring = Scoring.of_groups()
+    q, t = spark.createDataFrame(queries, "q int, sequence string"), spark.createDataFrame(targets, "t string, sequence string")
+    for expect in (1e-5, 1e-2, 1.0):
+        got = {tuple(x) for x in search.scored_hits(q, t, "q", "t", expect=expect, best=100).collect()}
+        assert got == brute(queries, targets, scoring, expect=expect, best=100) and len(got) > 30
+    some = [search._seeds(spark.createDataFrame([x for x in rows if len(x[1]) < 32 and "MKVLWR" in x[1]], f"{c} {kind}, sequence string"), c, 5, 3, c[0], end)
+            for c, kind, rows, end in (("query", "int", queries, 31), ("target", "string", targets, 30))]
+    met = some[0].join(some[1], "seed").where(search._met_ahead(5) >= 2)
+    chance = lambda n, score: 0.1 * n * 10**4 * search.F.exp(-scoring.decay * score)
+    assert met.count() >= 1000 and search._likely(met, scoring, chance, 1e-5).count() < met.count() / 20
+
+
+@pytest.mark.parametrize("name", ["search_hits", "annotate_by_search"])
+def test_sequences_are_gathered_once(spark, name, monkeypatch):
+    """Both tables of sequences come from one spread of the line items, and none is gathered where it is read."""
+    plans = []
+
+    def stage(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    real = workload.stage
+    monkeypatch.setattr(workload, "stage", stage)
+    monkeypatch.setattr(search, "stage", stage)
+    workload.queries()[name](spark, "/root/testdata/sf0.001")
+    gathered = [p for p in plans if "partial_collect_list(struct(l_orderkey" in p]
+    assert len(gathered) == 1
+    lines = gathered[0].splitlines()
+    at = next(i for i, x in enumerate(lines) if "partial_collect_list(struct(l_orderkey" in x)
+    assert any("Exchange hashpartitioning(l_partkey" in x for x in lines[at:]) and not any("Exchange" in x for x in lines[:at])
