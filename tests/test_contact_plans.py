@@ -117,3 +117,40 @@ def test_hash_join_is_a_join(spark, how):
     b = spark.createDataFrame([("x", 1, 7), ("x", 1, 8), (None, 1, 9)], "k string, n int, w int")
     got, want = keys.hash_join(a, b, ["k", "n"], how), a.join(b, ["k", "n"], how)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("radius", [1.0, 5.0])
+def test_held_groups_give_what_cells_give(spark, monkeypatch, radius):
+    """Members that are structs, no group or member, missing coordinates and weights, groups of one point, several blocks of distances."""
+    monkeypatch.setattr(spatial, "_AT_ONCE", 700)
+    draw = random.Random(6)
+    rows = [(g, h, (draw.randrange(3), draw.randrange(2)) if draw.random() < 0.97 else None, *(draw.randrange(24) / 2 if draw.random() < 0.97 else None for _ in "xyz"), draw.choice([None, 0, 1, 2]))
+            for g, h, n in ((1, "a", 150), (1, "b", 90), (2, "a", 1), (3, None, 20), (None, "a", 20)) for _ in range(n)]
+    points = spark.createDataFrame(rows, "g int, h string, m struct<p: int, q: int>, x double, y double, z double, w long")
+    levels = {"n": (radius, F.lit(1)), "k": (2 * radius, F.col("w"))}
+    cells, held = [spatial.radius_counts(points, ["g", "h"], "m", levels, **more) for more in ({"crowded": 16}, {"held": True})]
+    assert cells.dtypes == held.dtypes
+    assert sorted(cells.collect()) == sorted(held.collect()) and held.count() > 20
+    assert spatial.radius_counts(points.limit(0), ["g", "h"], "m", levels, held=True).collect() == []
+
+
+def test_crowded_structures_are_one_row(spark):
+    """A supplier's items are shuffled as points, not once for each cell that they are near to, and pairs of points are no rows."""
+    plan = workload.crowded_protein_edges(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cell_x" not in plan and "_whole" in plan and "MapInArrow" in plan
+
+
+def test_structures_of_all_sizes(spark, monkeypatch):
+    """Small, held and large structures side by side give what cells give for all."""
+    draw = random.Random(8)
+    rows = [(f"f{s}", 1, "ABC"[i % 3], i, "", "ALA", "CA" if i % 2 else "C", "C", *(float(draw.randrange(20)) for _ in "xyz"), i) for s, n in enumerate((40, 90, 300)) for i in range(n)]
+    atoms = spark.createDataFrame(rows, "source string, model int, chain_id string, residue_number int, insertion_code string, residue_name string, atom_name string, element string, x double, y double, z double, atom_pos int")
+    files = spark.createDataFrame([(f"f{s}", s, f"/f{s}", f"F{s}") for s in range(3)], "source string, file_ord int, file_path string, pdb_id string")
+    placed = chains.place_chains(chains.chain_table(atoms), files).withColumn("molecule_type", F.lit("Protein"))
+    monkeypatch.setattr(contacts, "SMALL", 50)
+    monkeypatch.setattr(contacts, "HELD", 100)
+    found = contacts.chain_interactions(atoms, placed, crowded=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cell_x" in plan and "MapInArrow" in plan
+    want = contacts.chain_interactions(atoms, placed.drop("source_atoms"))
+    assert sorted(found.collect()) == sorted(want.collect()) and found.count() == 9
